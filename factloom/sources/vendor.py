@@ -104,10 +104,10 @@ def drift_gate(
     required = F.array(*[F.lit(f) for f in dataset.required])
     expected = F.array(*[F.lit(f) for f in dataset.expected]).cast("array<string>")
     order = Window.partitionBy("dataset", run).orderBy("offset")
+    # Judged on the field names alone, so that page bodies are not shuffled
     judged = (
-        with_signature(pages, dataset)
+        with_signature(pages.select("dataset", run, "offset", "fields"), dataset)
         .withColumn("missing_required", F.array_except(required, "fields"))
-        .withColumn("missing_expected_fields", F.array_except(expected, "fields"))
         .withColumn("_previous", F.lag("schema_signature").over(order))
         .withColumn(
             "drift_reason",
@@ -116,14 +116,25 @@ def drift_gate(
                 F.concat(F.lit("required fields missing: "), F.array_join("missing_required", ",")),
             ).when(F.col("_previous") != F.col("schema_signature"), "identity signature changed"),
         )
-        .withColumn("_fused", F.max(F.col("drift_reason").isNotNull()).over(order))
         .drop("_previous")
     )
-    ok = judged.filter(~F.col("_fused")).drop("_fused", "drift_reason", "missing_required")
-    fused = (
+    stops = (
         judged.filter(F.col("drift_reason").isNotNull())
+        .groupBy("dataset", run)
+        .agg(F.min("offset").alias("_stop"))
+    )
+    fused = (
+        judged.join(stops, ["dataset", run])
+        .filter(F.col("offset") == F.col("_stop"))
         .withColumn("status", F.lit("SCHEMA_CHANGED"))
-        .drop("_fused")
+        .drop("_stop")
+    )
+    ok = (
+        with_signature(pages, dataset)
+        .withColumn("missing_expected_fields", F.array_except(expected, "fields"))
+        .join(stops, ["dataset", run], "left")
+        .filter(F.col("_stop").isNull() | (F.col("offset") < F.col("_stop")))
+        .drop("_stop")
     )
     markers = ok.filter(F.size("missing_expected_fields") > 0).select(
         "dataset", run, "offset", "missing_expected_fields"
