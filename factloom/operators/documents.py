@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.clean import clean_str, normalize_ws, strip
+from factloom.operators.scaling import split_running_sum
 
 # Quality limits of a parsed document, and the heading pattern (fixed values)
 MIN_PAGE_CHARS = 40
@@ -55,15 +56,15 @@ def provisional_hash(catalog: DataFrame) -> DataFrame:
 
 def page_quality(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Running offsets per page, and the parse verdict per document."""
-    order = Window.partitionBy("document_id").orderBy("page_number")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     length = F.length("text")
-    # Offsets need lengths alone; texts stay out of the window's shuffle
+    # Offsets need lengths alone; texts stay out of the shuffle, and a document
+    # with very many pages is summed in runs of 1,000 pages
     sized = pages.select("document_id", "page_number", length.alias("chars"),
                          F.length(strip(F.col("text"))).alias("text_chars"))
-    placed = sized.withColumn("char_start", F.coalesce(F.sum("chars").over(before), F.lit(0))).withColumn(
-        "char_end", F.col("char_start") + F.col("chars")
-    )
+    placed = split_running_sum(
+        sized, ["document_id"], F.floor(F.col("page_number") / 1000), ["page_number"],
+        {"char_end": F.col("chars")},
+    ).withColumn("char_start", F.col("char_end") - F.col("chars"))
     blank = F.col("text_chars") < MIN_PAGE_CHARS
     ratio = F.col("blank_page_count") / F.col("page_count")
     docs = (
