@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.scaling import beside
 from factloom.session import ensure_checkpoint_dir
 from factloom.vocab import EDGE_PREDICATES, NODE_LABELS, RELATION_TYPES
 
@@ -195,7 +196,7 @@ def reconcile_graph(
     ids = companies.select(F.col("id").cast("string").alias("id")).orderBy("id").limit(sample).agg(
         F.substring(F.sha2(F.to_json(F.array_sort(F.collect_list("id"))), 256), 1, 16).alias("sample_hash")
     )
-    report = reduce(lambda a, b: a.join(b), [accepted, nodes, business, waiting, ids])
+    report = beside(accepted, nodes, business, waiting, ids)
     return report.select(
         "accepted_claims", "accepted_nodes",
         _pct(F.col("accepted_nodes"), F.col("accepted_claims")).alias("coverage_pct"),
@@ -376,7 +377,7 @@ def subgraph_status(
     else:
         found = node_rows.agg(F.count(F.lit(1)).alias("nodes"))
         status = F.when((F.col("nodes") == 0) & (F.col("_known") > 0), "STALE").otherwise("SUCCEEDED")
-    return found.join(known).join(accepted).select(status.alias("status"), "nodes", "accepted_claims")
+    return beside(found, known, accepted).select(status.alias("status"), "nodes", "accepted_claims")
 
 
 def fallback_claims(claims: DataFrame, company_id, limit: int = 50) -> DataFrame:

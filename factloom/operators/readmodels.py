@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.clean import contains_ci
+from factloom.operators.scaling import beside
 
 
 def company_list(
@@ -79,7 +78,7 @@ def overview(companies: DataFrame, claims: DataFrame, fragments: DataFrame, obs:
         fragments.agg(one.alias("evidence_fragments")),
         obs.agg(one.alias("financial_observations"), F.max("recorded_at").alias("latest_observation_at")),
     ]
-    return reduce(lambda a, b: a.join(b), parts)
+    return beside(*parts)
 
 
 def recent_runs(ingest: DataFrame, normalization: DataFrame, limit: int = 10) -> DataFrame:
@@ -138,7 +137,7 @@ def master_stats(
         segments.agg(one.alias("segment_total")),
         products.agg(one.alias("product_total")),
     ]
-    return reduce(lambda a, b: a.join(b), parts)
+    return beside(*parts)
 
 
 def invariant_failures(stats: DataFrame, floors: dict[str, int]) -> DataFrame:
@@ -201,5 +200,5 @@ def quality_metrics(claims: DataFrame, links: DataFrame, grounding: DataFrame, t
     proven = claims.filter(accepted).join(links.select("claim_id"), "claim_id", "left_semi").agg(
         F.count(F.lit(1)).alias("accepted_with_evidence")
     )
-    row = reduce(lambda a, b: a.join(b), [rates, failures, backlog, proven])
+    row = beside(rates, failures, backlog, proven)
     return row.withColumn("acceptance_rate", F.round(F.col("accepted") / F.col("claims"), 4))

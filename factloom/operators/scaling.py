@@ -67,3 +67,10 @@ def dense_index(df: DataFrame, order: list, name: str = "idx", partitions: int |
         .withColumn(name, F.col("_offset") + F.col("_mid").bitwiseAND((1 << 33) - 1) + 1)
         .drop("_part", "_mid", "_offset")
     )
+
+
+def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row frames side by side, as scalar subqueries rather than joins."""
+    return first.select(
+        "*", *[other.select(c).scalar().alias(c) for other in others for c in other.columns]
+    )
