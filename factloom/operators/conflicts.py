@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from factloom.operators.scaling import split_running_sum
 
 LIVE = ["ACCEPTED", "NEEDS_REVIEW"]
-OPPOSING = ["MASS_PRODUCTION", "COMPANY_DENIAL"]
 OPEN_START = "0001-01-01 00:00:00"
 OPEN_END = "9999-12-31 00:00:00"
 
@@ -85,14 +84,20 @@ def logical_conflicts(claims: DataFrame) -> DataFrame:
     return _finding(groups, "LOGICAL", "group_key")
 
 
-def opposing_stage() -> Column:
-    """Stage of a claim for the temporal check; a denial in either column counts."""
-    return F.when(
-        F.col("evidence_state") == "COMPANY_DENIAL", F.lit("COMPANY_DENIAL")
-    ).otherwise(F.coalesce("business_stage", "evidence_state"))
+def is_production() -> Column:
+    return F.coalesce(F.col("business_stage") == "MASS_PRODUCTION", F.lit(False))
 
 
-def temporal_conflicts(claims: DataFrame, keys: tuple[str, ...] = ("subject_id", "predicate_code")) -> DataFrame:
+def is_denial() -> Column:
+    """A denial in either column counts, as extracted denials carry stage UNKNOWN."""
+    return F.coalesce(F.col("business_stage") == "COMPANY_DENIAL", F.lit(False)) | F.coalesce(
+        F.col("evidence_state") == "COMPANY_DENIAL", F.lit(False)
+    )
+
+
+def temporal_conflicts(
+    claims: DataFrame, keys: tuple[str, ...] = ("subject_id", "predicate_code")
+) -> DataFrame:
     """K5: production and denial in one group whose validity intervals overlap somewhere.
 
     Sorting runs per group and month of start, so a hot group is spread; months
@@ -101,9 +106,11 @@ def temporal_conflicts(claims: DataFrame, keys: tuple[str, ...] = ("subject_id",
     """
     live = (
         claims.filter(F.col("claim_status").isin(LIVE))
-        .withColumn("_stage", opposing_stage())
-        .filter(F.col("_stage").isin(OPPOSING))
-        .select(*keys, "_stage", _start().alias("_from"), _end().alias("_to"))
+        .select(
+            *keys, is_production().alias("_made"), is_denial().alias("_denied"),
+            _start().alias("_from"), _end().alias("_to"),
+        )
+        .filter(F.col("_made") | F.col("_denied"))
         .withColumn("_month", F.date_trunc("month", "_from"))
     )
     inside = Window.partitionBy(*keys, "_month").orderBy("_from", "_to")
@@ -116,20 +123,21 @@ def temporal_conflicts(claims: DataFrame, keys: tuple[str, ...] = ("subject_id",
             F.min("_from").alias("_first"),
             F.max("_to").alias("_last"),
             F.count(F.lit(1)).alias("n"),
-            F.collect_set("_stage").alias("_stages"),
+            F.bool_or("_made").alias("_made"),
+            F.bool_or("_denied").alias("_denied"),
         )
     )
     earlier = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    across = F.coalesce(F.col("_first") < F.max("_last").over(earlier), F.lit(False))
     groups = (
-        months.withColumn("_across", F.coalesce(F.col("_first") < F.max("_last").over(earlier), F.lit(False)))
+        months.withColumn("_hit", F.col("_hit") | across)
         .groupBy(*keys)
         .agg(
-            F.bool_or(F.col("_hit") | F.col("_across")).alias("overlaps"),
-            F.array_distinct(F.flatten(F.collect_list("_stages"))).alias("_stages"),
-            F.sum("n").alias("claims"),
+            F.bool_or("_hit").alias("_hit"), F.bool_or("_made").alias("_made"),
+            F.bool_or("_denied").alias("_denied"), F.sum("n").alias("claims"),
         )
-        .filter(F.col("overlaps") & (F.size("_stages") > 1))
-        .withColumn("variants", F.size("_stages"))
+        .filter(F.col("_hit") & F.col("_made") & F.col("_denied"))
+        .withColumn("variants", F.lit(2))
     )
     return _finding(groups, "TEMPORAL_OVERLAP", keys[1])
 
@@ -147,18 +155,22 @@ def finding_claims(claims: DataFrame, findings: DataFrame) -> DataFrame:
     """Every claim behind a finding, one row per pair of kind and claim."""
     denial = F.col("predicate_code") == "DENIES_INVOLVEMENT"
     affirms = ~denial & F.col("business_stage").isNotNull()
-    temporal = F.col("claim_status").isin(LIVE) & opposing_stage().isin(OPPOSING)
+    temporal = F.col("claim_status").isin(LIVE) & (is_production() | is_denial())
     predicate, target = F.col("predicate_code"), F.col("object_id").cast("string")
+
+    def entry(kind: Column, key: Column) -> Column:
+        return F.struct(kind.alias("kind"), key.alias("group_key"))
+
     keyed = claims.select(
         "claim_id", "subject_id",
         F.inline(
             F.filter(
                 F.array(
-                    F.struct(F.lit("VALUE").alias("kind"), predicate.alias("group_key")),
-                    F.struct(F.lit("TYPE"), predicate),
-                    F.struct(F.lit("RELATION"), target),
-                    F.struct(F.when(denial | affirms, F.lit("LOGICAL")), F.lit("DENIES_INVOLVEMENT")),
-                    F.struct(F.when(temporal, F.lit("TEMPORAL_OVERLAP")), predicate),
+                    entry(F.lit("VALUE"), predicate),
+                    entry(F.lit("TYPE"), predicate),
+                    entry(F.lit("RELATION"), target),
+                    entry(F.when(denial | affirms, F.lit("LOGICAL")), F.lit("DENIES_INVOLVEMENT")),
+                    entry(F.when(temporal, F.lit("TEMPORAL_OVERLAP")), predicate),
                 ),
                 lambda e: e["kind"].isNotNull() & e["group_key"].isNotNull(),
             )
@@ -207,15 +219,15 @@ def overlap_counts(df: DataFrame, keys: list[str], row_id: str, side: str) -> Da
     that a hot key is spread.
     """
     before_end, at_start, at_end, after_start = 0, 1, 2, 3
-    point = F.inline(
-        F.array(
-            F.struct(F.col("end").alias("_t"), F.lit(before_end).alias("_ord")),
-            F.struct(F.col("start"), F.lit(at_start)),
-            F.struct(F.col("end"), F.lit(at_end)),
-            F.struct(F.col("start"), F.lit(after_start)),
-        )
+
+    def point(at: str, rank: int) -> Column:
+        return F.struct(F.col(at).alias("_t"), F.lit(rank).alias("_ord"))
+
+    four = F.array(
+        point("end", before_end), point("start", at_start), point("end", at_end),
+        point("start", after_start),
     )
-    points = df.select(*keys, row_id, side, point)
+    points = df.select(*keys, row_id, side, F.inline(four))
     is_start, is_end = F.col("_ord") == at_start, F.col("_ord") == at_end
     mine = F.col(side)
     counted = split_running_sum(

@@ -27,6 +27,8 @@ def build_session(
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false"
+        ).config(
             "spark.driver.memory", os.environ.get("FACTLOOM_DRIVER_MEMORY", "12g")
         )
     if shuffle_partitions:

@@ -7,7 +7,7 @@ definitions in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # k of the event props drives the invented claim fields
@@ -25,14 +25,24 @@ PREDICATE_BY_EVENT = {
 }
 
 
+def _landed(fields: dict[str, str]) -> Column:
+    """Payload map as read back from a landed JSON record."""
+    pairs = [x for name, e in fields.items() for x in (F.lit(name), F.expr(e).cast("string"))]
+    text = F.to_json(F.create_map(*pairs), {"ignoreNullFields": "false"})
+    return F.from_json(text, "map<string,string>")
+
+
 class Frames:
     """Domain frames over one directory of driver tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
     def observations(self) -> DataFrame:
         return self.table("orders").selectExpr(
@@ -256,7 +266,7 @@ class Frames:
         )
 
     def _raw(self, df: DataFrame, api: str, fields: dict[str, str], key: str) -> DataFrame:
-        payload = F.create_map(*[x for f, e in fields.items() for x in (F.lit(f), F.expr(e).cast("string"))])
+        payload = _landed(fields)
         return df.select(
             F.col(key).alias("source_record_id"),
             F.lit("VENDOR").alias("source_system"),
@@ -304,7 +314,7 @@ class Frames:
             "bz_sales": "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING)",
             "curr_type": "CASE WHEN l_linenumber % 2 = 0 THEN 'CNY' END",
         }
-        mapped = F.create_map(*[x for f, e in payload.items() for x in (F.lit(f), F.expr(e).cast("string"))])
+        mapped = _landed(payload)
         return base.select(
             F.col("rid").alias("source_record_id"), F.lit("fina_mainbz_vip").alias("api_name"),
             mapped.alias("payload"), F.col("l_shipdate").alias("retrieved_at"),
@@ -347,12 +357,46 @@ class Frames:
             "end_date": "date_format(l_shipdate, 'yyyyMMdd')",
             "hold_ratio": "CASE WHEN l_linenumber % 3 <> 0 THEN CAST(CAST(l_discount AS DECIMAL(10,2)) AS STRING) END",
         }
-        mapped = F.create_map(*[x for f, e in payload.items() for x in (F.lit(f), F.expr(e).cast("string"))])
+        mapped = _landed(payload)
         return base.select(
             F.col("rid").alias("source_record_id"), F.lit("top10_holders").alias("api_name"),
             mapped.alias("payload"), F.col("l_shipdate").alias("retrieved_at"),
         )
 
+    def vendor_pages(self) -> DataFrame:
+        """Customers as vendor answers of 100 rows; some pages drop or swap fields."""
+        rows = self.securities().selectExpr(
+            "security_id", "ts_code", "split(ts_code, '[.]')[0] AS symbol", "name", "security_id div 100 AS page",
+        ).withColumn(
+            "layout",
+            F.expr("CASE WHEN page % 11 = 5 THEN 2 WHEN page % 13 = 6 THEN 3 WHEN page % 7 = 3 THEN 1 ELSE 0 END"),
+        )
+        item = F.expr(
+            "CASE layout WHEN 0 THEN array(ts_code, symbol, name, 'SSE', 'L') WHEN 1 THEN array(ts_code, symbol, name, 'L') "
+            "WHEN 2 THEN array(ts_code, symbol, 'SSE', 'L') ELSE array(symbol, ts_code, name, 'SSE', 'L') END"
+        )
+        fields = F.expr(
+            "CASE layout WHEN 0 THEN array('ts_code', 'symbol', 'name', 'exchange', 'list_status') "
+            "WHEN 1 THEN array('ts_code', 'symbol', 'name', 'list_status') "
+            "WHEN 2 THEN array('ts_code', 'symbol', 'exchange', 'list_status') "
+            "ELSE array('symbol', 'ts_code', 'name', 'exchange', 'list_status') END"
+        )
+        # Every tenth item comes short by its last value
+        item = F.when(F.col("security_id") % 10 == 0, F.slice(item, 1, F.size(item) - 1)).otherwise(item)
+        pages = rows.withColumn("_i", F.struct("security_id", item.alias("item"))).groupBy("page", "layout").agg(
+            F.array_sort(F.collect_list("_i")).alias("_items")
+        )
+        body = F.struct(
+            F.lit(0).alias("code"), F.lit("").alias("msg"),
+            F.struct(fields.alias("fields"), F.transform("_items", lambda i: i["item"]).alias("items")).alias("data"),
+        )
+        return pages.select(
+            F.lit("stock_basic").alias("dataset"),
+            F.expr("page div 5").alias("run_id"),
+            (F.expr("page % 5") * 100).alias("offset"),
+            F.to_json(body).alias("body"),
+        )
+
     def screen_tables(self) -> dict[str, DataFrame]:
         return {
             "company": self.company(), "links": self.links(), "securities": self.securities(),

@@ -163,16 +163,18 @@ def land_raw(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows of ``batch`` with ``inserted`` = first sight of (source, api, hash).
 
     The caller appends the rows flagged ``inserted``. The first row of a key in
-    (offset, row_no) order wins.
+    (offset, row_no) order wins; it is found by a partial aggregation and joined
+    back on its position, so that many copies of one payload stay spread.
     """
     keys = ["source_system", "api_name", "payload_hash"]
-    first = Window.partitionBy(*keys).orderBy("offset", "row_no")
-    known = existing.select(*keys).distinct().withColumn("_known", F.lit(True))
-    return (
-        batch.withColumn("_rank", F.row_number().over(first))
-        .join(known, keys, "left")
-        .withColumn("inserted", (F.col("_rank") == 1) & F.col("_known").isNull())
-        .drop("_rank", "_known")
+    first = (
+        batch.groupBy(*keys)
+        .agg(F.min(F.struct("offset", "row_no")).alias("_at"))
+        .join(existing.select(*keys), keys, "left_anti")
+        .select(*keys, "_at.offset", "_at.row_no", F.lit(True).alias("inserted"))
+    )
+    return batch.join(first, [*keys, "offset", "row_no"], "left").withColumn(
+        "inserted", F.coalesce("inserted", F.lit(False))
     )
 
 
