@@ -1 +1,333 @@
+"""X rows: text fragments of the documents, and the event claims."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factloom.catalog.document_queries import _placed
+from factloom.catalog.registry import query
+from factloom.operators import claims as x
+from factloom.operators import documents as d
+from factloom.operators.claims import Rule
+from factloom.sources.bindings import Frames
+from factloom.vocab import PREDICATES
+
+# The default words do not occur in these texts, so frequent word parts stand in
+RULES = [
+    Rule("MASS_PRODUCTION", "PRODUCT_DISCLOSED", "worthless|éaux"),
+    Rule("SMALL_BATCH", "PRODUCT_DISCLOSED", "small[- ]batch|the the"),
+    Rule("RESEARCH", "PRODUCT_DISCLOSED", "tion and|ouan"),
+    Rule("UNKNOWN", "REVENUE_DISCLOSED", "ndst"),
+    Rule("UNKNOWN", "COMPANY_DENIAL", "lich|ción"),
+    Rule("UNKNOWN", "EVIDENCE_INSUFFICIENT", "ther"),
+]
+HEDGES = " with | pour | und "
+INJECTION = "password|anthan"
+
+
+def _sql_case(values: list[str]) -> str:
+    return " ".join(f"WHEN regexp_matches(quote_text, '(?i)({r.pattern})') THEN '{v}'" for r, v in zip(RULES, values, strict=True))
+
+
+EXTRACTED = f"""ext AS (SELECT *, CASE {_sql_case([r.stage for r in RULES])} END AS business_stage,
+        CASE {_sql_case([r.evidence for r in RULES])} END AS evidence_state,
+        regexp_matches(quote_text, '(?i)({HEDGES})') AS hedged
+    FROM fragc WHERE NOT regexp_matches(quote_text, '(?i)({INJECTION})'))"""
+
+
+def _fragments(f: Frames) -> DataFrame:
+    return d.segment_pages(_placed(f))
+
+
+def _extracted(f: Frames) -> DataFrame:
+    return x.extract_claims(_fragments(f), RULES, HEDGES, INJECTION)
+
+
+@query("x01_extract_claims", f"""WITH {EXTRACTED}
+    SELECT document_id, page_number, paragraph_index, business_stage, evidence_state,
+           CASE WHEN evidence_state = 'COMPANY_DENIAL' THEN 'DENIES_INVOLVEMENT' ELSE 'PRODUCES' END AS predicate_code,
+           CAST(CASE WHEN hedged THEN 0.5 ELSE 0.85 END AS DOUBLE) AS confidence
+    FROM ext WHERE evidence_state IS NOT NULL""")
+def x01(f: Frames) -> DataFrame:
+    return _extracted(f).select(
+        "document_id", "page_number", "paragraph_index", "business_stage", "evidence_state", "predicate_code",
+        F.col("confidence").cast("double").alias("confidence"),
+    )
+
+
+@query("x01_default_rules", """
+    SELECT business_stage, evidence_state, count(*) AS claims FROM (
+        SELECT CASE WHEN regexp_matches(quote_text, '(?i)(mass production|规模化量产|已?实现量产|批量生产)') THEN 'MASS_PRODUCTION'
+            WHEN regexp_matches(quote_text, '(?i)(small[- ]batch|小批量)') THEN 'SMALL_BATCH'
+            WHEN regexp_matches(quote_text, '(?i)(research|研发|研制)') THEN 'RESEARCH'
+            WHEN regexp_matches(quote_text, '(?i)(revenue|营业收入|denies involvement|否认|未参与|不涉及)') THEN 'UNKNOWN' END AS business_stage,
+            'PRODUCT_DISCLOSED' AS evidence_state
+        FROM (SELECT concat(quote_text, CASE length(quote_text) % 5 WHEN 0 THEN ' 已实现量产' WHEN 1 THEN ' Small-Batch' WHEN 2 THEN ' 研发' ELSE '' END) AS quote_text FROM frag))
+    WHERE business_stage IS NOT NULL GROUP BY 1, 2""")
+def x01b(f: Frames) -> DataFrame:
+    tail = F.expr("CASE length(quote_text) % 5 WHEN 0 THEN ' 已实现量产' WHEN 1 THEN ' Small-Batch' WHEN 2 THEN ' 研发' ELSE '' END")
+    rows = _fragments(f).withColumn("quote_text", F.concat("quote_text", tail))
+    return x.extract_claims(rows).groupBy("business_stage", "evidence_state").agg(F.count(F.lit(1)).alias("claims"))
+
+
+@query("x02_hedge", f"""
+    SELECT document_id, count(*) FILTER (regexp_matches(quote_text, '(?i)({HEDGES})')) AS hedged, count(*) AS fragments FROM frag GROUP BY 1""")
+def x02(f: Frames) -> DataFrame:
+    return x.hedge(_fragments(f), HEDGES).groupBy("document_id").agg(
+        F.count_if("hedged").alias("hedged"), F.count(F.lit(1)).alias("fragments")
+    )
+
+
+@query("x03_screen_injection", f"""
+    SELECT document_id, concat('injection content treated as data: ', substr(checksum, 1, 12)) AS note FROM fragc
+    WHERE regexp_matches(quote_text, '(?i)({INJECTION})')""")
+def x03(f: Frames) -> DataFrame:
+    return x.screen_injection(_fragments(f), INJECTION)[1].select("document_id", "note")
+
+
+@query("x04_choose_predicate", """
+    SELECT claim_id, CASE WHEN evidence_state = 'COMPANY_DENIAL' THEN 'DENIES_INVOLVEMENT' ELSE 'PRODUCES' END AS predicate_code FROM claim""")
+def x04(f: Frames) -> DataFrame:
+    return x.choose_predicate(f.claims()).select("claim_id", "predicate_code")
+
+
+@query("x05_claim_hash", f"""WITH {EXTRACTED}
+    SELECT document_id, count(*) AS claims, count(DISTINCT (quote_text, business_stage, evidence_state)) AS distinct_hashes
+    FROM ext WHERE evidence_state IS NOT NULL GROUP BY 1""")
+def x05(f: Frames) -> DataFrame:
+    versioned = _fragments(f).withColumn("document_version_id", F.col("document_id"))
+    claims = x.extract_claims(versioned, RULES, HEDGES, INJECTION)
+    return x.claim_hash(claims, versioned).groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("claims"), F.count_distinct("content_hash").alias("distinct_hashes")
+    )
+
+
+@query("x05_new_claims", f"""WITH {EXTRACTED}, c AS (SELECT DISTINCT document_id, quote_text, business_stage, evidence_state FROM ext WHERE evidence_state IS NOT NULL)
+    SELECT evidence_state, count(*) AS claims FROM c WHERE document_id NOT LIKE 'c%' GROUP BY 1""")
+def x05b(f: Frames) -> DataFrame:
+    versioned = _fragments(f).withColumn("document_version_id", F.col("document_id"))
+    hashed = x.claim_hash(x.extract_claims(versioned, RULES, HEDGES, INJECTION), versioned)
+    seen = hashed.filter("document_id LIKE 'c%'")
+    return x.new_claims(hashed, seen).groupBy("evidence_state").agg(F.count(F.lit(1)).alias("claims"))
+
+
+def _quotes(f: Frames) -> DataFrame:
+    """A quote per fragment; by turn it is exact, altered, of another version, of another page, or of no fragment."""
+    kind = F.col("page_number") % 6
+    return f.fragments().select(
+        F.col("evidence_id").alias("claim_id"),
+        F.when(kind == 4, F.col("evidence_id") + 1_000_000_000).otherwise(F.col("evidence_id")).alias("evidence_id"),
+        F.when(kind == 2, F.col("document_version_id") + 1).otherwise(F.col("document_version_id")).alias("document_version_id"),
+        F.when(kind == 3, F.col("page_number") + 1).otherwise(F.col("page_number")).alias("page_number"),
+        "char_start", "char_end",
+        F.when(kind == 1, F.concat("quote_text", F.lit(" altered")))
+        .when(kind == 5, F.concat(F.lit("  "), F.regexp_replace("quote_text", " ", "  "))).otherwise(F.col("quote_text")).alias("quote_text"),
+    )
+
+
+@query("x06_ground_quotes", """
+    SELECT evidence_id AS claim_id, CASE page_number % 6 WHEN 4 THEN 'FRAGMENT_MISSING' WHEN 2 THEN 'VERSION_MISMATCH'
+        WHEN 1 THEN 'TEXT_NOT_FOUND' WHEN 3 THEN 'RANGE_MISMATCH' ELSE 'OK' END AS grounding FROM fragment""")
+def x06(f: Frames) -> DataFrame:
+    return x.ground_quotes(_quotes(f), f.fragments()).select("claim_id", "grounding")
+
+
+@query("x06_ground_document_quotes", f"""
+    SELECT c.document_id AS claim_id, c.paragraph_index, CASE WHEN c.paragraph_index % 2 = 1 THEN 'TEXT_NOT_FOUND' ELSE 'OK' END AS grounding
+    FROM frag c WHERE c.document_id LIKE 'd%'""")
+def x06b(f: Frames) -> DataFrame:
+    """Every paragraph quoted from its whole document; odd ones are fabricated."""
+    docs = f.table("documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("evidence_id"), F.lit(1).alias("document_version_id"),
+        F.lit(1).alias("page_number"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"), F.col("text").alias("quote_text"),
+    )
+    odd = F.col("paragraph_index") % 2 == 1
+    quotes = _fragments(f).filter("document_id LIKE 'd%'").select(
+        F.col("document_id").alias("claim_id"), F.col("document_id").alias("evidence_id"), F.lit(1).alias("document_version_id"),
+        F.lit(1).alias("page_number"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"), "paragraph_index",
+        F.when(odd, F.concat("quote_text", F.lit("☃"))).otherwise(F.col("quote_text")).alias("quote_text"),
+    )
+    return x.ground_quotes(quotes, docs).select("claim_id", F.col("paragraph_index").cast("bigint").alias("paragraph_index"), "grounding")
+
+
+GROUND = ["OK", "OK", "FRAGMENT_MISSING", "TEXT_NOT_FOUND", "RANGE_MISMATCH", None]
+
+
+def _grounding(f: Frames) -> DataFrame:
+    state = F.get(F.array(*[F.lit(g) for g in GROUND]), F.col("k") % 6)
+    return f.claims().select("claim_id", state.alias("grounding")).filter("grounding IS NOT NULL")
+
+
+VERDICT = """verdict AS (SELECT *, concat_ws(' | ',
+        CASE k % 6 WHEN 2 THEN 'quote references missing evidence fragment' WHEN 3 THEN 'quote text not found (possibly fabricated)'
+             WHEN 4 THEN 'quote page/range mismatch' END,
+        CASE WHEN k % 6 = 5 THEN 'text claim requires at least one grounded quote' END,
+        CASE WHEN business_stage = 'MASS_PRODUCTION' AND evidence_state = 'PLATFORM_CLASSIFICATION_ONLY'
+             THEN 'MASS_PRODUCTION cannot be supported by platform classification alone' END,
+        CASE WHEN evidence_state = 'REVENUE_DISCLOSED' AND report_period IS NULL AND k % 6 > 1
+             THEN 'REVENUE_DISCLOSED requires a report period, segment or revenue quote' END,
+        CASE WHEN evidence_state = 'COMPANY_DENIAL' AND k % 6 > 1 THEN 'COMPANY_DENIAL requires the original text' END,
+        CASE WHEN hedged THEN 'conditional/planned/future phrasing cannot be promoted to a current fact' END) AS reasons,
+        CASE WHEN k % 6 IN (2, 3, 4) OR (business_stage = 'MASS_PRODUCTION' AND evidence_state = 'PLATFORM_CLASSIFICATION_ONLY') THEN 'REJECTED'
+             WHEN k % 6 = 5 OR hedged THEN 'NEEDS_REVIEW' ELSE 'VALIDATED' END AS verdict FROM claim)"""
+
+
+def judged(f: Frames) -> DataFrame:
+    return x.verdict(f.claims(), _grounding(f))
+
+
+@query("x07_verdict", f"WITH {VERDICT} SELECT claim_id, verdict, reasons FROM verdict")
+def x07(f: Frames) -> DataFrame:
+    return judged(f).select("claim_id", "verdict", F.array_join("reasons", " | ").alias("reasons"))
+
+
+@query("x08_check_predicate", """
+    SELECT event_id, CASE WHEN event_type IN ('error', 'view') THEN concat('predicate not in whitelist: ', upper(event_type)) END AS predicate_reason FROM events""")
+def x08(f: Frames) -> DataFrame:
+    rows = f.table("events").selectExpr(
+        "event_id", "CASE WHEN event_type IN ('error', 'view') THEN upper(event_type) ELSE 'PRODUCES' END AS predicate_code"
+    )
+    return x.check_predicate(rows, PREDICATES).select("event_id", "predicate_reason")
+
+
+@query("x09_check_candidate", """
+    SELECT event_id, concat_ws(' | ', CASE WHEN value > 50 THEN 'claim requires an object entity or object value' END,
+        CASE WHEN value / 60 > 1 THEN 'confidence must be within 0..1' END, CASE WHEN user_id % 5 = 0 THEN 'char_end must be >= char_start' END,
+        CASE WHEN event_type IN ('error', 'view') THEN 'negation must use DENIES_INVOLVEMENT' END) AS reasons FROM events""")
+def x09(f: Frames) -> DataFrame:
+    rows = f.table("events").selectExpr(
+        "event_id", "CASE WHEN value <= 50 THEN user_id END AS object_id", "CAST(NULL AS STRING) AS object_value", "value / 60 AS confidence",
+        "10 AS char_start", "CASE WHEN user_id % 5 = 0 THEN 9 ELSE 10 END AS char_end",
+        "CASE event_type WHEN 'error' THEN 'DENY_IT' WHEN 'view' THEN 'NOT_MADE' ELSE 'PRODUCES' END AS predicate_code",
+    )
+    return x.check_candidate(rows).select("event_id", F.array_join("schema_reasons", " | ").alias("reasons"))
+
+
+@query("x10_claim_shapes", """
+    SELECT claim_id AS focus, 'predicate_code' AS shape FROM claim WHERE predicate_code = 'SUPPLIES_TO'
+    UNION ALL SELECT claim_id, 'confidence' FROM claim WHERE k > 90
+    UNION ALL SELECT claim_id, 'ontology_version' FROM claim WHERE k % 10 = 3
+    UNION ALL SELECT claim_id, 'claim_status' FROM claim WHERE claim_status = 'REJECTED'
+    UNION ALL SELECT claim_id, 'claim_object' FROM claim WHERE object_id IS NULL""")
+def x10(f: Frames) -> DataFrame:
+    broken = f.claims().withColumns(
+        {
+            "predicate_code": F.when(F.col("predicate_code") != "SUPPLIES_TO", F.col("predicate_code")).otherwise("SOLD_TO"),
+            "confidence": F.when(F.col("k") > 90, 1.5).otherwise(F.col("confidence")),
+            "ontology_version": F.when(F.col("k") % 10 == 3, "v1").otherwise(F.col("ontology_version")),
+            "claim_status": F.when(F.col("claim_status") != "REJECTED", F.col("claim_status")),
+            "object_value": F.lit(None).cast("string"),
+        }
+    )
+    return x.claim_shape_violations(broken)
+
+
+@query("x11_time_order", """
+    SELECT claim_id AS focus, 'valid_time' AS shape FROM claim WHERE k % 9 = 0 AND valid_to IS NOT NULL
+    UNION ALL SELECT claim_id, 'system_time' FROM claim WHERE k % 4 IN (0, 2)
+    UNION ALL SELECT claim_id, 'system_time_table' FROM claim WHERE k % 4 = 2""")
+def x11(f: Frames) -> DataFrame:
+    broken = f.claims().withColumns(
+        {
+            "valid_to": F.when(F.col("k") % 9 == 0, F.when(F.col("valid_to").isNotNull(), F.col("valid_from"))).otherwise(F.col("valid_to")),
+            "superseded_at": F.when(F.col("k") % 4 == 0, F.col("recorded_at"))
+            .when(F.col("k") % 4 == 2, F.col("recorded_at") - F.expr("make_dt_interval(1)")),
+        }
+    )
+    return x.time_order_violations(broken)
+
+
+@query("x12_accepted_without_evidence", """
+    SELECT claim_id FROM claim WHERE claim_status = 'ACCEPTED' AND claim_id NOT IN (SELECT claim_id FROM live_link)""")
+def x12(f: Frames) -> DataFrame:
+    return x.accepted_without_evidence(f.claims(), f.live_links()).select("claim_id")
+
+
+@query("x13_label_only_production", """
+    SELECT claim_id FROM claim WHERE business_stage = 'MASS_PRODUCTION' AND evidence_state = 'PLATFORM_CLASSIFICATION_ONLY'""")
+def x13(f: Frames) -> DataFrame:
+    return x.label_only_production(f.claims()).select("claim_id")
+
+
+@query("x14_revenue_without_period", "SELECT claim_id FROM claim WHERE evidence_state = 'REVENUE_DISCLOSED' AND report_period IS NULL")
+def x14(f: Frames) -> DataFrame:
+    return x.revenue_without_period(f.claims()).select("claim_id")
+
+
+@query("x15_tag_and_denial", """
+    WITH c AS (SELECT claim_id, CASE WHEN predicate_code = 'SUPPLIES_TO' THEN 'TAGGED_AS' ELSE predicate_code END AS p, business_stage,
+        CASE WHEN predicate_code = 'DENIES_INVOLVEMENT' AND k % 5 = 1 THEN 'PRODUCT_DISCLOSED' ELSE evidence_state END AS s FROM claim)
+    SELECT claim_id, 'tag_semantics' AS shape FROM c WHERE p = 'TAGGED_AS' AND (s <> 'PLATFORM_CLASSIFICATION_ONLY' OR coalesce(business_stage, 'UNKNOWN') <> 'UNKNOWN')
+    UNION ALL SELECT claim_id, 'denial_state' FROM c WHERE p = 'DENIES_INVOLVEMENT' AND s <> 'COMPANY_DENIAL'
+    UNION ALL SELECT claim_id, 'denial_evidence' FROM c WHERE p = 'DENIES_INVOLVEMENT' AND claim_id NOT IN (SELECT claim_id FROM live_link)""")
+def x15(f: Frames) -> DataFrame:
+    p, s = F.col("predicate_code"), F.col("evidence_state")
+    changed = f.claims().withColumns(
+        {
+            "evidence_state": F.when((p == "DENIES_INVOLVEMENT") & (F.col("k") % 5 == 1), "PRODUCT_DISCLOSED").otherwise(s),
+            "predicate_code": F.when(p == "SUPPLIES_TO", "TAGGED_AS").otherwise(p),
+        }
+    )
+    return x.tag_denial_violations(changed, f.live_links())
+
+
+@query("x16_object_not_product", """
+    SELECT claim_id FROM claim WHERE predicate_code IN ('PRODUCES', 'DEVELOPS', 'HAS_REVENUE_FROM') AND object_id IS NOT NULL
+      AND object_id NOT IN (SELECT product_id FROM product WHERE canonical_name <> 'Brand#7')""")
+def x16(f: Frames) -> DataFrame:
+    products = f.products().filter("canonical_name <> 'Brand#7'")
+    return x.object_not_product(f.claims(), products).select("claim_id")
+
+
+@query("x17_table_shapes", """
+    SELECT 'security' AS kind, CAST(s.security_id AS VARCHAR) AS focus, 'ts_code' AS shape FROM security s WHERE length(ts_code) <> 9
+    UNION ALL SELECT 'security', CAST(security_id AS VARCHAR), 'listed_on' FROM security WHERE exchange_code IS NULL
+    UNION ALL SELECT 'fragment', CAST(doc_id AS VARCHAR), 'quote_text' FROM documents WHERE length(text) < 5
+    UNION ALL SELECT 'observation', CAST(id AS VARCHAR), 'unit' FROM obs WHERE currency IS NULL
+    UNION ALL SELECT 'concept', CAST(p_partkey AS VARCHAR), 'source_platform' FROM part WHERE p_type = 'SMALL'""")
+def x17(f: Frames) -> DataFrame:
+    security = f.securities().withColumn("issuer_count", F.lit(1))
+    fragment = f.table("documents").selectExpr("doc_id AS id", "doc_id AS document_id", "text AS quote_text", "1 AS page_number")
+    obs = f.observations().withColumn("unit", F.col("currency"))
+    concept = f.table("part").selectExpr("p_partkey AS id", "p_name AS name", "CASE p_type WHEN 'SMALL' THEN 'DC' ELSE 'THS' END AS source_platform")
+    parts = {"security": security, "fragment": fragment, "observation": obs, "concept": concept, "company": f.company()}
+    frames = [
+        x.table_shape_violations(df, kind).select(F.lit(kind).alias("kind"), F.col("focus").cast("string").alias("focus"), "shape")
+        for kind, df in parts.items()
+    ]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+@query("x18_map_claim_objects", """
+    SELECT doc_id AS claim_id, item_id AS object_id FROM (
+        SELECT d.doc_id, b.item_id, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(b.text) DESC, b.item_id) AS n
+        FROM documents d JOIN benchmark b ON contains(d.text, b.text)) WHERE n = 1""")
+def x18(f: Frames) -> DataFrame:
+    quotes = f.table("documents").select(F.col("doc_id").alias("claim_id"), F.col("text").alias("quote_text"))
+    products = f.table("benchmark").select(F.col("item_id").alias("product_id"), F.col("text").alias("canonical_name"))
+    return x.map_claim_objects(quotes, products).filter("object_id IS NOT NULL").select("claim_id", "object_id")
+
+
+@query("x19_claim_quality", """
+    SELECT claims, accepted, accepted_grounded, round(accepted / claims, 4) AS acceptance_rate, round(accepted_grounded / accepted, 4) AS grounding_rate
+    FROM (SELECT count(*) AS claims, count(*) FILTER (claim_status = 'ACCEPTED') AS accepted,
+          count(*) FILTER (claim_status = 'ACCEPTED' AND claim_id IN (SELECT claim_id FROM live_link)) AS accepted_grounded FROM claim)""")
+def x19(f: Frames) -> DataFrame:
+    return x.claim_quality(f.claims(), f.live_links())
+
+
+@query("x20_default_valid_from", """
+    SELECT c.claim_id, CASE WHEN k % 2 = 0 THEN c.valid_from ELSE CAST(make_date(CAST(y.report_year AS INT), 1, 1) AS TIMESTAMP) END AS valid_from
+    FROM claim c LEFT JOIN (SELECT company_id, max(year(period_end)) AS report_year FROM fy_series GROUP BY 1) y ON y.company_id = c.subject_id""")
+def x20(f: Frames) -> DataFrame:
+    claims = f.claims().withColumn("valid_from", F.when(F.col("k") % 2 == 0, F.col("valid_from")))
+    years = f.observations().join(f.links(), "security_id").select(
+        F.col("company_id").alias("subject_id"), F.year("period_end").alias("report_year")
+    )
+    return x.default_valid_from(claims, years).select("claim_id", "valid_from")
+
 

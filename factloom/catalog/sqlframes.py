@@ -9,6 +9,16 @@ from factloom.functions.clean import WS_CLASS
 WS = WS_CLASS
 _K = "CAST(json_extract(props, '$.k') AS INT)"
 
+
+def _paragraphs(source: str) -> str:
+    return f"""
+        SELECT document_id, page_number, text, char_start, i - 1 AS paragraph_index, paras[i] AS para,
+               regexp_replace(paras[i], '^{WS}+|{WS}+$', '', 'g') AS stripped
+        FROM (SELECT *, unnest(generate_series(1, len(paras))) AS i FROM (
+            SELECT *, list_filter(string_split_regex(text, '\\n\\s*\\n|\\n'),
+                                  lambda p: regexp_replace(p, '^{WS}+|{WS}+$', '', 'g') <> '') AS paras FROM {source}))"""
+
+
 # Name -> SELECT; a frame may use frames above it
 FRAMES: dict[str, str] = {
     "obs": """
@@ -174,6 +184,22 @@ FRAMES: dict[str, str] = {
                CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_discount AS DECIMAL(10,2)) END AS hold_ratio
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
         JOIN security s ON s.security_id = o_custkey""",
+    "placed": """
+        SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY page_number
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start FROM page""",
+    "para": _paragraphs("placed"),
+    "headed": """
+        SELECT document_id, page_number, char_start,
+               concat('Chapter ', page_number, ' of ', document_id, chr(10), text, chr(10), '第二章 附录', chr(10), 'appendix of ', document_id) AS text
+        FROM placed""",
+    "headed_para": _paragraphs("headed"),
+    "frag": f"""
+        SELECT document_id, page_number, paragraph_index, char_start + strpos(text, para) - 1 AS char_start,
+               char_start + strpos(text, para) - 1 + length(para) AS char_end, stripped AS quote_text,
+               regexp_replace(regexp_replace(stripped, '{WS}+', ' ', 'g'), '^ +| +$', '', 'g') AS normalized_text
+        FROM para WHERE length(stripped) >= 10""",
+    "fragc": """
+        SELECT *, sha256(concat(page_number, '|', char_start, '|', normalized_text)) AS checksum FROM frag""",
     "vrow": """
         SELECT security_id, ts_code, split_part(ts_code, '.', 1) AS symbol, name, page, page // 5 AS run_id, (page % 5) * 100 AS page_offset,
                CASE WHEN page % 11 = 5 THEN 2 WHEN page % 13 = 6 THEN 3 WHEN page % 7 = 3 THEN 1 ELSE 0 END AS layout

@@ -162,9 +162,10 @@ def ground_quotes(quotes: DataFrame, fragments: DataFrame) -> DataFrame:
         F.col("page_number").alias("_page"),
         F.col("char_start").alias("_start"),
         F.col("char_end").alias("_end"),
-        F.col("quote_text").alias("_text"),
+        # Normalised once per fragment, before quotes multiply it
+        normalize_ws(F.col("quote_text")).alias("_text"),
     )
-    found = F.contains(normalize_ws(F.col("_text")), normalize_ws(F.col("quote_text")))
+    found = F.contains("_text", normalize_ws(F.col("quote_text")))
     same_place = (
         (F.col("_page") == F.col("page_number"))
         & (F.col("_start") == F.col("char_start"))
