@@ -175,8 +175,8 @@ SUBGRAPH = f"""{ENDS},
     walks AS (SELECT 1 AS hops, [s, n1] AS nodes, [e1] AS edges FROM h1
         UNION ALL SELECT 2, [s, n1, e.dst], [e1, e.edge_id] FROM h1 JOIN trade_und e ON e.src = n1 AND e.edge_id <> e1),
     top AS (SELECT *, row_number() OVER (ORDER BY hops, nodes, edges) AS p FROM walks ORDER BY hops, nodes, edges LIMIT 300),
-    seen AS (SELECT id, min((p, pos)) AS at FROM (SELECT p, unnest(nodes) AS id, generate_subscripts(nodes, 1) AS pos FROM top) GROUP BY 1),
-    kept AS (SELECT id, row_number() OVER (ORDER BY at) AS position, count(*) OVER () AS total FROM seen)"""
+    seen AS (SELECT id, min((p, pos)) AS first_at FROM (SELECT p, unnest(nodes) AS id, generate_subscripts(nodes, 1) AS pos FROM top) GROUP BY 1),
+    kept AS (SELECT id, row_number() OVER (ORDER BY first_at) AS position, count(*) OVER () AS total FROM seen)"""
 
 
 @query("g14_subgraph_nodes", f"""WITH {SUBGRAPH}
@@ -364,6 +364,6 @@ def g28(f: Frames) -> DataFrame:
 
 
 @query("g29_companies_of_product", f"""WITH {EDGES}
-    SELECT DISTINCT subject_id AS company_id FROM bedge WHERE object_id = 5 AND predicate_code = 'PRODUCES'""")
+    SELECT DISTINCT subject_id AS company_id FROM bedge WHERE object_id = 6 AND predicate_code = 'PRODUCES'""")
 def g29(f: Frames) -> DataFrame:
-    return g.companies_of_product(g.business_edges(f.claims()), 5)
+    return g.companies_of_product(g.business_edges(f.claims()), 6)

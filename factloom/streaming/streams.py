@@ -52,9 +52,28 @@ def land_batch(rows: DataFrame, existing: DataFrame) -> DataFrame:
     return vendor.new_raw_rows(vendor.with_payload_hash(rows), existing)
 
 
+def land_pages(
+    pages: DataFrame, dataset: Dataset, sink: str, checkpoint: str,
+    source_system: str = "VENDOR", once: bool = True,
+) -> StreamingQuery:
+    """M1: a stream of pages ``(dataset, run_id, offset, code, msg, fields, items)`` to raw rows."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        answered = vendor.classify_response(batch).filter(F.col("error_code").isNull())
+        ok, _, _ = vendor.drift_gate(answered, dataset)
+        good, _ = vendor.split_rows(vendor.page_rows(ok), dataset.required)
+        tagged = good.withColumns(
+            {"source_system": F.lit(source_system), "api_name": F.col("dataset")}
+        )
+        existing = _earlier_batches(batch.sparkSession, sink, batch_id, RAW_KEYS)
+        land_batch(tagged, existing).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    return _start(pages, write, checkpoint, once)
+
+
 def stream_land(
     spark: SparkSession, path: str, dataset: Dataset, sink: str, checkpoint: str,
-    source_system: str = "VENDOR", files_per_batch: int = 1000, once: bool = True,
+    files_per_batch: int = 1000, once: bool = True,
 ) -> StreamingQuery:
     """M1: page files to raw rows; the stream checkpoint is the durable cursor."""
     pages = (
@@ -73,18 +92,7 @@ def stream_land(
             F.col("data.items").alias("items"),
         )
     )
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        answered = vendor.classify_response(batch).filter(F.col("error_code").isNull())
-        ok, _, _ = vendor.drift_gate(answered, dataset)
-        good, _ = vendor.split_rows(vendor.page_rows(ok), dataset.required)
-        tagged = good.withColumns(
-            {"source_system": F.lit(source_system), "api_name": F.col("dataset")}
-        )
-        existing = _earlier_batches(batch.sparkSession, sink, batch_id, RAW_KEYS)
-        land_batch(tagged, existing).drop("items").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    return _start(pages, write, checkpoint, once)
+    return land_pages(pages, dataset, sink, checkpoint, once=once)
 
 
 def stream_normalize(
