@@ -28,10 +28,19 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WS_CHARS))
 
 
+def let(col: Column, use) -> Column:
+    """``use(col)`` with ``col`` bound once.
+
+    Written out, a value that is used several times is expanded each time, and
+    a record with many parsed fields then generates one method so large that
+    the JVM runs it uncompiled (over 100 microseconds per row).
+    """
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
 def clean_str(col: Column) -> Column:
     """Trimmed text, NULL for the null tokens."""
-    trimmed = strip(col.cast("string"))
-    return F.when(~trimmed.isin(NULL_TOKENS), trimmed)
+    return let(strip(col.cast("string")), lambda t: F.when(~t.isin(NULL_TOKENS), t))
 
 
 def upper_trim(col: Column) -> Column:
@@ -39,31 +48,37 @@ def upper_trim(col: Column) -> Column:
     return F.upper(clean_str(col))
 
 
+def _read_date(text: Column) -> Column:
+    compact = F.when(
+        text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")
+    )
+    dashed = F.when(
+        text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"),
+        F.try_to_timestamp(text, F.lit("yyyy-M-d")).cast("date"),
+    )
+    return F.coalesce(compact, dashed)
+
+
 def parse_date(col: Column) -> tuple[Column, Column]:
     """``(date, bad)``; ``bad`` marks a value that is present but unreadable."""
     text = clean_str(col)
-    date = F.coalesce(
-        F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")),
-        F.when(
-            text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"),
-            F.try_to_timestamp(text, F.lit("yyyy-M-d")).cast("date"),
-        ),
-    )
-    return date, text.isNotNull() & date.isNull()
+    return let(text, _read_date), let(text, lambda t: t.isNotNull() & _read_date(t).isNull())
+
+
+def _read_decimal(text: Column) -> Column:
+    return F.replace(text, F.lit(","), F.lit("")).try_cast("decimal(38,6)")
 
 
 def decimal_or_null(col: Column) -> tuple[Column, Column]:
     """C4: ``(decimal, bad)``; thousands separators are dropped, NULL never becomes 0."""
     text = clean_str(col)
-    number = F.replace(text, F.lit(","), F.lit("")).try_cast("decimal(38,6)")
-    return number, text.isNotNull() & number.isNull()
+    return let(text, _read_decimal), let(text, lambda t: t.isNotNull() & _read_decimal(t).isNull())
 
 
 def valid_ts_code(col: Column) -> tuple[Column, Column]:
     """``(code, bad)``; a missing code is bad too."""
-    code = upper_trim(col)
-    good = F.coalesce(code.rlike(TS_CODE), F.lit(False))
-    return F.when(good, code), ~good
+    code = let(upper_trim(col), lambda t: F.when(t.rlike(TS_CODE), t))
+    return code, code.isNull()
 
 
 def map_value(col: Column, mapping: Mapping[str, str], default: Column | None = None) -> Column:

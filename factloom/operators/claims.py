@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,11 @@ from factloom.functions.clean import TS_CODE, normalize_ws
 from factloom.functions.hashing import struct_hash
 from factloom.vocab import BUSINESS_STAGES, CLAIM_STATUS, CONCEPT_PLATFORMS, EVIDENCE_STATES, PREDICATES
 
+try:
+    import ahocorasick
+except ImportError:  # the gram join needs nothing beyond Spark
+    ahocorasick = None
+
 EXTRACTOR_VERSION = "rules-extractor-0.1.0"
 
 
@@ -57,16 +65,47 @@ INJECTION_PATTERN = "|".join(
 )
 
 
+REGEX_SYNTAX = re.compile(r"[\\()\[\]?*+.^$|{}]")
+
+
+def _split_alternatives(pattern: str) -> tuple[list[str], list[str]]:
+    """Top-level alternatives of a pattern: plain texts, and real expressions."""
+    parts, depth, start = [], 0, 0
+    for i, ch in enumerate(pattern):
+        escaped = i > 0 and pattern[i - 1] == "\\"
+        if ch in "([" and not escaped:
+            depth += 1
+        elif ch in ")]" and not escaped:
+            depth -= 1
+        elif ch == "|" and depth == 0 and not escaped:
+            parts.append(pattern[start:i])
+            start = i + 1
+    parts.append(pattern[start:])
+    plain = [p for p in parts if p and not REGEX_SYNTAX.search(p)]
+    return plain, [p for p in parts if p not in plain]
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """Case-insensitive search; ``(?u)`` folds and bounds words as Unicode does."""
-    return text.rlike(f"(?iuU){pattern}")
+    """Case-insensitive search for any alternative of the pattern.
+
+    Plain texts are looked up with ``contains`` on the lowered text, which is
+    far cheaper than an expression; expressions fold case and bound words as
+    Unicode does.
+    """
+    plain, regex = _split_alternatives(pattern)
+    found = [F.contains(F.lower(text), F.lit(p.lower())) for p in plain]
+    if regex:
+        joined = "|".join(regex)
+        flags = "iuU" if "\\" in joined else "iu"
+        found.append(text.rlike(f"(?{flags})({joined})"))
+    return reduce(lambda a, b: a | b, found)
 
 
 def screen_injection(
     fragments: DataFrame, pattern: str = INJECTION_PATTERN
 ) -> tuple[DataFrame, DataFrame]:
     """Fragments without, and with, instruction-like text."""
-    hit = _matches(F.col("quote_text"), f"({pattern})")
+    hit = _matches(F.col("quote_text"), pattern)
     notes = fragments.filter(hit).withColumn(
         "note", F.concat(F.lit("injection content treated as data: "), F.substring("checksum", 1, 12))
     )
@@ -75,7 +114,7 @@ def screen_injection(
 
 def hedge(df: DataFrame, pattern: str = HEDGE_PATTERN) -> DataFrame:
     """Hedged wording halves the trust in a claim."""
-    hedged = _matches(F.col("quote_text"), f"({pattern})")
+    hedged = _matches(F.col("quote_text"), pattern)
     return df.withColumn("hedged", hedged).withColumn(
         "confidence", F.when(F.col("hedged"), 0.5).otherwise(0.85)
     )
@@ -103,9 +142,9 @@ def extract_claims(
     clean, _ = screen_injection(fragments, injection_pattern)
     text = F.col("quote_text")
     first = reduce(
-        lambda acc, item: acc.when(_matches(text, f"({item[1].pattern})"), item[0]),
+        lambda acc, item: acc.when(_matches(text, item[1].pattern), item[0]),
         list(enumerate(rules))[1:],
-        F.when(_matches(text, f"({rules[0].pattern})"), 0),
+        F.when(_matches(text, rules[0].pattern), 0),
     )
     stages = F.array(*[F.lit(r.stage) for r in rules])
     states = F.array(*[F.lit(r.evidence) for r in rules])
@@ -412,12 +451,11 @@ def table_shape_violations(df: DataFrame, shape: str) -> DataFrame:
     raise ValueError(f"unknown shape {shape!r}")
 
 
-def map_claim_objects(
+def _map_by_grams(
     quotes: DataFrame, products: DataFrame, gram: int = 12, block: int = 256
 ) -> DataFrame:
-    """Product whose name occurs in the quote; longest name, then lowest id.
+    """X18 for dictionaries of any size.
 
-    ``quotes(claim_id, quote_text)``, ``products(product_id, canonical_name)``.
     An exact text search as an equi-join: the first ``gram`` characters of a
     name are looked up among the character grams of the quotes, and each hit is
     confirmed on the whole text. Names shorter than ``gram`` use grams of their
@@ -463,6 +501,55 @@ def map_claim_objects(
     )
 
 
+# Largest dictionary that is shipped to the tasks: names, and characters in total
+MAX_SHIPPED_NAMES = 200_000
+MAX_SHIPPED_CHARS = 16_000_000
+
+
+def map_claim_objects(
+    quotes: DataFrame, products: DataFrame, max_names: int = MAX_SHIPPED_NAMES
+) -> DataFrame:
+    """Product whose name occurs in the quote; longest name, then lowest id.
+
+    ``quotes(claim_id, quote_text)``, ``products(product_id, canonical_name)``.
+    A dictionary within the size bounds is searched in one pass over each quote
+    without a shuffle; a larger one goes through the gram join.
+    """
+    names = products.filter(F.length("canonical_name") > 0)
+    size = names.agg(
+        F.count(F.lit(1)).alias("names"),
+        F.coalesce(F.sum(F.length("canonical_name")), F.lit(0)).alias("chars"),
+    ).first()
+    if ahocorasick is None or size.names > max_names or size.chars > MAX_SHIPPED_CHARS:
+        return _map_by_grams(quotes, products)
+    words: dict[str, object] = {}
+    for row in names.groupBy("canonical_name").agg(F.min("product_id").alias("product_id")).collect():
+        words[row.canonical_name] = row.product_id
+    id_type = quotes.schema["claim_id"].dataType.simpleString()
+    object_type = products.schema["product_id"].dataType.simpleString()
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for name, product in words.items():
+            automaton.add_word(name, (-len(name), product, name))
+        if words:
+            automaton.make_automaton()
+        for batch in batches:
+            best = [
+                min((hit for _, hit in automaton.iter(text)), default=(0, None, None))
+                if text and words else (0, None, None)
+                for text in batch["quote_text"]
+            ]
+            ids = pd.Series([b[1] for b in best], dtype="object")
+            yield pd.DataFrame(
+                {"claim_id": batch["claim_id"], "object_id": ids, "product_name": [b[2] for b in best]}
+            )
+
+    return quotes.select("claim_id", "quote_text").mapInPandas(
+        search, f"claim_id {id_type}, object_id {object_type}, product_name string"
+    )
+
+
 def claim_quality(claims: DataFrame, links: DataFrame) -> DataFrame:
     """Acceptance and grounding rates."""
     linked = links.select("claim_id").distinct().withColumn("_linked", F.lit(1))

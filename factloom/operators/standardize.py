@@ -51,8 +51,15 @@ def _missing(value: Column, reason: str) -> Column:
 
 
 def _split(df: DataFrame, *reasons: Column, ref: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows without a reason, and the rejects of the others (first reason wins)."""
-    judged = df.withColumn("_reason", F.coalesce(*reasons, F.lit(None).cast("string")))
+    """Rows without a reason, and the rejects of the others (first reason wins).
+
+    The reason is a generated column, so it is computed once in a projection; as
+    a plain alias the filter would repeat every parse without sharing them.
+    """
+    reason = F.coalesce(*reasons, F.lit(None).cast("string"))
+    judged = (
+        df.withColumn("_r", reason).select("*", F.explode(F.array("_r")).alias("_reason")).drop("_r")
+    )
     rejects = judged.filter(F.col("_reason").isNotNull()).select(
         F.col("_reason").alias("reason"),
         "source_record_id",
