@@ -26,10 +26,13 @@ PREDICATE_BY_EVENT = {
 
 
 def _landed(fields: dict[str, str]) -> Column:
-    """Payload map as read back from a landed JSON record."""
+    """Payload map as one generated column.
+
+    A generated column is computed once per row, as a stored payload would be
+    read once; a plain alias would be expanded into every use of it.
+    """
     pairs = [x for name, e in fields.items() for x in (F.lit(name), F.expr(e).cast("string"))]
-    text = F.to_json(F.create_map(*pairs), {"ignoreNullFields": "false"})
-    return F.from_json(text, "map<string,string>")
+    return F.explode(F.array(F.create_map(*pairs)))
 
 
 class Frames:
