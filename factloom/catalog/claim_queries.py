@@ -138,7 +138,7 @@ def x06(f: Frames) -> DataFrame:
     FROM frag c WHERE c.document_id LIKE 'd%'""")
 def x06b(f: Frames) -> DataFrame:
     """Every paragraph quoted from its whole document; odd ones are fabricated."""
-    docs = f.table("documents").select(
+    docs = f.spread("documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("evidence_id"), F.lit(1).alias("document_version_id"),
         F.lit(1).alias("page_number"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"), F.col("text").alias("quote_text"),
     )
@@ -307,7 +307,7 @@ def x17(f: Frames) -> DataFrame:
         SELECT d.doc_id, b.item_id, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(b.text) DESC, b.item_id) AS n
         FROM documents d JOIN benchmark b ON contains(d.text, b.text)) WHERE n = 1""")
 def x18(f: Frames) -> DataFrame:
-    quotes = f.table("documents").select(F.col("doc_id").alias("claim_id"), F.col("text").alias("quote_text"))
+    quotes = f.spread("documents").select(F.col("doc_id").alias("claim_id"), F.col("text").alias("quote_text"))
     products = f.table("benchmark").select(F.col("item_id").alias("product_id"), F.col("text").alias("canonical_name"))
     return x.map_claim_objects(quotes, products).filter("object_id IS NOT NULL").select("claim_id", "object_id")
 

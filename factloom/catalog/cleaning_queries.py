@@ -85,7 +85,7 @@ def c07(f: Frames) -> DataFrame:
 @query("c08_normalize_ws", f"""
     SELECT doc_id, sha256(trim(regexp_replace(text, '{WS}+', ' ', 'g'), ' ')) AS hash FROM documents""")
 def c08(f: Frames) -> DataFrame:
-    return f.table("documents").select("doc_id", F.sha2(clean.normalize_ws(F.col("text")), 256).alias("hash"))
+    return f.spread("documents").select("doc_id", F.sha2(clean.normalize_ws(F.col("text")), 256).alias("hash"))
 
 
 @query("c09_contains_ci", """

@@ -53,7 +53,7 @@ MEMBERS = """
 
 
 def _raw_members(f: Frames) -> DataFrame:
-    base = f.table("orders").join(
+    base = f.spread("orders").join(
         f.securities().select(F.col("security_id").alias("o_custkey"), "ts_code"), "o_custkey"
     )
     return f._raw(
@@ -69,7 +69,7 @@ def _raw_members(f: Frames) -> DataFrame:
 
 
 def _raw_concepts(f: Frames) -> DataFrame:
-    base = f.table("orders").withColumn("rid", F.col("o_orderkey"))
+    base = f.spread("orders").withColumn("rid", F.col("o_orderkey"))
     return f._raw(
         base, "ths_index",
         {"ts_code": "CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END",
@@ -189,7 +189,7 @@ def n09(f: Frames) -> DataFrame:
            arg_min(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 50 AS INT), (o_orderkey % 1000, o_orderkey)) AS end_date
     FROM orders JOIN security s ON s.security_id = o_custkey AND length(s.ts_code) = 9 GROUP BY 1, 2, 3""")
 def n10(f: Frames) -> DataFrame:
-    base = f.table("orders").join(f.securities().select(F.col("security_id").alias("o_custkey"), "ts_code"), "o_custkey")
+    base = f.spread("orders").join(f.securities().select(F.col("security_id").alias("o_custkey"), "ts_code"), "o_custkey")
     raw = f._raw(
         base, "namechange",
         {"ts_code": "ts_code", "name": "o_orderstatus", "start_date": "date_format(o_orderdate, 'yyyyMMdd')",

@@ -47,6 +47,17 @@ class Frames:
             self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return self._tables[name]
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row.
+
+        A small file with one row group is read by one task, so its rows are
+        dealt out when there are fewer input splits than cores; a large table
+        has more splits than cores and is left as it is.
+        """
+        rows = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
     def observations(self) -> DataFrame:
         return self.table("orders").selectExpr(
             "o_orderkey AS id",
@@ -148,7 +159,7 @@ class Frames:
 
     def pages(self) -> DataFrame:
         """Page texts: every document is one page, every conversation turn a page."""
-        docs = self.table("documents").select(
+        docs = self.spread("documents").select(
             F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"),
             F.lit(1).alias("page_number"), "text",
         )
@@ -280,7 +291,7 @@ class Frames:
 
     def raw_statements(self) -> DataFrame:
         """Orders as cash-flow records with unreadable, absent and NULL values mixed in."""
-        base = self.table("orders").join(
+        base = self.spread("orders").join(
             self.securities().select(F.col("security_id").alias("o_custkey"), "ts_code"), "o_custkey", "left"
         )
         raw = self._raw(
@@ -302,7 +313,7 @@ class Frames:
     def raw_segments(self) -> DataFrame:
         """Lines as segment records of the ordering customer."""
         base = (
-            self.table("lineitem")
+            self.spread("lineitem")
             .join(self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.expr("l_orderkey = o_orderkey"))
             .join(self.table("part").select("p_partkey", "p_brand"), F.expr("l_partkey = p_partkey"))
             .join(self.securities().select(F.col("security_id").alias("o_custkey"), "ts_code"), "o_custkey")
@@ -347,7 +358,7 @@ class Frames:
     def raw_holders(self) -> DataFrame:
         """Supplier sales as holdings: holder, date and a ratio that may be missing."""
         base = (
-            self.table("lineitem")
+            self.spread("lineitem")
             .join(self.table("orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
             .join(self.table("supplier").select("s_suppkey", "s_name"), F.expr("l_suppkey = s_suppkey"))
             .join(self.securities().select(F.col("security_id").alias("o_custkey"), "ts_code"), "o_custkey")
