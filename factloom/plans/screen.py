@@ -257,9 +257,10 @@ def screen(tables: Mapping[str, DataFrame], plan: QueryPlan) -> Screen:
     graph = (tables["nodes"], tables["edges"]) if "edges" in tables else None
     ids, source, notes = candidates(plan, tables["claims"], graph)
     names = tables["company"].select(F.col("id").alias("company_id"), F.col("canonical_name").alias("company_name"))
-    live = bitemporal_claims(tables["claims"], plan.as_of, plan.known_at).join(
-        ids.select(F.col("company_id").alias("subject_id")), "subject_id", "left_semi"
-    )
+    live = bitemporal_claims(tables["claims"], plan.as_of, plan.known_at)
+    if plan.needs_graph or plan.subject_id is not None:
+        # Without a filter every accepted claim belongs to a candidate
+        live = live.join(ids.select(F.col("company_id").alias("subject_id")), "subject_id", "left_semi")
     ranked = ranked_claims(live, plan.max_results)
     newest = F.min_by(F.struct("business_stage", "evidence_state", "valid_from", "valid_to"), "_n")
     per_company = ranked.groupBy(F.col("subject_id").alias("company_id")).agg(
