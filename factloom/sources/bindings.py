@@ -209,7 +209,7 @@ class Frames:
         )
 
     def chain(self) -> DataFrame:
-        """Provenance chain: turns in order; every 50th link is broken on purpose."""
+        """Provenance entries: conversation turns in order, each with the turn before as parent."""
         turns = self.table("conversations").select(
             F.concat_ws("-", "conv_id", "turn").alias("entity_id"),
             F.col("role").alias("entity_type"),
