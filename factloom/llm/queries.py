@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import minhash, packing, quality, token_files
-from factloom.llm.common import table
+from factloom.llm import html, langid, minhash, packing, quality, token_files, urls
+from factloom.llm.common import remainder, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,23 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = remainder("doc_id", 5)
+    return langid.identify(docs, learn=part != 0, out="found").select(
+        "doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("score"), F.col("found.rejected").alias("rejected"),
+    )
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select("doc_id", *quality.MEASURES, "base_failed", "kept")
@@ -33,6 +51,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_url_filters": op4_url_filters,
+    "op5_html_extraction": op5_html_extraction,
     "op7_quality_rules": op7_quality_rules,
     "op9_token_files": op9_token_files,
 }
