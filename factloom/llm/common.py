@@ -63,19 +63,35 @@ _LOWER[65:91] += 32
 def _powers(name: str, base: int, n: int) -> np.ndarray:
     known = _POWERS.get(name)
     if known is None or len(known) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(1 << 16, 1 << max(n - 1, 1).bit_length())
         step = np.full(size, base, dtype=np.uint64)
         step[0] = 1
         known = _POWERS[name] = np.cumprod(step, dtype=np.uint64)
     return known
 
 
+def prefix_sums(codes: np.ndarray) -> np.ndarray:
+    """Sums of code * base**position before each position, for ``range_hashes``."""
+    n = len(codes)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, n)[:n], dtype=np.uint64, out=sums[1:])
+    return sums
+
+
+def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of codes; equal ranges have equal hashes wherever they stand.
+
+    The difference of two prefix sums is moved to position 0 by the inverse of
+    the base, then mixed with the length.
+    """
+    moved = (sums[ends] - sums[starts]) * _powers("down", _INVERSE, len(sums))[starts]
+    return mix(moved ^ (ends - starts).astype(np.uint64))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of several UTF-8 texts, and words per text.
 
-    Only A-Z are lower-cased. A word's hash depends on its bytes alone: the
-    difference of two prefix sums of byte * base**position, moved to position 0
-    by the inverse of the base, then mixed with the word's length.
+    Only A-Z are lower-cased. A word's hash depends on its bytes alone.
     """
     joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     joined = _LOWER[joined]
@@ -83,11 +99,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = ~blank
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edge[0::2], edge[1::2]
-    n = len(joined)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, n)[:n], dtype=np.uint64, out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _powers("down", _INVERSE, n)[starts]
-    hashes = mix(hashes ^ (ends - starts).astype(np.uint64))
+    hashes = range_hashes(prefix_sums(joined), starts, ends)
     limits = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, dtype=np.int64)
     per_text = np.diff(np.searchsorted(starts, limits), prepend=0)
     return hashes, per_text

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import html, langid, minhash, packing, quality, token_files, urls
+from factloom.llm import html, langid, minhash, packing, quality, sampling, token_files, topk, urls
 from factloom.llm.common import remainder, table
 
 
@@ -38,11 +38,20 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sampling.digests(sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("id") % 50 == 0)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -54,10 +63,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_url_filters": op4_url_filters,
     "op5_html_extraction": op5_html_extraction,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_rules": op7_quality_rules,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_token_files": op9_token_files,
 }
 
 SQL: dict[str, str] = {
     "op7_quality_rules": quality.QUALITY_SQL,
+    "op8_exact_top_k": topk.TOP_K_SQL,
 }
