@@ -1,5 +1,8 @@
 """Corpus pipeline: quality rules, language ID, near duplicates, packing.
 
+Defined cases are those of the operators that the stages call; an empty table
+passes through all stages.
+
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept,
 and is written as Parquet and read again as the next stage's documents. A stage
 drops whole rows and returns the columns of the documents; the last returns the
@@ -10,9 +13,10 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import quality
+from factloom.llm import langid, minhash, packing, quality
 from factloom.llm.common import table
 from factloom.session import ensure_checkpoint_dir
 
@@ -22,8 +26,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; learned from a sample of those that name theirs."""
+    return langid.keep(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with a similarity of 0.8 or more on five-word shingles."""
+    return minhash.unique(docs, percent=80)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
+#: A trained model and a packing are not for SQL to express; the tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -216,3 +216,11 @@ def identify(docs: DataFrame, learn: Column, text: str = "text", label: str = "l
     """Adds a struct (lang, score, rejected), learned from the rows where ``learn`` holds."""
     model = train(*sample(docs.where(learn), text, label))
     return docs.withColumn(out, predictor(docs.sparkSession, model)(F.col(text)))
+
+
+def keep(docs: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
+    """The rows whose language is told with a sufficient score, with the columns they came with."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    packed = docs.select(row, F.col(text).alias("_told"), F.col(label).alias("_label"))
+    known = F.col("_label").isNotNull()
+    return identify(packed, known, "_told", "_label", "_found").where("not _found.rejected").select("_row.*")

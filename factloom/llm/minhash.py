@@ -347,3 +347,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def unique(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, the one of the smallest key, with all its columns.
+
+    Rows that share a key are one document, of which one row stays; rows without key all stay.
+    """
+    kept = near_duplicates(docs, percent, key, text).where("kept and doc_id is not null").select(
+        F.col("doc_id").alias(key)
+    ).distinct()
+    named = docs.where(F.col(key).isNotNull())
+    return named.join(kept, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import html, langid, minhash, packing, quality, sampling, token_files, topk, urls
+from factloom.llm import html, katz, langid, minhash, packing, quality, sampling, token_files, topk, urls
 from factloom.llm.common import remainder, table
 
 
@@ -57,6 +57,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = remainder("doc_id", 5)
+    return katz.score(docs, held_out=part == 1, train=part != 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_token_files": op9_token_files,
+    "op10_katz_lm": op10_katz_lm,
 }
 
 SQL: dict[str, str] = {
