@@ -166,4 +166,6 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that are kept, with the columns they came with."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = docs.select(row.alias("_row"), F.col(text).alias("_judged"))
-    return judge(packed, "_judged").where("kept").select("_row.*")
+    # Filters pass projections, which would write the measures out anew at each use; they stop at the generator.
+    verdict = F.explode(F.array("kept")).alias("_stays")
+    return judge(packed, "_judged").select("_row", verdict).where("_stays").select("_row.*")
