@@ -127,12 +127,17 @@ def v06b(f: Frames) -> DataFrame:
 
 DECIDED = """dec AS (SELECT event_id AS decision_id, event_id + 1000000000 - CAST(round(value) AS INT) % 3 AS task_id,
         CASE WHEN user_id % 3 = 0 THEN 'REJECTED' ELSE 'ACCEPTED' END AS decision, ts AS decided_at FROM events),
-    jud AS (SELECT d.*, row_number() OVER (PARTITION BY d.task_id ORDER BY decided_at, decision_id) AS rk, t.claim_id, t.status AS task_status, c.claim_status
+    jud AS (SELECT d.*, t.claim_id, t.status AS task_status, c.claim_status,
+            (decision = 'ACCEPTED' AND claim_status IN ('VALIDATED', 'NEEDS_REVIEW', 'CONTRADICTED'))
+             OR (decision = 'REJECTED' AND claim_status IN ('NEEDS_REVIEW', 'EXTRACTED')) AS legal
         FROM dec d LEFT JOIN task t USING (task_id) LEFT JOIN claim c ON c.claim_id = t.claim_id),
-    fin AS (SELECT *, CASE WHEN task_status IS NULL THEN 'task not found' WHEN rk > 1 THEN 'decided before'
-        WHEN task_status NOT IN ('OPEN', 'IN_PROGRESS') THEN 'task closed' WHEN claim_status IS NULL THEN 'claim not found'
-        WHEN NOT ((decision = 'ACCEPTED' AND claim_status IN ('VALIDATED', 'NEEDS_REVIEW', 'CONTRADICTED'))
-             OR (decision = 'REJECTED' AND claim_status IN ('NEEDS_REVIEW', 'EXTRACTED'))) THEN 'illegal transition' END AS conflict FROM jud)"""
+    won AS (SELECT claim_id, task_id AS won_task, decision_id AS won_by, decided_at AS won_at FROM jud
+        WHERE legal AND task_status IN ('OPEN', 'IN_PROGRESS')
+        QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY decided_at, decision_id) = 1),
+    fin AS (SELECT *, CASE WHEN task_status IS NULL THEN 'task not found' WHEN task_status NOT IN ('OPEN', 'IN_PROGRESS') THEN 'task closed'
+        WHEN claim_status IS NULL THEN 'claim not found' WHEN decision_id = won_by THEN NULL
+        WHEN task_id = won_task AND (decided_at > won_at OR decided_at = won_at AND decision_id > won_by) THEN 'decided before'
+        ELSE 'illegal transition' END AS conflict FROM jud LEFT JOIN won USING (claim_id))"""
 
 
 def _decisions(f: Frames) -> DataFrame:

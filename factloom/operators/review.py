@@ -219,26 +219,36 @@ def dedup_decisions(decisions: DataFrame) -> DataFrame:
 def apply_decisions(
     tasks: DataFrame, claims: DataFrame, decisions: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """V7: ``(applied, conflicts)``; the first decision of an open task wins."""
-    order = Window.partitionBy("task_id").orderBy("decided_at", "decision_id")
+    """V7: ``(applied, conflicts)``; the first legal decision of a claim wins.
+
+    A decision that the claim's status forbids is refused and leaves its task open, so a later
+    legal one is applied. The winner moves the claim to a status from which no decision leads on:
+    later ones of its task were decided before, those of the claim's other tasks are illegal.
+    """
     table = transitions(tasks.sparkSession).filter(F.col("machine") == "claim").select(
         F.col("from_status").alias("claim_status"), F.col("to_status").alias("decision"),
         F.lit(True).alias("_legal"),
     )
-    judged = (
-        decisions.withColumn("_rank", F.row_number().over(order))
+    seen = (
+        decisions
         .join(tasks.select("task_id", "claim_id", F.col("status").alias("task_status")), "task_id", "left")
         .join(claims.select("claim_id", "claim_status"), "claim_id", "left")
         .join(table, ["claim_status", "decision"], "left")
+    )
+    place = F.struct("decided_at", "decision_id", "task_id")
+    legal = F.col("_legal").isNotNull() & F.col("task_status").isin(OPEN_TASK)
+    winners = seen.filter(legal).groupBy("claim_id").agg(F.min(place).alias("_won"))
+    judged = (
+        seen.join(winners, "claim_id", "left")
         .withColumn(
             "conflict",
             F.when(F.col("task_status").isNull(), "task not found")
-            .when(F.col("_rank") > 1, "decided before")
             .when(~F.col("task_status").isin(OPEN_TASK), "task closed")
             .when(F.col("claim_status").isNull(), "claim not found")
-            .when(F.col("_legal").isNull(), "illegal transition"),
+            .when((F.col("task_id") == F.col("_won.task_id")) & (place > F.col("_won")), "decided before")
+            .when(~F.coalesce(place == F.col("_won"), F.lit(False)), "illegal transition"),
         )
-        .drop("_rank", "_legal")
+        .drop("_won", "_legal")
     )
     applied = judged.filter(F.col("conflict").isNull()).select(
         "task_id", "decision_id", "claim_id",

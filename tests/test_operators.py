@@ -193,3 +193,16 @@ def test_commit_shows_all_or_nothing(spark, tmp_path):
     spark.range(4).write.parquet(path)
     sinks.replace_layer(spark.read.parquet(path).filter("id > 1"), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_first_legal_decision_wins(spark, at):
+    tasks = spark.createDataFrame([("t1", "c1", "OPEN"), ("t2", "c2", "OPEN"), ("t3", "c2", "OPEN"), ("t4", "c3", "COMPLETED")], "task_id string, claim_id string, status string")
+    claims = spark.createDataFrame([("c1", "VALIDATED"), ("c2", "NEEDS_REVIEW"), ("c3", "VALIDATED")], "claim_id string, claim_status string")
+    rows = [("d1", "t1", "REJECTED", 1), ("d2", "t1", "ACCEPTED", 2), ("d3", "t1", "ACCEPTED", 3), ("d4", "t3", "ACCEPTED", 2),
+            ("d5", "t2", "REJECTED", 3), ("d6", "t4", "ACCEPTED", 1), ("d7", "t9", "ACCEPTED", 1)]
+    decisions = spark.createDataFrame([(d, t, x, at(2024, 1, n), "r") for d, t, x, n in rows], "decision_id string, task_id string, decision string, decided_at timestamp_ntz, reviewer string")
+    applied, refused = review.apply_decisions(tasks, claims, decisions)
+    assert {(r.decision_id, r.after_status) for r in applied.collect()} == {("d2", "ACCEPTED"), ("d4", "ACCEPTED")}
+    assert {r.decision_id: r.conflict for r in refused.collect()} == {
+        "d1": "illegal transition", "d3": "decided before", "d5": "illegal transition", "d6": "task closed", "d7": "task not found",
+    }
