@@ -134,9 +134,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = spread(back, fixed(seeds(hosts, "bad"))).withColumnRenamed("rank", "distrust")
     limit = THRESHOLD / (hosts.agg(F.sum("bad")).first()[0] or 1.0)
-    known = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").select(
+    # Fixed, so that both sides of the join with the pages come straight from a shuffle and hot hosts are split.
+    known = fixed(hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").select(
         "host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
-    )
+    ))
     found = judged.join(known, "host", "left").withColumns({
         "trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0)),
     })
