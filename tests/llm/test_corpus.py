@@ -138,6 +138,41 @@ def test_katz(spark):
     assert sum(better) > len(better) / 2
 
 
+def test_katz_keeps_pairs_seen_once(spark):
+    """Against a model of all pairs, written without ``LEAST_PAIR``."""
+    rng = random.Random(6)
+    texts = {k: " ".join(prose(rng, 40)) for k in range(60)} | {70: "only once", 71: "only once more"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    learned = [[*words(t), "</s>"] for k, t in texts.items() if k != 71]
+    one, two = Counter(), Counter()
+    for s in learned:
+        one.update(s)
+        two.update(zip(["<s>", *s[:-1]], s, strict=True))
+    n, d1, d2 = sum(one.values()), katz.discounts(Counter(one.values())), katz.discounts(Counter(two.values()))
+    assert two["only", "once"] == 1 and 0 < d2[1] < 1 and sum(c == 1 for c in two.values()) > len(two) / 2
+    p = {w: c * (d1 + [1.0])[min(c, len(d1))] / n for w, c in one.items()}
+    unknown = 1 - sum(p.values())
+
+    def after(h: str, w: str) -> float:
+        ch = len(learned) if h == "<s>" else one[h]
+        own = {v: c * (d2 + [1.0])[min(c, len(d2))] for (g, v), c in two.items() if g == h}
+        if not own:
+            return p.get(w, unknown)
+        ch += sum(own.values()) > ch - 1e-9
+        return own[w] / ch if w in own else (1 - sum(own.values()) / ch) / (1 - sum(p[v] for v in own)) * p.get(w, unknown)
+
+    got = {r["doc_id"]: r["score"] for r in katz.score(docs, F.col("doc_id") == 71, F.col("doc_id") != 71).collect()}
+    for k, t in texts.items():
+        tokens = [*words(t), "</s>"]
+        assert got[k] == pytest.approx(sum(math.log10(after(h, w)) for h, w in zip(["<s>", *tokens[:-1]], tokens, strict=True)), abs=1e-6), k
+
+
+def test_katz_where_all_words_follow_one_history(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, ""), (3, "b")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in katz.score(docs, F.col("doc_id") == 3, F.col("doc_id") != 3).collect()}
+    assert len(got) == 3 and all(math.isfinite(x) and x < 0 for x in got.values())
+
+
 def test_katz_without_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     part = remainder("doc_id", 5)
