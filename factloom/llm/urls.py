@@ -4,8 +4,11 @@ A url takes the verdict of the longest rule that fits. Hosts of allowed urls
 seed trust, hosts of blocked urls distrust. Trust is a personalised PageRank
 along links; distrust one along reversed links, since a page answers for what it
 links to. Links are gathered per pair of hosts before anything else, so the graph
-has one row per pair, and each round is two joins and two sums by host. A host
-is blocked when its distrust is above its trust and above a threshold.
+has one row per pair, and each round is two joins and two sums by host. Ranks
+are divided among all hosts, so they do not decide. A host is blocked when its
+distrusted share, the chance that a walk along its links meets a blocked host, is
+above a threshold and above its trusted share, the same chance for allowed hosts
+along reversed links; neither depends on how many other hosts do as it does.
 
 The list of rules is a parameter and part of the query; it is not meant for
 millions of rules.
@@ -27,9 +30,9 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import fixed
 
-#: Share of a rank that follows links; rounds at most; change at which rounds end.
-DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
-#: Distrust that blocks, in parts of what a host starts with whose urls are all blocked.
+#: Share that follows links; rounds at most, more than the tolerance can need (2 * 0.85**90 < 1e-6); change at which rounds end.
+DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
+#: Distrusted share that blocks; 1 is a host whose urls are all blocked.
 THRESHOLD = 0.5
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 
@@ -109,6 +112,32 @@ def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFram
     return ranks
 
 
+def reach(links: DataFrame, marks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(host, reach): chance that a walk from the host along links (src, dst, n) meets marks (host, mark).
+
+    The walk stops at a host with the chance ``mark`` and goes on from it with
+    ``DAMPING``; hosts that are left out have 0.
+    """
+    out = links.groupBy("src").agg(F.sum("n").alias("all"))
+    shares = fixed(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
+    met = marks.select("host", F.col("mark").alias("reach"))
+    for _ in range(rounds):
+        ahead = (
+            shares.join(met, shares.dst == met.host)
+            .groupBy("src").agg((DAMPING * F.sum(F.col("reach") * F.col("share"))).alias("ahead"))
+        )
+        mark = F.coalesce("mark", F.lit(0.0))
+        following = fixed(marks.join(ahead, marks.host == ahead.src, "full").select(
+            F.coalesce("host", "src").alias("host"), (mark + (1 - mark) * F.coalesce("ahead", F.lit(0.0))).alias("reach"),
+        ))
+        old = met.select("host", F.col("reach").alias("old"))
+        change = following.join(old, "host", "left").agg(F.max(F.col("reach") - F.coalesce("old", F.lit(0.0)))).first()[0]
+        met = following
+        if (change or 0.0) < TOLERANCE:
+            break
+    return met
+
+
 def seeds(hosts: DataFrame, column: str) -> DataFrame:
     """(host, seed) from hosts with a weight, summing to 1."""
     chosen = hosts.where(F.col(column) > 0).select("host", F.col(column).alias("w"))
@@ -116,7 +145,7 @@ def seeds(hosts: DataFrame, column: str) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, host, path, rule, verdict, trust and distrust of every page."""
+    """page_id, host, path, rule, verdict, trust, distrust, trusted_share and distrusted_share of every page."""
     host, path = host_and_path("url")
     parsed = pages.select(
         F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")
@@ -133,15 +162,16 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id
     trust = spread(links, fixed(seeds(hosts, "good"))).withColumnRenamed("rank", "trust")
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = spread(back, fixed(seeds(hosts, "bad"))).withColumnRenamed("rank", "distrust")
-    limit = THRESHOLD / (hosts.agg(F.sum("bad")).first()[0] or 1.0)
+    marked = lambda column: fixed(hosts.where(F.col(column) > 0).select("host", F.col(column).alias("mark")))
+    trusted = reach(back, marked("good")).withColumnRenamed("reach", "trusted_share")
+    distrusted = reach(links, marked("bad")).withColumnRenamed("reach", "distrusted_share")
+    figures = ["trust", "distrust", "trusted_share", "distrusted_share"]
+    known = hosts.select("host")
+    for found in (trust, distrust, trusted, distrusted):
+        known = known.join(found, "host", "left")
     # Fixed, so that both sides of the join with the pages come straight from a shuffle and hot hosts are split.
-    known = fixed(hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").select(
-        "host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
-    ))
-    found = judged.join(known, "host", "left").withColumns({
-        "trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0)),
-    })
-    by_graph = F.when((F.col("distrust") > limit) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
-    return found.select(
-        "page_id", "host", "path", "rule", F.coalesce("ruled", by_graph).alias("verdict"), "trust", "distrust"
-    )
+    known = fixed(known.select("host", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in figures)))
+    found = judged.join(known, "host", "left").withColumns({x: F.coalesce(x, F.lit(0.0)) for x in figures})
+    bad = F.col("distrusted_share")
+    by_graph = F.when((bad > THRESHOLD) & (bad > F.col("trusted_share")), "block").otherwise("allow")
+    return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_graph).alias("verdict"), *figures)

@@ -88,6 +88,35 @@ def test_distrust_reaches_who_links_to_blocked_hosts(spark):
     assert urls.judge(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("linkers", [1, 10, 100])
+def test_one_blocked_host_counts_for_each_linker(spark, linkers):
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    rows = [("http://bad.net/es/1", ""), ("http://fine.org/", ""), ("http://good.com/", link("both.org")),
+            ("http://both.org/", link("bad.net")), ("http://some.org/", link("bad.net") + link("fine.org"))]
+    rows += [(f"http://farm{k}.org/", link("bad.net")) for k in range(linkers)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["host"]: r for r in urls.judge(frame).collect()}
+    # both.org is linked only by an allowed host, and half of some.org's links go to a blocked one.
+    assert {h: r["verdict"] for h, r in got.items()} == {
+        "bad.net": "block", "fine.org": "allow", "good.com": "allow", "both.org": "allow", "some.org": "allow",
+    } | {f"farm{k}.org": "block" for k in range(linkers)}
+    assert got["farm0.org"]["distrusted_share"] == pytest.approx(urls.DAMPING, abs=1e-5)
+    # A fixed point: what the blocked host does not hold is divided among its linkers.
+    d, shares = urls.DAMPING, linkers + 2
+    assert got["farm0.org"]["distrust"] == pytest.approx(got["bad.net"]["distrust"] * d / shares, abs=1e-6)
+
+
+def test_ranks_and_shares_reach_far_hosts(spark):
+    """Along a chain of 40 hosts, with the rounds that ``judge`` takes."""
+    links = spark.createDataFrame([(f"h{k + 1}", f"h{k}", 1) for k in range(40)], "src string, dst string, n long")
+    share = {r["host"]: r["reach"] for r in urls.reach(links, spark.createDataFrame([("h0", 1.0)], "host string, mark double")).collect()}
+    assert all(share[f"h{k}"] == pytest.approx(urls.DAMPING**k, abs=1e-5) for k in range(41))
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    rank = {r["host"]: r["rank"] for r in urls.spread(back, spark.createDataFrame([("h0", 1.0)], "host string, seed double")).collect()}
+    first = (1 - urls.DAMPING) / (1 - urls.DAMPING**41)
+    assert all(rank[f"h{k}"] == pytest.approx(first * urls.DAMPING**k, abs=1e-5) for k in range(41))
+
+
 PAGE = """<html><head><title>Site</title><style>p {}</style></head><body><header><a href=/>Home</a></header>
 <nav><ul><li><a href=/a>One</a></li><li>Two</li></ul></nav><div class="{holder}"><h1>Head &amp; line</h1>
 <p>First  paragraph\nwith <b>bold</b> text and more words to read.</p><div class=advert>Buy this now</div>
