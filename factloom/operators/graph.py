@@ -316,8 +316,9 @@ def subgraph(
 ) -> tuple[DataFrame, DataFrame]:
     """``(nodes, edges)`` around one company.
 
-    Up to ``max_paths`` walks in a fixed order, then up to ``max_nodes`` nodes in
-    the order they appear; edges of cut nodes are left out, and ``truncated`` says so.
+    Up to ``max_nodes`` nodes in the order in which all walks reach them, and the
+    edges between these from the first walk to each and the first ``max_paths``
+    walks. ``truncated`` says that there are more nodes or more walks than that.
     """
     if hops not in (1, 2):
         raise ValueError("hops must be 1 or 2")
@@ -326,28 +327,28 @@ def subgraph(
     )
     und = _undirected(edges, SUBGRAPH_RELATIONS)
     levels = _walk(und, company_id, hops)[1:]
-    paths = (
-        _union([level.withColumn("hops", F.lit(i + 1)) for i, level in enumerate(levels)])
-        .join(labels.select("_at"), "_at", "left_semi")
-        .orderBy("hops", "_nodes", "_edges")
-        .limit(max_paths)
-    )
-    # From here at most ``max_paths`` rows remain
-    order = Window.orderBy("hops", "_nodes", "_edges")
-    ranked = paths.withColumn("_path", F.row_number().over(order))
+    walks = _union([level.withColumn("hops", F.lit(i + 1)) for i, level in enumerate(levels)]).join(
+        labels.select("_at"), "_at", "left_semi"
+    )
+    first = F.min(F.struct(F.struct("hops", "_nodes", "_edges").alias("walk"), F.col("_pos"))).alias("_first")
     seen = (
-        ranked.select("_path", F.posexplode("_nodes").alias("_pos", "id"))
-        .groupBy("id")
-        .agg(F.min(F.struct("_path", "_pos")).alias("_first"))
-        .withColumn("_n", F.row_number().over(Window.orderBy("_first")))
+        walks.select("hops", "_nodes", "_edges", F.posexplode("_nodes").alias("_pos", "id"))
+        .groupBy("id").agg(first).orderBy("_first").limit(max_nodes + 1)
     )
+    # From here at most ``max_nodes`` + 1 nodes, ``max_paths`` walks and one count remain
+    count = walks.agg(F.count(F.lit(1)).alias("walks"))
     total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    kept = seen.withColumn("truncated", total > max_nodes).filter(F.col("_n") <= max_nodes)
+    kept = seen.withColumns({
+        "_n": F.row_number().over(Window.orderBy("_first")),
+        "truncated": (total > max_nodes) | (count.scalar() > max_paths),
+    }).filter(F.col("_n") <= max_nodes)
     node_rows = kept.join(
         nodes.select("id", "label", "canonical_name"), "id", "left"
     ).select("id", "label", "canonical_name", F.col("_n").alias("position"), "truncated")
     ids = kept.select("id")
-    used = ranked.select(F.explode("_edges").alias("edge_id")).distinct()
+    used = walks.orderBy("hops", "_nodes", "_edges").limit(max_paths).select(F.explode("_edges").alias("edge_id")).union(
+        kept.select(F.explode("_first.walk._edges").alias("edge_id"))
+    ).distinct()
     extra = [c for c in ("claim_id",) if c in edges.columns]
     edge_rows = (
         edges.join(used, "edge_id", "left_semi")

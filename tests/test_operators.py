@@ -206,3 +206,18 @@ def test_first_legal_decision_wins(spark, at):
     assert {r.decision_id: r.conflict for r in refused.collect()} == {
         "d1": "illegal transition", "d3": "decided before", "d5": "illegal transition", "d6": "task closed", "d7": "task not found",
     }
+
+
+def test_subgraph_tells_of_parallel_edges(spark):
+    """Many edges to one neighbour neither hide the others nor pass as a whole result."""
+    shape = "id string, label string, canonical_name string"
+    nodes = spark.createDataFrame([(x, "Company", x) for x in "abcd"], shape)
+    pairs = [("a", "b")] * 8 + [("a", "c"), ("a", "d")]
+    edges = spark.createDataFrame(
+        [(f"e{k}", s, d, "SUPPLIES_TO") for k, (s, d) in enumerate(pairs)], "edge_id string, src string, dst string, rel_type string"
+    )
+    cut, found = (x.collect() for x in graph.subgraph(nodes, edges, "a", 1, max_nodes=10, max_paths=5))
+    assert sorted((r["position"], r["id"], r["truncated"]) for r in cut) == [(k + 1, x, True) for k, x in enumerate("abcd")]
+    assert sorted(r["edge_id"] for r in found) == ["e0", "e1", "e2", "e3", "e4", "e8", "e9"]
+    whole, found = (x.collect() for x in graph.subgraph(nodes, edges, "a", 1, max_nodes=4, max_paths=10))
+    assert len(whole) == 4 and len(found) == 10 and not any(r["truncated"] for r in whole)
