@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import html, katz, langid, minhash, packing, quality, sampling, token_files, topk, urls
+from factloom.llm import html, katz, langid, minhash, packing, quality, sampling, token_counts, token_files, topk, urls
 from factloom.llm.common import remainder, table
 
 
@@ -63,6 +63,10 @@ def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(docs, held_out=part == 1, train=part != 1)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_token_files": op9_token_files,
     "op10_katz_lm": op10_katz_lm,
+    "op11_token_counts": op11_token_counts,
 }
 
 SQL: dict[str, str] = {
