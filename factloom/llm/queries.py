@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import html, katz, langid, minhash, packing, quality, sampling, token_counts, token_files, topk, urls
+from factloom.llm import html, katz, langid, minhash, packing, prefix_trie, quality, sampling, token_counts, token_files, topk, urls
 from factloom.llm.common import remainder, table
 
 
@@ -67,6 +67,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -79,9 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_katz_lm": op10_katz_lm,
     "op11_token_counts": op11_token_counts,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 SQL: dict[str, str] = {
     "op7_quality_rules": quality.QUALITY_SQL,
     "op8_exact_top_k": topk.TOP_K_SQL,
+    "op12_prefix_trie": prefix_trie.PREFIX_TRIE_SQL,
 }
