@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import html, katz, langid, minhash, packing, prefix_trie, quality, sampling, token_counts, token_files, topk, urls
+from factloom.llm import html, katz, langid, minhash, negatives, packing, prefix_trie, quality, sampling, token_counts, token_files, topk, urls
 from factloom.llm.common import remainder, table
 
 
@@ -71,6 +71,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(
+        table(spark, sf_dir, "embeddings"), is_anchor=F.col("id") % 100 == 0, relabel=negatives.SHIFTED
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -84,10 +90,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_katz_lm": op10_katz_lm,
     "op11_token_counts": op11_token_counts,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
     "op7_quality_rules": quality.QUALITY_SQL,
     "op8_exact_top_k": topk.TOP_K_SQL,
     "op12_prefix_trie": prefix_trie.PREFIX_TRIE_SQL,
+    "op13_hard_negatives": negatives.HARD_NEGATIVES_SQL,
 }
