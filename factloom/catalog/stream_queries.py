@@ -38,18 +38,47 @@ def _collected(stream: DataFrame, work: str) -> DataFrame:
     return stream.sparkSession.read.parquet(f"{work}/rows")
 
 
-@query("m01_stream_land", f"""WITH {STOP}
-    SELECT ts_code, r.run_id FROM vrow r LEFT JOIN stop USING (run_id) WHERE stop.at IS NULL OR page_offset < stop.at""")
-def m01(f: Frames) -> DataFrame:
+LANDED_SQL = f"""WITH {STOP}
+    SELECT ts_code, CAST(r.run_id AS VARCHAR) AS run_id FROM vrow r LEFT JOIN stop USING (run_id) WHERE stop.at IS NULL OR page_offset < stop.at"""
+
+
+def _landed(f: Frames, files: int, files_per_batch: int) -> DataFrame:
+    """Vendor pages spread over files without regard to their order, landed as a stream."""
     work = _work(f)
-    f.vendor_pages().write.parquet(f"{work}/landing")
+    f.vendor_pages().repartition(files, F.xxhash64("run_id", "offset")).write.parquet(f"{work}/landing")
     schema = f.spark.read.parquet(f"{work}/landing").schema
-    pages = vendor.parse_vendor_pages(f.spark.readStream.schema(schema).parquet(f"{work}/landing"))
-    streams.land_pages(pages, BASIC, f"{work}/raw", f"{work}/checkpoint").awaitTermination()
-    raw = streams.read_batches(f.spark, f"{work}/raw", "payload map<string,string>, run_id bigint")
+    stream = f.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{work}/landing")
+    pages = vendor.parse_vendor_pages(stream)
+    streams.land_pages(pages, BASIC, f"{work}/raw", f"{work}/checkpoint", step=100).awaitTermination()
+    raw = streams.read_batches(f.spark, f"{work}/raw", "payload map<string,string>, run_id string")
     return raw.select(F.try_element_at("payload", F.lit("ts_code")).alias("ts_code"), "run_id")
 
 
+@query("m01_stream_land", LANDED_SQL)
+def m01(f: Frames) -> DataFrame:
+    return _landed(f, 4, 1000)
+
+
+@query("m01_stream_land_in_batches", LANDED_SQL)
+def m01_in_batches(f: Frames) -> DataFrame:
+    """The same pages, one file per micro-batch: pages of a run come in several batches, some early."""
+    return _landed(f, 4, 1)
+
+
+@query("m01_gate_outcomes", f"""WITH {STOP}
+    SELECT CAST(p.run_id AS VARCHAR) AS run_id, p.page_offset AS "offset",
+           CASE WHEN stop.at IS NULL OR p.page_offset < stop.at THEN 'taken' WHEN p.page_offset = stop.at THEN 'fused' ELSE 'skipped' END AS outcome
+    FROM vpage p LEFT JOIN stop USING (run_id)""")
+def m01_outcomes(f: Frames) -> DataFrame:
+    """Every page with its outcome, so that no page is lost between batches."""
+    work = _work(f)
+    f.vendor_pages().repartition(3, F.xxhash64("run_id", "offset")).write.parquet(f"{work}/landing")
+    schema = f.spark.read.parquet(f"{work}/landing").schema
+    stream = f.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/landing")
+    gated = streams.gate_pages(vendor.parse_vendor_pages(stream), BASIC, step=100)
+    return _collected(gated, work).select("run_id", "offset", "outcome")
+
+
 @query("m02_stream_normalize", "SELECT ts_code, name, status FROM std_sec")
 def m02(f: Frames) -> DataFrame:
     work = _work(f)
