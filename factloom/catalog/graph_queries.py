@@ -170,28 +170,66 @@ def g13(f: Frames) -> DataFrame:
     return g.company_edges(g.business_edges(f.claims()), wanted).select("claim_id", "stage", "valid_from", "recorded_at")
 
 
-SUBGRAPH = f"""{ENDS},
-    h1 AS (SELECT e.src AS s, e.dst AS n1, e.edge_id AS e1 FROM trade_und e JOIN ends ON e.src = ends.a),
+def subgraph_sql(edge: str, start: str, where: str = "true") -> str:
+    """All walks of up to two steps, all counted, and the nodes in the order in which they are reached."""
+    return f"""
+    und AS (SELECT edge_id, src, dst FROM {edge} UNION ALL SELECT edge_id, dst, src FROM {edge} WHERE src <> dst),
+    h1 AS (SELECT src AS s, dst AS n1, edge_id AS e1 FROM und WHERE src = {start}),
     walks AS (SELECT 1 AS hops, [s, n1] AS nodes, [e1] AS edges FROM h1
-        UNION ALL SELECT 2, [s, n1, e.dst], [e1, e.edge_id] FROM h1 JOIN trade_und e ON e.src = n1 AND e.edge_id <> e1),
-    top AS (SELECT *, row_number() OVER (ORDER BY hops, nodes, edges) AS p FROM walks ORDER BY hops, nodes, edges LIMIT 300),
-    seen AS (SELECT id, min((p, pos)) AS first_at FROM (SELECT p, unnest(nodes) AS id, generate_subscripts(nodes, 1) AS pos FROM top) GROUP BY 1),
-    kept AS (SELECT id, row_number() OVER (ORDER BY first_at) AS position, count(*) OVER () AS total FROM seen)"""
+        UNION ALL SELECT 2, [s, n1, e.dst], [e1, e.edge_id] FROM h1 JOIN und e ON e.src = n1 AND e.edge_id <> e1),
+    nwalk AS (SELECT *, row_number() OVER (ORDER BY hops, nodes, edges) AS p, count(*) OVER () AS walks FROM walks WHERE {where}),
+    seen AS (SELECT id, min((p, pos)) AS first_at, any_value(walks) AS walks
+        FROM (SELECT p, walks, unnest(nodes) AS id, generate_subscripts(nodes, 1) AS pos FROM nwalk) GROUP BY 1),
+    kept AS (SELECT id, first_at[1] AS p, row_number() OVER (ORDER BY first_at) AS position, count(*) OVER () AS total, walks FROM seen),
+    used AS (SELECT DISTINCT unnest(edges) AS edge_id FROM nwalk WHERE p <= 300 OR p IN (SELECT p FROM kept WHERE position <= 40))"""
 
 
-@query("g14_subgraph_nodes", f"""WITH {SUBGRAPH}
-    SELECT k.id, n.label, n.canonical_name, k.position, total > 40 AS truncated FROM kept k LEFT JOIN trade_node n USING (id) WHERE position <= 40""")
+SUBGRAPH = f"{ENDS}, {subgraph_sql('trade_edge', '(SELECT a FROM ends)')}"
+KEPT_SQL = "SELECT k.id, n.label, n.canonical_name, k.position, total > 40 OR walks > 300 AS truncated FROM kept k LEFT JOIN {} n USING (id) WHERE position <= 40"
+USED_SQL = """SELECT e.edge_id, e.src, e.dst, e.rel_type FROM {} e JOIN used USING (edge_id)
+    WHERE e.src IN (SELECT id FROM kept WHERE position <= 40) AND e.dst IN (SELECT id FROM kept WHERE position <= 40)"""
+
+
+@query("g14_subgraph_nodes", f"WITH {SUBGRAPH} {KEPT_SQL.format('trade_node')}")
 def g14(f: Frames) -> DataFrame:
     return g.subgraph(f.trade_nodes(), f.trade_edges(), trade_ends(f)[0], 2, 40)[0]
 
 
-@query("g14_subgraph_edges", f"""WITH {SUBGRAPH}
-    SELECT DISTINCT e.edge_id, e.src, e.dst, e.rel_type FROM trade_edge e JOIN (SELECT unnest(edges) AS edge_id FROM top) u USING (edge_id)
-    WHERE e.src IN (SELECT id FROM kept WHERE position <= 40) AND e.dst IN (SELECT id FROM kept WHERE position <= 40)""")
+@query("g14_subgraph_edges", f"WITH {SUBGRAPH} {USED_SQL.format('trade_edge')}")
 def g14b(f: Frames) -> DataFrame:
     return g.subgraph(f.trade_nodes(), f.trade_edges(), trade_ends(f)[0], 2, 40)[1]
 
 
+# Customers as edges from their market segment to their nation: few nodes, many edges between two of them.
+# Nations bear no shown label here, so they are seen only on the way to another segment or back.
+SEGMENT_SQL = f"""WITH sedge AS (
+        SELECT concat('c', c_custkey) AS edge_id, c_mktsegment AS src, concat('n', c_nationkey) AS dst, 'SUPPLIES_TO' AS rel_type FROM customer),
+    snode AS (SELECT DISTINCT c_mktsegment AS id, 'Concept' AS label, c_mktsegment AS canonical_name FROM customer
+        UNION ALL SELECT DISTINCT concat('n', c_nationkey), 'Claim', 'nation' FROM customer),
+    {subgraph_sql('sedge', "'AUTOMOBILE'", "list_last(nodes) IN (SELECT c_mktsegment FROM customer)")}"""
+
+
+def _segments(f: Frames) -> tuple[DataFrame, DataFrame]:
+    nation = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    edges = f.table("customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("edge_id"), F.col("c_mktsegment").alias("src"),
+        nation.alias("dst"), F.lit("SUPPLIES_TO").alias("rel_type"),
+    )
+    segments = edges.select(F.col("src").alias("id"), F.lit("Concept").alias("label"), F.col("src").alias("canonical_name"))
+    nations = edges.select(F.col("dst").alias("id"), F.lit("Claim").alias("label"), F.lit("nation").alias("canonical_name"))
+    return segments.distinct().unionByName(nations.distinct()), edges
+
+
+@query("g14_parallel_edges_nodes", f"{SEGMENT_SQL} {KEPT_SQL.format('snode')}")
+def g14c(f: Frames) -> DataFrame:
+    return g.subgraph(*_segments(f), "AUTOMOBILE", 2, 40)[0]
+
+
+@query("g14_parallel_edges_edges", f"{SEGMENT_SQL} {USED_SQL.format('sedge')}")
+def g14d(f: Frames) -> DataFrame:
+    return g.subgraph(*_segments(f), "AUTOMOBILE", 2, 40)[1]
+
+
 @query("g15_subgraph_status", """
     SELECT 'STALE' AS status, CAST(0 AS BIGINT) AS nodes, count(*) AS accepted_claims FROM claim
     WHERE claim_status = 'ACCEPTED' AND subject_id = (SELECT max(user_id) FROM events)""")

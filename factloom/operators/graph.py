@@ -12,17 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.paths import relation_paths, subgraph, supply_neighbors  # noqa: F401
 from factloom.operators.scaling import beside
 from factloom.session import ensure_checkpoint_dir
 from factloom.vocab import EDGE_PREDICATES, NODE_LABELS, RELATION_TYPES
 
 HISTORY = ["ACCEPTED", "CONTRADICTED", "SUPERSEDED"]
-PATH_RELATIONS = ["PRODUCES", "SUPPLIES_TO", "USES_TECHNOLOGY"]
-SUBGRAPH_RELATIONS = [*PATH_RELATIONS, "TAGGED_AS"]
-SUPPLY_RELATIONS = ["PRODUCES", "SUPPLIES_TO"]
-SUBGRAPH_LABELS = ["Company", "Product", "Concept"]
-MAX_HOPS = 4
-MAX_PATHS = 300
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -227,81 +222,6 @@ def companies_by_stage(edges: DataFrame, stage: str) -> DataFrame:
     ).select(F.col("src").alias("company_id")).distinct()
 
 
-def _undirected(edges: DataFrame, rel_types: list[str]) -> DataFrame:
-    kept = edges.filter(F.col("rel_type").isin(rel_types)).select("edge_id", "src", "dst", "rel_type")
-    back = kept.filter(F.col("src") != F.col("dst")).select(
-        "edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type"
-    )
-    return kept.unionByName(back)
-
-
-def _walk(und: DataFrame, start, hops: int) -> list[DataFrame]:
-    """Edge-unique walks from one node: frames for 0..hops, end node in ``_at``."""
-    spark = und.sparkSession
-    zero = spark.range(1).select(
-        F.lit(start).cast(und.schema["src"].dataType).alias("_at"),
-        F.array(F.lit(start).cast(und.schema["src"].dataType)).alias("_nodes"),
-        F.array().cast("array<string>").alias("_edges"),
-        F.array().cast("array<string>").alias("_rels"),
-    )
-    levels = [zero]
-    for hop in range(1, hops + 1):
-        if hop == 1:
-            step = und.filter(F.col("src") == start).select(
-                F.col("dst").alias("_at"),
-                F.array("src", "dst").alias("_nodes"),
-                F.array("edge_id").alias("_edges"),
-                F.array("rel_type").alias("_rels"),
-            )
-        else:
-            step = (
-                levels[-1]
-                .join(und, F.col("_at") == F.col("src"))
-                .filter(~F.array_contains("_edges", F.col("edge_id")))
-                .select(
-                    F.col("dst").alias("_at"),
-                    F.array_append("_nodes", F.col("dst")).alias("_nodes"),
-                    F.array_append("_edges", F.col("edge_id")).alias("_edges"),
-                    F.array_append("_rels", F.col("rel_type")).alias("_rels"),
-                )
-            )
-        levels.append(step)
-    return levels
-
-
-def relation_paths(
-    edges: DataFrame, src, dst, max_hops: int = 2, rel_types: list[str] | None = None,
-    limit: int | None = None,
-) -> DataFrame:
-    """Edge-unique undirected paths between two nodes, shortest first.
-
-    Walks start at both ends and meet in the middle, so no walk is longer than
-    two hops and only the edges around the two ends are expanded.
-    """
-    if not 1 <= max_hops <= MAX_HOPS:
-        raise ValueError("max_hops must be 1..4")
-    und = _undirected(edges, rel_types or PATH_RELATIONS)
-    left = _walk(und, src, (max_hops + 1) // 2)
-    right = _walk(und, dst, max_hops // 2)
-    parts = []
-    for hops in range(1, max_hops + 1):
-        a = left[(hops + 1) // 2]
-        b = right[hops // 2].select(
-            "_at", *[F.col(c).alias(f"{c}_b") for c in ("_nodes", "_edges", "_rels")]
-        )
-        joined = a.join(b, "_at").filter(~F.arrays_overlap("_edges", "_edges_b"))
-        parts.append(
-            joined.select(
-                F.lit(hops).alias("hops"),
-                F.concat("_nodes", F.slice(F.reverse("_nodes_b"), 2, MAX_HOPS)).alias("path_nodes"),
-                F.concat("_rels", F.reverse("_rels_b")).alias("path_rels"),
-                F.concat("_edges", F.reverse("_edges_b")).alias("path_edges"),
-            )
-        )
-    paths = _union(parts).orderBy("hops", "path_nodes", "path_edges")
-    return paths if limit is None else paths.limit(limit)
-
-
 def company_edges(edges: DataFrame, company_id) -> DataFrame:
     """Production edges of one company, oldest first."""
     return edges.filter((F.col("src") == company_id) & (F.col("rel_type") == "PRODUCES")).select(
@@ -310,55 +230,6 @@ def company_edges(edges: DataFrame, company_id) -> DataFrame:
     ).orderBy("recorded_at", "claim_id")
 
 
-def subgraph(
-    nodes: DataFrame, edges: DataFrame, company_id, hops: int = 1, max_nodes: int = 100,
-    max_paths: int = MAX_PATHS,
-) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, edges)`` around one company.
-
-    Up to ``max_nodes`` nodes in the order in which all walks reach them, and the
-    edges between these from the first walk to each and the first ``max_paths``
-    walks. ``truncated`` says that there are more nodes or more walks than that.
-    """
-    if hops not in (1, 2):
-        raise ValueError("hops must be 1 or 2")
-    labels = nodes.filter(F.col("label").isin(SUBGRAPH_LABELS)).select(
-        F.col("id").alias("_at"), "label", "canonical_name"
-    )
-    und = _undirected(edges, SUBGRAPH_RELATIONS)
-    levels = _walk(und, company_id, hops)[1:]
-    walks = _union([level.withColumn("hops", F.lit(i + 1)) for i, level in enumerate(levels)]).join(
-        labels.select("_at"), "_at", "left_semi"
-    )
-    first = F.min(F.struct(F.struct("hops", "_nodes", "_edges").alias("walk"), F.col("_pos"))).alias("_first")
-    seen = (
-        walks.select("hops", "_nodes", "_edges", F.posexplode("_nodes").alias("_pos", "id"))
-        .groupBy("id").agg(first).orderBy("_first").limit(max_nodes + 1)
-    )
-    # From here at most ``max_nodes`` + 1 nodes, ``max_paths`` walks and one count remain
-    count = walks.agg(F.count(F.lit(1)).alias("walks"))
-    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    kept = seen.withColumns({
-        "_n": F.row_number().over(Window.orderBy("_first")),
-        "truncated": (total > max_nodes) | (count.scalar() > max_paths),
-    }).filter(F.col("_n") <= max_nodes)
-    node_rows = kept.join(
-        nodes.select("id", "label", "canonical_name"), "id", "left"
-    ).select("id", "label", "canonical_name", F.col("_n").alias("position"), "truncated")
-    ids = kept.select("id")
-    used = walks.orderBy("hops", "_nodes", "_edges").limit(max_paths).select(F.explode("_edges").alias("edge_id")).union(
-        kept.select(F.explode("_first.walk._edges").alias("edge_id"))
-    ).distinct()
-    extra = [c for c in ("claim_id",) if c in edges.columns]
-    edge_rows = (
-        edges.join(used, "edge_id", "left_semi")
-        .join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-        .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        .select("edge_id", "src", "dst", "rel_type", *extra)
-    )
-    return node_rows, edge_rows
-
-
 def subgraph_status(
     company_id, node_rows: DataFrame | None, companies: DataFrame, claims: DataFrame
 ) -> DataFrame:
@@ -390,16 +261,6 @@ def fallback_claims(claims: DataFrame, company_id, limit: int = 50) -> DataFrame
     )
 
 
-def supply_neighbors(edges: DataFrame, company_id, max_hops: int = 3) -> DataFrame:
-    """Walks over production and supply, as relation pattern and end node with their number."""
-    und = _undirected(edges, SUPPLY_RELATIONS)
-    levels = _walk(und, company_id, max_hops)[1:]
-    walks = _union([w.select("_at", "_rels") for w in levels])
-    return walks.groupBy(
-        F.col("_at").alias("neighbor"), F.array_join("_rels", ">").alias("rels")
-    ).agg(F.count(F.lit(1)).alias("paths"))
-
-
 def claims_for(claims: DataFrame, subject_id, predicate: str) -> DataFrame:
     """G17."""
     return claims.filter((F.col("subject_id") == subject_id) & (F.col("predicate_code") == predicate))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from factloom.functions.hashing import struct_hash
 from factloom.operators import finance
 from factloom.operators.conflicts import conflict_warnings
-from factloom.operators.graph import companies_by_concept, companies_by_stage, relation_paths
+from factloom.operators.graph import companies_by_concept, companies_by_stage
+from factloom.operators.paths import relation_paths
 from factloom.plans.model import NumericFilter, QueryPlan
 
 FRESHNESS = {

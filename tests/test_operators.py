@@ -1,13 +1,15 @@
 """Operators on literal rows: restatement, replay, drift, grounding, conflicts, chain, paths."""
 
 import datetime as dt
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions.clean import clean_str, decimal_or_null, parse_date, valid_ts_code
 from factloom.operators import claims as x
-from factloom.operators import conflicts, graph, provenance, review, standardize
+from factloom.operators import conflicts, graph, paths, provenance, review, standardize
 from factloom.operators.scaling import dense_index
 from factloom.sources import sinks, vendor
 from factloom.sources.registry import DATASETS
@@ -221,3 +223,41 @@ def test_subgraph_tells_of_parallel_edges(spark):
     assert sorted(r["edge_id"] for r in found) == ["e0", "e1", "e2", "e3", "e4", "e8", "e9"]
     whole, found = (x.collect() for x in graph.subgraph(nodes, edges, "a", 1, max_nodes=4, max_paths=10))
     assert len(whole) == 4 and len(found) == 10 and not any(r["truncated"] for r in whole)
+
+
+def _every_walk(edges, start, hops):
+    """All walks from a node that use no edge twice, one by one."""
+    steps = [(e, a, b, r) for e, a, b, r in edges] + [(e, b, a, r) for e, a, b, r in edges if a != b]
+    walks, out = [([start], [], [])], []
+    for _ in range(hops):
+        walks = [(n + [b], e + [i], r + [t]) for n, e, r in walks for i, a, b, t in steps if a == n[-1] and i not in e]
+        out += walks
+    return out
+
+
+def test_walks_are_counted_without_being_listed(spark):
+    """Neighbours and subgraphs against all walks, with loops, parallel edges and hidden nodes."""
+    rng = random.Random(4)
+    for size in (4, 7):
+        rows = [(f"e{k:02d}", rng.choice("abcdefg"[:size]), rng.choice("abcdefg"[:size]), rng.choice(["PRODUCES", "SUPPLIES_TO"])) for k in range(14)]
+        rows += [("l1", "a", "a", "PRODUCES"), ("l2", "a", "a", "PRODUCES"), ("p1", "a", "b", "PRODUCES"), ("p2", "b", "a", "SUPPLIES_TO")]
+        edges = spark.createDataFrame(rows, "edge_id string, src string, dst string, rel_type string")
+        want = Counter((n[-1], ">".join(r)) for n, _, r in _every_walk(rows, "a", 3))
+        assert {(r.neighbor, r.rels): r.paths for r in paths.supply_neighbors(edges, "a").collect()} == want
+        nodes = spark.createDataFrame([(x, "Claim" if x in "bd" else "Company", x) for x in "abcdefg"], "id string, label string, canonical_name string")
+        for most_nodes, most_walks in ((10, 6), (3, 1000)):
+            walks = sorted(((len(e), n, e) for n, e, _ in _every_walk(rows, "a", 2) if n[-1] not in "bd"))
+            seen = {}
+            for walk in walks:
+                for pos, x in enumerate(walk[1]):
+                    seen.setdefault(x, (walk, pos))
+            kept = sorted(seen, key=seen.get)[:most_nodes]
+            got, found = (x.collect() for x in paths.subgraph(nodes, edges, "a", 2, most_nodes, most_walks))
+            assert [r.id for r in sorted(got, key=lambda r: r.position)] == kept
+            assert {r.truncated for r in got} == {len(seen) > most_nodes or len(walks) > most_walks}
+            used = {e for w in [*walks[:most_walks], *(seen[x][0] for x in kept)] for e in w[2]}
+            assert {r.edge_id for r in found} == {e for e, a, b, _ in rows if e in used and a in kept and b in kept}
+        for limit in (1, 5):
+            listed = sorted((len(e), n, e) for n, e, _ in _every_walk(rows, "a", 4) if n[-1] == "c")[:limit]
+            got = paths.relation_paths(edges, "a", "c", 4, limit=limit).collect()
+            assert [(r.hops, r.path_nodes, r.path_edges) for r in got] == listed
