@@ -292,7 +292,8 @@ def themes(f: Frames) -> DataFrame:
       AND valid_from <= TIMESTAMP '2024-01-20' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-20')
       AND concat('brand:', object_id) IN (SELECT child FROM closure WHERE ancestor = 'type:STANDARD')""")
 def g19(f: Frames) -> DataFrame:
-    closure = g.taxonomy_closure(f.taxonomy())
+    wanted = themes(f).filter(F.col("theme") == THEME).select(F.col("product_id").alias("ancestor"))
+    closure = g.taxonomy_closure(f.taxonomy(), to=wanted)
     return g.companies_in_theme(brand_claims(f), closure, themes(f), THEME, ["MASS_PRODUCTION", "SMALL_BATCH"], AS_OF)
 
 

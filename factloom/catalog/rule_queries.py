@@ -27,8 +27,8 @@ RELEVANT = f"""{THEMES}, {ACTIVE},
 
 
 def _relevance(f: Frames) -> DataFrame:
-    closure = g.taxonomy_closure(f.taxonomy())
     mapped = themes(f).withColumn("mapping_confidence", F.lit(0.9).cast("double"))
+    closure = g.taxonomy_closure(f.taxonomy(), to=mapped.select(F.col("product_id").alias("ancestor")))
     return r.verified_relevance(brand_claims(f), f.live_links(), closure, mapped, AS_OF)
 
 
@@ -58,7 +58,7 @@ def r03(f: Frames) -> DataFrame:
       AND brand IN (SELECT child FROM closure WHERE ancestor = 'root:goods' AND hops BETWEEN 2 AND 3) GROUP BY 1""")
 def r04(f: Frames) -> DataFrame:
     root = f.taxonomy().filter("parent = 'root:goods'").select(F.col("parent").alias("product_id"), F.col("parent").alias("theme")).distinct()
-    closure = g.taxonomy_closure(f.taxonomy())
+    closure = g.taxonomy_closure(f.taxonomy(), to=root.select(F.col("product_id").alias("ancestor")))
     return r.second_order_exposure(brand_claims(f), f.live_links(), closure, root, AS_OF).drop("predicate_code")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.paths import relation_paths, subgraph, supply_neighbors  # noqa: F401
 from factloom.operators.scaling import beside
-from factloom.session import ensure_checkpoint_dir
+from factloom.operators.taxonomy import taxonomy_closure, taxonomy_violations  # noqa: F401
 from factloom.vocab import EDGE_PREDICATES, NODE_LABELS, RELATION_TYPES
 
 HISTORY = ["ACCEPTED", "CONTRADICTED", "SUPERSEDED"]
@@ -285,23 +285,6 @@ def verified_products(edges: DataFrame, claims: DataFrame, links: DataFrame, as_
     )
 
 
-def taxonomy_closure(taxonomy: DataFrame, max_hops: int = 4) -> DataFrame:
-    """Ancestors per node with the fewest hops, 0..max_hops."""
-    step = taxonomy.select("child", "parent").distinct()
-    nodes = step.select(F.col("child").alias("id")).union(step.select("parent")).distinct()
-    level = nodes.select(F.col("id").alias("child"), F.col("id").alias("ancestor"))
-    levels = [level.withColumn("hops", F.lit(0))]
-    hop_frame = step.select("child", F.col("parent").alias("ancestor"))
-    for hop in range(1, max_hops + 1):
-        if hop > 1:
-            up = step.select(F.col("child").alias("ancestor"), "parent")
-            hop_frame = (
-                hop_frame.join(up, "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
-            )
-        levels.append(hop_frame.withColumn("hops", F.lit(hop)))
-    return _union(levels).groupBy("child", "ancestor").agg(F.min("hops").alias("hops"))
-
-
 def companies_in_theme(
     claims: DataFrame, closure: DataFrame, themes: DataFrame, theme, stages: list[str], as_of
 ) -> DataFrame:
@@ -364,47 +347,6 @@ def theme_paths(
     )
 
 
-def full_closure(taxonomy: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """All ancestors at any distance: paths are doubled until none is new."""
-    ensure_checkpoint_dir(taxonomy.sparkSession)
-    reach = taxonomy.select("child", F.col("parent").alias("ancestor")).distinct().checkpoint()
-    known = reach.count()
-    for _ in range(max_rounds):
-        longer = reach.alias("a").join(
-            reach.alias("b"), F.col("a.ancestor") == F.col("b.child")
-        ).select("a.child", "b.ancestor")
-        reach = reach.union(longer).distinct().checkpoint()
-        size = reach.count()
-        if size == known:
-            return reach
-        known = size
-    raise RuntimeError("taxonomy closure did not settle")
-
-
-def taxonomy_violations(taxonomy: DataFrame, labels: DataFrame, schemes: DataFrame) -> DataFrame:
-    """``labels(id, lang, label)``, ``schemes(id, scheme)``; one row per node and broken rule."""
-    own = taxonomy.filter(F.col("child") == F.col("parent")).select(
-        F.col("child").alias("id"), F.lit("self_parent").alias("rule")
-    )
-    cycle = full_closure(taxonomy).filter(F.col("child") == F.col("ancestor")).select(
-        F.col("child").alias("id"), F.lit("cycle").alias("rule")
-    )
-    ids = schemes.select("id").union(
-        taxonomy.select(F.col("child").alias("id"))
-    ).distinct()
-    scheme_count = schemes.groupBy("id").agg(F.count_distinct("scheme").alias("n"))
-    scheme = ids.join(scheme_count, "id", "left").filter(F.coalesce("n", F.lit(0)) != 1).select(
-        "id", F.lit("one_scheme").alias("rule")
-    )
-    doubled = labels.groupBy("id", "lang").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "id", F.lit("one_label_per_language").alias("rule")
-    )
-    unlabelled = ids.join(labels.select("id"), "id", "left_anti").select(
-        "id", F.lit("label_required").alias("rule")
-    )
-    return _union([own, cycle, scheme, doubled, unlabelled]).distinct()
-
-
 def edge_integrity(edges: DataFrame, claims: DataFrame) -> DataFrame:
     """Operating edges without a claim id, and claim ids without a claim."""
     bare = edges.filter(F.col("rel_type").isin(EDGE_PREDICATES) & F.col("claim_id").isNull()).select(

@@ -74,3 +74,15 @@ def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first.select(
         "*", *[other.select(c).scalar().alias(c) for other in others for c in other.columns]
     )
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join in which one key may hold most rows of the left side.
+
+    The left rows of a key are dealt into up to ``salts`` shares by a hash of ``by``.
+    Only one row per share meets the right side, so that side is copied per share
+    of a key that needs it and not per row, and no share is more than a part of a key.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
+    shares = salted.select(*keys, "_salt").distinct().join(right, keys)
+    return salted.join(shares, [*keys, "_salt"], how).drop("_salt")

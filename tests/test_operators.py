@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.clean import clean_str, decimal_or_null, parse_date, valid_ts_code
 from factloom.operators import claims as x
-from factloom.operators import conflicts, graph, paths, provenance, review, standardize
+from factloom.operators import conflicts, graph, paths, provenance, review, standardize, taxonomy
 from factloom.operators.scaling import dense_index
 from factloom.sources import sinks, vendor
 from factloom.sources.registry import DATASETS
@@ -181,9 +181,28 @@ def test_paths_are_edge_unique(spark):
         "edge_id string, src string, dst string, rel_type string")
     got = sorted((r.hops, ">".join(r.path_edges)) for r in graph.relation_paths(edges, "a", "c", 4).collect())
     assert got == [(2, "1>2"), (2, "3>2")]
-    cycle = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "child string, parent string")
-    own = graph.full_closure(cycle).filter("child = ancestor")
-    assert {r.child for r in own.collect()} == {"a", "b", "c"}
+
+
+def test_taxonomy_closure_and_cycles(spark):
+    rng = random.Random(9)
+    for _ in range(3):
+        pairs = {(f"n{rng.randrange(30):02d}", f"n{rng.randrange(12):02d}") for _ in range(34)} | {("leaf", "n03"), ("n03", "n04")}
+        steps = {n: {n: 0} for pair in pairs for n in pair}
+        for hop in range(1, 40):
+            for n, known in steps.items():
+                for x in [b for a, b in pairs if known.get(a) == hop - 1]:
+                    known.setdefault(x, hop)
+        frame = spark.createDataFrame(sorted(pairs), "child string, parent string")
+        want = {(n, x, h) for n, known in steps.items() for x, h in known.items() if h <= 4}
+        assert {tuple(r) for r in taxonomy.taxonomy_closure(frame).collect()} == want
+        only = spark.createDataFrame([("n03",), ("n05",), ("none",)], "ancestor string")
+        assert {tuple(r) for r in taxonomy.taxonomy_closure(frame, to=only).collect()} == {w for w in want if w[1] in ("n03", "n05")}
+        # A node lies on a cycle if it is its own parent or if another node leads to it and back.
+        mates = {n: {m for m in steps if n in steps[m] and m in steps[n]} for n in steps}
+        cyclic = {n: min(m) for n, m in mates.items() if len(m) > 1 or (n, n) in pairs}
+        got = {r.id: r.cycle for r in taxonomy.cyclic_nodes(frame).collect()}
+        assert set(got) == set(cyclic)
+        assert all(got[n] == cyclic[n] for n in got if (n, n) not in pairs)
 
 
 def test_commit_shows_all_or_nothing(spark, tmp_path):
