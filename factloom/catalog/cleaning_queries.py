@@ -55,7 +55,7 @@ def c04(f: Frames) -> DataFrame:
 @query("c05_valid_ts_code", """
     SELECT rid, CASE WHEN code_ok THEN base_code END AS code, NOT code_ok AS bad FROM raw_sec""")
 def c05(f: Frames) -> DataFrame:
-    code, bad = clean.valid_ts_code(F.try_element_at("payload", F.lit("ts_code")))
+    code, bad = clean.valid_ts_code(F.try_element_at("payload", F.lit("ts_code")), clean.LONG_TS_CODE)
     return f.raw_securities().select(F.col("source_record_id").alias("rid"), code.alias("code"), bad.alias("bad"))
 
 
@@ -65,7 +65,7 @@ def c06(f: Frames) -> DataFrame:
     from factloom.vocab import EXCHANGE_BY_SUFFIX, LIST_STATUS
 
     get = lambda n: F.try_element_at("payload", F.lit(n))
-    code, bad = clean.valid_ts_code(get("ts_code"))
+    code, bad = clean.valid_ts_code(get("ts_code"), clean.LONG_TS_CODE)
     return f.raw_securities().filter(~bad).select(
         F.col("source_record_id").alias("rid"),
         clean.map_value(clean.clean_str(get("list_status")), LIST_STATUS, F.lit("UNKNOWN")).alias("status"),

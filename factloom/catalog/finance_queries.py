@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.catalog.registry import query
+from factloom.functions.clean import LONG_TS_CODE
 from factloom.operators import finance
 from factloom.operators.standardize import business_segments, products_from_segments
 from factloom.sources.bindings import Frames
@@ -182,8 +183,7 @@ def f13(f: Frames) -> DataFrame:
            CAST(revenue AS DOUBLE) AS revenue
     FROM segment WHERE segment_type = 'PRODUCT' AND revenue > 0""")
 def f14(f: Frames) -> DataFrame:
-    codes = f.securities().filter(F.length("ts_code") == 9)
-    segments, _, _ = business_segments(f.raw_segments(), codes, f.links())
+    segments, _, _ = business_segments(f.raw_segments(), f.securities(), f.links(), code_form=LONG_TS_CODE)
     _, mapped = products_from_segments(segments)
     return finance.revenue_evidence(mapped).select(
         "subject_id", "object_id", "report_period", F.col("revenue").cast("double").alias("revenue")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.catalog.registry import query
+from factloom.functions.clean import LONG_TS_CODE
 from factloom.operators import graph as g
 from factloom.operators.standardize import business_segments, products_from_segments
 from factloom.sources.bindings import Frames
@@ -85,8 +86,7 @@ def g05(f: Frames) -> DataFrame:
     SELECT company_id AS src, substr(sha256(raw_segment_name), 1, 10) AS dst, max(period_end) AS period_end FROM segment
     WHERE segment_type = 'PRODUCT' GROUP BY 1, 2""")
 def g06(f: Frames) -> DataFrame:
-    codes = f.securities().filter(F.length("ts_code") == 9)
-    segments, _, _ = business_segments(f.raw_segments(), codes, f.links())
+    segments, _, _ = business_segments(f.raw_segments(), f.securities(), f.links(), code_form=LONG_TS_CODE)
     products, _ = products_from_segments(segments)
     return g.segment_edges(segments, products).select("src", "dst", "period_end")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.catalog.graph_queries import THEMES, brand_claims, themes
 from factloom.catalog.registry import query
+from factloom.functions.clean import LONG_TS_CODE
 from factloom.operators import graph as g
 from factloom.operators import rules as r
 from factloom.operators.standardize import holdings
@@ -74,11 +75,11 @@ def r05(f: Frames) -> DataFrame:
 
 @query("r06_holdings_without_control", """
     WITH h AS (SELECT security_id, holder_name, count(*) AS n FROM (SELECT DISTINCT security_id, holder_name, end_date, hold_ratio FROM hold_row
-        WHERE holder_name IS NOT NULL AND length(ts_code) = 9) GROUP BY 1, 2)
+        WHERE holder_name IS NOT NULL) GROUP BY 1, 2)
     SELECT h.*, 'CONTROLS' AS prohibited_inference FROM h WHERE (holder_name, security_id) NOT IN (
         SELECT (s_name, o_custkey) FROM orders JOIN supplier ON s_suppkey = o_orderkey % 97 WHERE o_orderstatus = 'F')""")
 def r06(f: Frames) -> DataFrame:
-    held, _ = holdings(f.raw_holders(), f.securities().filter(F.length("ts_code") == 9))
+    held, _ = holdings(f.raw_holders(), f.securities(), code_form=LONG_TS_CODE)
     grouped = held.groupBy("security_id", "holder_name").agg(F.count(F.lit(1)).alias("n"))
     control = (
         f.table("orders").join(f.table("supplier"), F.expr("s_suppkey = o_orderkey % 97"))

@@ -130,7 +130,7 @@ FRAMES: dict[str, str] = {
     # Raw records with the payload fields as columns; a NULL means no value
     "raw_sec": """
         SELECT c_custkey AS rid, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c_custkey % 1000) AS retrieved_at,
-               s.ts_code AS base_code, c_custkey % 17 <> 0 AND length(s.ts_code) = 9 AS code_ok,
+               s.ts_code AS base_code, c_custkey % 17 <> 0 AS code_ok,
                CASE WHEN c_custkey % 17 = 0 THEN concat('X', s.ts_code) ELSE concat(' ', lower(s.ts_code)) END AS ts_code_raw,
                split_part(s.ts_code, '.', 1) AS symbol, CASE WHEN c_custkey % 19 <> 0 THEN c_name END AS name,
                CASE WHEN c_custkey % 4 = 0 THEN 'SZSE'
@@ -174,7 +174,7 @@ FRAMES: dict[str, str] = {
         SELECT l.company_id, period_end, segment_type, raw_segment_name, max_by(revenue, (retrieved_at, rid)) AS revenue,
                count(*) AS writes
         FROM seg_row r JOIN links l ON l.security_id = r.o_custkey
-        WHERE segment_type IS NOT NULL AND length(ts_code) = 9
+        WHERE segment_type IS NOT NULL
         GROUP BY 1, 2, 3, 4""",
     "hold_row": """
         SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2))) AS rid,

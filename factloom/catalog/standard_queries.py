@@ -8,18 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.catalog.registry import query
+from factloom.functions.clean import LONG_TS_CODE
 from factloom.operators import standardize as n
 from factloom.sources import sinks
 from factloom.sources.bindings import Frames
 
 
 def _std(f: Frames) -> DataFrame:
-    return n.securities(f.raw_securities())[0]
+    return n.securities(f.raw_securities(), code_form=LONG_TS_CODE)[0]
 
 
 def _codes(f: Frames) -> DataFrame:
     """Security reference with the plain customer key as its id."""
-    return f.securities().filter(F.length("ts_code") == 9).select("ts_code", "security_id")
+    return f.securities().select("ts_code", "security_id")
 
 
 def _active_links(f: Frames) -> DataFrame:
@@ -40,7 +41,7 @@ def n01(f: Frames) -> DataFrame:
     SELECT 'rows' AS part, count(*) AS n FROM std_sec
     UNION ALL SELECT 'rejects', count(*) FROM raw_sec WHERE NOT code_ok OR name IS NULL""")
 def n02(f: Frames) -> DataFrame:
-    rows, rejects, _ = n.normalize(f.raw_securities(), "stock_basic")
+    rows, rejects, _ = n.normalize(f.raw_securities(), "stock_basic", code_form=LONG_TS_CODE)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
     return count(rows, "rows").unionByName(count(rejects, "rejects"))
 
@@ -48,7 +49,7 @@ def n02(f: Frames) -> DataFrame:
 MEMBERS = """
     member AS (SELECT o_orderkey AS rid, l.company_id, o_orderpriority AS code, CAST(o_orderdate AS DATE) AS snapshot_date,
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(o_orderkey % 1000) AS retrieved_at,
-        length(s.ts_code) = 9 AS code_ok
+        true AS code_ok
         FROM orders JOIN security s ON s.security_id = o_custkey JOIN links l ON l.security_id = o_custkey)"""
 
 
@@ -80,7 +81,7 @@ def _raw_concepts(f: Frames) -> DataFrame:
 
 def _memberships(f: Frames) -> tuple[DataFrame, DataFrame]:
     concepts, _ = n.concepts(_raw_concepts(f), "THS")
-    return n.concept_membership(_raw_members(f), "THS", _codes(f), f.links(), concepts)
+    return n.concept_membership(_raw_members(f), "THS", _codes(f), f.links(), concepts, LONG_TS_CODE)
 
 
 @query("n03_snapshot_groups", f"""WITH {MEMBERS}
@@ -112,8 +113,8 @@ def n03b(f: Frames) -> DataFrame:
         WHEN bad_number THEN 'unparseable decimal: ''abc''' ELSE concat('security ', ts_code, ' not standardized yet') END, rid
     FROM raw_stmt WHERE ts_code IS NULL OR period_end IS NULL OR bad_number OR ts_code NOT IN (SELECT ts_code FROM std_sec)""")
 def n04(f: Frames) -> DataFrame:
-    std, bad_codes = n.securities(f.raw_securities())
-    _, bad_rows = n.to_observations(f.raw_statements(), std, ["n_cashflow_act"])
+    std, bad_codes = n.securities(f.raw_securities(), code_form=LONG_TS_CODE)
+    _, bad_rows = n.to_observations(f.raw_statements(), std, ["n_cashflow_act"], LONG_TS_CODE)
     return n.reject_log({"stock_basic": bad_codes, "cashflow_vip": bad_rows}).drop("ref")
 
 
@@ -151,16 +152,16 @@ def n06b(f: Frames) -> DataFrame:
     SELECT concat('TUSHARE-UNVERIFIED-', c.ts_code) AS uscc, c.canonical_name FROM raw_com c
     WHERE c.canonical_name IS NOT NULL AND c.ts_code IN (SELECT ts_code FROM std_sec)""")
 def n07(f: Frames) -> DataFrame:
-    return n.companies(f.raw_companies(), _std(f))[0].select("uscc", "canonical_name")
+    return n.companies(f.raw_companies(), _std(f), code_form=LONG_TS_CODE)[0].select("uscc", "canonical_name")
 
 
 @query("n07_company_events", """
     SELECT c.ts_code AS entity_ref, 'MAPPED' AS event_type FROM raw_com c
-    WHERE c.canonical_name IS NOT NULL AND c.ts_code IN (SELECT ts_code FROM security WHERE length(ts_code) = 9)
+    WHERE c.canonical_name IS NOT NULL AND c.ts_code IN (SELECT ts_code FROM security)
       AND c.rid NOT IN (SELECT security_id FROM security WHERE status = 'ACTIVE')""")
 def n07b(f: Frames) -> DataFrame:
     known = _active_links(f).withColumn("company_id", F.col("company_id").cast("string"))
-    _, _, events, _ = n.companies(f.raw_companies(), _codes(f), known)
+    _, _, events, _ = n.companies(f.raw_companies(), _codes(f), known, LONG_TS_CODE)
     return events.select("entity_ref", "event_type")
 
 
@@ -175,10 +176,10 @@ def n08(f: Frames) -> DataFrame:
     SELECT l.company_id, arg_max(c.province, (c.retrieved_at, c.rid)) AS province,
            CAST(arg_max(c.reg_capital, (c.retrieved_at, c.rid)) AS DOUBLE) AS registered_capital,
            arg_max(c.main_business, (c.retrieved_at, c.rid)) AS main_part_business
-    FROM raw_com c JOIN security s ON s.ts_code = c.ts_code AND length(s.ts_code) = 9 JOIN links l ON l.security_id = s.security_id
+    FROM raw_com c JOIN security s ON s.ts_code = c.ts_code JOIN links l ON l.security_id = s.security_id
     WHERE c.canonical_name IS NOT NULL AND NOT c.bad_capital GROUP BY 1""")
 def n09(f: Frames) -> DataFrame:
-    profiles, _ = n.company_profiles(f.raw_companies(), _codes(f), f.links())
+    profiles, _ = n.company_profiles(f.raw_companies(), _codes(f), f.links(), LONG_TS_CODE)
     return profiles.select(
         "company_id", "province", F.col("registered_capital").cast("double").alias("registered_capital"), "main_part_business"
     )
@@ -187,7 +188,7 @@ def n09(f: Frames) -> DataFrame:
 @query("n10_name_history", """
     SELECT o_custkey AS security_id, o_orderstatus AS name, CAST(o_orderdate AS DATE) AS start_date,
            arg_min(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 50 AS INT), (o_orderkey % 1000, o_orderkey)) AS end_date
-    FROM orders JOIN security s ON s.security_id = o_custkey AND length(s.ts_code) = 9 GROUP BY 1, 2, 3""")
+    FROM orders JOIN security s ON s.security_id = o_custkey GROUP BY 1, 2, 3""")
 def n10(f: Frames) -> DataFrame:
     base = f.spread("orders").join(f.securities().select(F.col("security_id").alias("o_custkey"), "ts_code"), "o_custkey")
     raw = f._raw(
@@ -196,7 +197,7 @@ def n10(f: Frames) -> DataFrame:
          "end_date": "date_format(date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 50 AS INT)), 'yyyy-MM-dd')"},
         "o_orderkey",
     )
-    return n.name_history(raw, _codes(f))[0].select("security_id", "name", "start_date", "end_date")
+    return n.name_history(raw, _codes(f), LONG_TS_CODE)[0].select("security_id", "name", "start_date", "end_date")
 
 
 def _raw_industries(f: Frames) -> DataFrame:
@@ -222,7 +223,7 @@ def n11(f: Frames) -> DataFrame:
 @query("n12_industry_membership", """
     SELECT l.company_id, concat('N', c_nationkey) AS industry, DATE '2020-01-01' + CAST(c_custkey % 300 AS INT) AS valid_from,
            CASE WHEN c_custkey % 3 = 0 THEN DATE '2023-01-01' END AS valid_to
-    FROM customer JOIN security s ON s.security_id = c_custkey AND length(s.ts_code) = 9 JOIN links l ON l.security_id = c_custkey
+    FROM customer JOIN security s ON s.security_id = c_custkey JOIN links l ON l.security_id = c_custkey
     WHERE c_nationkey IN (SELECT n_nationkey FROM nation)""")
 def n12(f: Frames) -> DataFrame:
     base = f.table("customer").join(f.securities().select(F.col("security_id").alias("c_custkey"), "ts_code"), "c_custkey")
@@ -234,7 +235,7 @@ def n12(f: Frames) -> DataFrame:
         "c_custkey",
     )
     industries, _ = n.industries(_raw_industries(f))
-    rows, _ = n.industry_membership(raw, _codes(f), f.links(), industries)
+    rows, _ = n.industry_membership(raw, _codes(f), f.links(), industries, LONG_TS_CODE)
     named = industries.select("industry_id", F.col("external_code").alias("industry"))
     return rows.join(named, "industry_id").select("company_id", "industry", "valid_from", "valid_to")
 
@@ -264,14 +265,14 @@ def n14b(f: Frames) -> DataFrame:
 
 OBSERVED = """
     seen AS (SELECT r.*, s.security_id, coalesce(ann_date, retrieved_at) AS announced_at FROM raw_stmt r
-        JOIN security s ON s.ts_code = r.ts_code AND length(s.ts_code) = 9
+        JOIN security s ON s.ts_code = r.ts_code
         WHERE period_end IS NOT NULL AND NOT bad_number AND present)"""
 
 
 @query("n15_to_observations", f"""WITH {OBSERVED}
     SELECT rid AS source_record_id, security_id, period_end, CAST(value AS DOUBLE) AS value FROM seen""")
 def n15(f: Frames) -> DataFrame:
-    rows, _ = n.to_observations(f.raw_statements(), _codes(f), ["n_cashflow_act"])
+    rows, _ = n.to_observations(f.raw_statements(), _codes(f), ["n_cashflow_act"], LONG_TS_CODE)
     return rows.select("source_record_id", "security_id", "period_end", F.col("value").cast("double").alias("value"))
 
 
@@ -281,7 +282,7 @@ def n15(f: Frames) -> DataFrame:
     SELECT * FROM one WHERE (security_id, period_end, report_type, update_flag, announced_at) NOT IN (
         SELECT (security_id, period_end, report_type, update_flag, announced_at) FROM seen WHERE update_flag = 'F')""")
 def n16(f: Frames) -> DataFrame:
-    rows, _ = n.to_observations(f.raw_statements(), _codes(f), ["n_cashflow_act"])
+    rows, _ = n.to_observations(f.raw_statements(), _codes(f), ["n_cashflow_act"], LONG_TS_CODE)
     current = rows.filter("update_flag = 'F'")
     return n.merge_observations(rows, current).select(
         "security_id", "period_end", "report_type", "update_flag", "announced_at", "source_record_id"
@@ -309,22 +310,22 @@ def n18(f: Frames) -> DataFrame:
 @query("n19_business_segments", """
     SELECT company_id, period_end, segment_type, raw_segment_name, CAST(revenue AS DOUBLE) AS revenue FROM segment""")
 def n19(f: Frames) -> DataFrame:
-    rows, _, _ = n.business_segments(f.raw_segments(), _codes(f), f.links())
+    rows, _, _ = n.business_segments(f.raw_segments(), _codes(f), f.links(), code_form=LONG_TS_CODE)
     return rows.select("company_id", "period_end", "segment_type", "raw_segment_name", F.col("revenue").cast("double").alias("revenue"))
 
 
 @query("n19_segment_corrections", """
     SELECT writes - 1 AS overwrites, count(*) AS n FROM segment WHERE writes > 1 GROUP BY 1""")
 def n19b(f: Frames) -> DataFrame:
-    _, events, _ = n.business_segments(f.raw_segments(), _codes(f), f.links())
+    _, events, _ = n.business_segments(f.raw_segments(), _codes(f), f.links(), code_form=LONG_TS_CODE)
     return events.groupBy("overwrites").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("n20_holdings", """
     SELECT security_id, holder_name, end_date, CAST(hold_ratio AS DOUBLE) AS hold_ratio, 'HOLDS' AS predicate_code
-    FROM hold_row WHERE holder_name IS NOT NULL AND length(ts_code) = 9 GROUP BY 1, 2, 3, 4""")
+    FROM hold_row WHERE holder_name IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def n20(f: Frames) -> DataFrame:
-    rows, _ = n.holdings(f.raw_holders(), _codes(f))
+    rows, _ = n.holdings(f.raw_holders(), _codes(f), code_form=LONG_TS_CODE)
     return rows.select("security_id", "holder_name", "end_date", F.col("hold_ratio").cast("double").alias("hold_ratio"), "predicate_code")
 
 
@@ -332,7 +333,7 @@ def n20(f: Frames) -> DataFrame:
     SELECT substr(sha256(raw_segment_name), 1, 10) AS product_id, raw_segment_name AS canonical_name, count(*) AS mapped
     FROM segment WHERE segment_type = 'PRODUCT' GROUP BY 2""")
 def n21(f: Frames) -> DataFrame:
-    segments, _, _ = n.business_segments(f.raw_segments(), _codes(f), f.links())
+    segments, _, _ = n.business_segments(f.raw_segments(), _codes(f), f.links(), code_form=LONG_TS_CODE)
     products, mapped = n.products_from_segments(segments)
     counts = mapped.filter("mapping_status = 'ACCEPTED'").groupBy(F.col("mapped_product_id").alias("product_id")).agg(
         F.count(F.lit(1)).alias("mapped")

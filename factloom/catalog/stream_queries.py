@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from factloom.catalog.registry import query
 from factloom.catalog.review_queries import FOLD, STATUS_SQL
 from factloom.catalog.source_queries import BASIC, STOP
+from factloom.functions.clean import LONG_TS_CODE
 from factloom.operators.standardize import securities
 from factloom.session import ensure_checkpoint_dir
 from factloom.sources.bindings import PREDICATE_BY_EVENT, Frames
@@ -85,7 +87,7 @@ def m02(f: Frames) -> DataFrame:
     f.raw_securities().write.parquet(f"{work}/raw")
     schema = f.spark.read.parquet(f"{work}/raw").schema
     raw = f.spark.readStream.schema(schema).parquet(f"{work}/raw")
-    streams.stream_normalize(raw, securities, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    streams.stream_normalize(raw, partial(securities, code_form=LONG_TS_CODE), f"{work}/out", f"{work}/checkpoint").awaitTermination()
     return f.spark.read.parquet(f"{work}/out/rows/batch=*").select("ts_code", "name", "status")
 
 

@@ -21,6 +21,8 @@ WS_CHARS = "".join(
 # Texts that mean "no value" (fixed values)
 NULL_TOKENS = ["", "None", "null", "NULL"]
 TS_CODE = r"^[0-9]{6}\.(SH|SZ|BJ)$"
+#: The same code with as many digits as a key needs, for sources that number more than a million securities.
+LONG_TS_CODE = r"^[0-9]{6,}\.(SH|SZ|BJ)$"
 
 
 def strip(col: Column) -> Column:
@@ -75,9 +77,9 @@ def decimal_or_null(col: Column) -> tuple[Column, Column]:
     return let(text, _read_decimal), let(text, lambda t: t.isNotNull() & _read_decimal(t).isNull())
 
 
-def valid_ts_code(col: Column) -> tuple[Column, Column]:
-    """``(code, bad)``; a missing code is bad too."""
-    code = let(upper_trim(col), lambda t: F.when(t.rlike(TS_CODE), t))
+def valid_ts_code(col: Column, form: str = TS_CODE) -> tuple[Column, Column]:
+    """``(code, bad)``; a missing code is bad too. ``form`` is the pattern of a code."""
+    code = let(upper_trim(col), lambda t: F.when(t.rlike(form), t))
     return code, code.isNull()
 
 

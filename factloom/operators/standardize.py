@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.clean import (
     clean_str, decimal_or_null, exchange_code, first_non_null, map_value, parse_date,
+    TS_CODE,
     valid_ts_code,
 )
 from factloom.functions.hashing import stable_id
@@ -116,8 +117,8 @@ def next_watermark(rows: DataFrame) -> DataFrame:
     return rows.agg(top.alias("w")).select("w.*")
 
 
-def _parse_security(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    code, bad = valid_ts_code(field("ts_code"))
+def _parse_security(raw: DataFrame, code_form: str) -> tuple[DataFrame, DataFrame]:
+    code, bad = valid_ts_code(field("ts_code"), code_form)
     name = clean_str(field("name"))
     good, rejects = _split(raw, _ts_code_reason(bad), _missing(name, "missing name"))
     rows = good.select(
@@ -133,17 +134,19 @@ def _parse_security(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, rejects
 
 
-def exchanges(raw: DataFrame) -> DataFrame:
+def exchanges(raw: DataFrame, code_form: str = TS_CODE) -> DataFrame:
     """Exchange per code, last name wins."""
-    rows, _ = _parse_security(raw)
+    rows, _ = _parse_security(raw, code_form)
     return rows.groupBy(F.col("exchange_code").alias("code")).agg(
         F.max_by("exchange_name", F.struct(*ARRIVAL)).alias("name")
     )
 
 
-def securities(raw: DataFrame, current: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def securities(
+    raw: DataFrame, current: DataFrame | None = None, code_form: str = TS_CODE
+) -> tuple[DataFrame, DataFrame]:
     """One row per code; only ``name`` follows later rows, the rest keeps its first value."""
-    rows, rejects = _parse_security(raw)
+    rows, rejects = _parse_security(raw, code_form)
     merged = rows.groupBy("ts_code").agg(
         _first("symbol"), _last("name"), _first("exchange_code"), _first("status"),
         _first("source_record_id"),
@@ -172,8 +175,8 @@ def latest_company_link(links: DataFrame) -> DataFrame:
     )
 
 
-def _parse_company(raw: DataFrame, securities_df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    code, bad = valid_ts_code(field("ts_code"))
+def _parse_company(raw: DataFrame, securities_df: DataFrame, code_form: str) -> tuple[DataFrame, DataFrame]:
+    code, bad = valid_ts_code(field("ts_code"), code_form)
     name = first_non_null(field("name"), field("com_name"), field("fullname"))
     good, bad_rows = _split(raw, _ts_code_reason(bad), _missing(name, "missing company name"))
     good = good.withColumn("ts_code", code).withColumn("canonical_name", name)
@@ -187,14 +190,14 @@ def _parse_company(raw: DataFrame, securities_df: DataFrame) -> tuple[DataFrame,
 
 
 def companies(
-    raw: DataFrame, securities_df: DataFrame, links: DataFrame | None = None
+    raw: DataFrame, securities_df: DataFrame, links: DataFrame | None = None, code_form: str = TS_CODE,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``(companies, new_links, events, rejects)``.
 
     The security is the anchor: a linked company is reused, otherwise a
     placeholder key is made from the code. Companies never merge by name.
     """
-    rows, rejects = _parse_company(raw, securities_df)
+    rows, rejects = _parse_company(raw, securities_df, code_form)
     if links is not None:
         known = latest_company_link(links).select(
             "security_id", F.col("company_id").alias("linked_id")
@@ -230,10 +233,10 @@ PROFILE_FIELDS = {
 
 
 def company_profiles(
-    raw: DataFrame, securities_df: DataFrame, links: DataFrame
+    raw: DataFrame, securities_df: DataFrame, links: DataFrame, code_form: str = TS_CODE
 ) -> tuple[DataFrame, DataFrame]:
     """Whole row of the newest record per company."""
-    rows, _ = _parse_company(raw, securities_df)
+    rows, _ = _parse_company(raw, securities_df, code_form)
     rows = rows.join(latest_company_link(links), "security_id")
     capital, bad_capital = decimal_or_null(field("reg_capital"))
     founded, bad_founded = parse_date(field("setup_date"))
@@ -262,9 +265,11 @@ def company_profiles(
     return values.groupBy("company_id").agg(newest.alias("s")).select("company_id", "s.*"), rejects
 
 
-def name_history(raw: DataFrame, securities_df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def name_history(
+    raw: DataFrame, securities_df: DataFrame, code_form: str = TS_CODE
+) -> tuple[DataFrame, DataFrame]:
     """First insert wins per (security, name, start_date)."""
-    code, bad = valid_ts_code(field("ts_code"))
+    code, bad = valid_ts_code(field("ts_code"), code_form)
     name = clean_str(field("name"))
     start, bad_start = parse_date(field("start_date"))
     end, bad_end = parse_date(field("end_date"))
@@ -327,10 +332,11 @@ def _with_company(
 
 
 def industry_membership(
-    raw: DataFrame, securities_df: DataFrame, links: DataFrame, industries_df: DataFrame
+    raw: DataFrame, securities_df: DataFrame, links: DataFrame, industries_df: DataFrame,
+    code_form: str = TS_CODE,
 ) -> tuple[DataFrame, DataFrame]:
     """N12."""
-    code, bad = valid_ts_code(field("ts_code"))
+    code, bad = valid_ts_code(field("ts_code"), code_form)
     index_code = clean_str(field("index_code"))
     start, bad_start = parse_date(field("in_date"))
     end, bad_end = parse_date(field("out_date"))
@@ -372,10 +378,10 @@ def concepts(raw: DataFrame, platform: str) -> tuple[DataFrame, DataFrame]:
 
 def concept_membership(
     raw: DataFrame, platform: str, securities_df: DataFrame, links: DataFrame,
-    concepts_df: DataFrame,
+    concepts_df: DataFrame, code_form: str = TS_CODE,
 ) -> tuple[DataFrame, DataFrame]:
     """Platform membership per snapshot date; it never becomes a business fact."""
-    code, bad = valid_ts_code(field("ts_code"))
+    code, bad = valid_ts_code(field("ts_code"), code_form)
     concept_code = first_non_null(field("code"), field("con_code"))
     in_date, bad_in = parse_date(field("in_date"))
     snapshot, bad_snapshot = parse_date(field("snapshot_date"))
@@ -414,14 +420,14 @@ def observation_defaults(df: DataFrame) -> DataFrame:
 
 
 def to_observations(
-    raw: DataFrame, securities_df: DataFrame, fields: list[str]
+    raw: DataFrame, securities_df: DataFrame, fields: list[str], code_form: str = TS_CODE
 ) -> tuple[DataFrame, DataFrame]:
     """One observation per metric field of a record.
 
     An absent field gives no row, a field without a value a NULL row. A record
     with an unreadable number is rejected as a whole.
     """
-    code, bad = valid_ts_code(field("ts_code"))
+    code, bad = valid_ts_code(field("ts_code"), code_form)
     period, bad_period = parse_date(field("end_date"))
     _, bad_ann = parse_date(field("ann_date"))
     numbers = {f: decimal_or_null(field(f)) for f in fields}
@@ -483,10 +489,11 @@ SEGMENT_KEY = ["company_id", "period_end", "segment_type", "raw_segment_name"]
 
 
 def business_segments(
-    raw: DataFrame, securities_df: DataFrame, links: DataFrame, current: DataFrame | None = None
+    raw: DataFrame, securities_df: DataFrame, links: DataFrame, current: DataFrame | None = None,
+    code_form: str = TS_CODE,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(segments, corrections, rejects)``; a later record overwrites the same key."""
-    code, bad = valid_ts_code(field("ts_code"))
+    code, bad = valid_ts_code(field("ts_code"), code_form)
     period, bad_period = parse_date(field("end_date"))
     name = clean_str(field("bz_item"))
     type_code = F.coalesce(clean_str(field("bz_code")), F.lit("P"))
@@ -538,10 +545,10 @@ HOLDING_KEY = ["security_id", "holder_name", "end_date", "hold_ratio"]
 
 
 def holdings(
-    raw: DataFrame, securities_df: DataFrame, current: DataFrame | None = None
+    raw: DataFrame, securities_df: DataFrame, current: DataFrame | None = None, code_form: str = TS_CODE
 ) -> tuple[DataFrame, DataFrame]:
     """HOLDS observations only, NULL-safe key, first insert wins."""
-    code, bad = valid_ts_code(field("ts_code"))
+    code, bad = valid_ts_code(field("ts_code"), code_form)
     holder = clean_str(field("holder_name"))
     end, bad_end = parse_date(field("end_date"))
     amount, bad_amount = decimal_or_null(field("hold_amount"))
@@ -715,44 +722,47 @@ def label_index(triples: DataFrame) -> DataFrame:
 
 
 NORMALIZERS: dict[str, Callable] = {
-    "stock_basic": lambda raw, refs: securities(raw, refs.get("securities_current")),
-    "namechange": lambda raw, refs: name_history(raw, refs["securities"]),
-    "index_classify": lambda raw, refs: industries(raw),
-    "index_member_all": lambda raw, refs: industry_membership(
-        raw, refs["securities"], refs["links"], refs["industries"]
+    "stock_basic": lambda raw, refs, form: securities(raw, refs.get("securities_current"), form),
+    "namechange": lambda raw, refs, form: name_history(raw, refs["securities"], form),
+    "index_classify": lambda raw, refs, form: industries(raw),
+    "index_member_all": lambda raw, refs, form: industry_membership(
+        raw, refs["securities"], refs["links"], refs["industries"], form
     ),
-    "ths_index": lambda raw, refs: concepts(raw, "THS"),
-    "dc_index": lambda raw, refs: concepts(raw, "DC"),
-    "ths_member": lambda raw, refs: concept_membership(
-        raw, "THS", refs["securities"], refs["links"], refs["concepts"]
+    "ths_index": lambda raw, refs, form: concepts(raw, "THS"),
+    "dc_index": lambda raw, refs, form: concepts(raw, "DC"),
+    "ths_member": lambda raw, refs, form: concept_membership(
+        raw, "THS", refs["securities"], refs["links"], refs["concepts"], form
     ),
-    "dc_member": lambda raw, refs: concept_membership(
-        raw, "DC", refs["securities"], refs["links"], refs["concepts"]
+    "dc_member": lambda raw, refs, form: concept_membership(
+        raw, "DC", refs["securities"], refs["links"], refs["concepts"], form
     ),
-    "income_vip": lambda raw, refs: to_observations(raw, refs["securities"], ["revenue", "n_income"]),
-    "cashflow_vip": lambda raw, refs: to_observations(raw, refs["securities"], ["n_cashflow_act"]),
-    "fina_indicator_vip": lambda raw, refs: to_observations(
-        raw, refs["securities"], ["roe", "netprofit_yoy"]
+    "income_vip": lambda raw, refs, form: to_observations(raw, refs["securities"], ["revenue", "n_income"], form),
+    "cashflow_vip": lambda raw, refs, form: to_observations(raw, refs["securities"], ["n_cashflow_act"], form),
+    "fina_indicator_vip": lambda raw, refs, form: to_observations(
+        raw, refs["securities"], ["roe", "netprofit_yoy"], form
     ),
-    "top10_holders": lambda raw, refs: holdings(raw, refs["securities"]),
+    "top10_holders": lambda raw, refs, form: holdings(raw, refs["securities"], code_form=form),
 }
 
 
 def normalize(
-    raw: DataFrame, dataset: str, refs: Mapping[str, DataFrame] | None = None
+    raw: DataFrame, dataset: str, refs: Mapping[str, DataFrame] | None = None, code_form: str = TS_CODE
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """``(rows, rejects, events)`` of one dataset; order datasets securities first."""
+    """``(rows, rejects, events)`` of one dataset; order datasets securities first.
+
+    ``code_form`` is the pattern of a security code.
+    """
     refs = refs or {}
     mine = raw_since(raw, dataset)
     if dataset == "stock_company":
-        rows, _, events, rejects = companies(mine, refs["securities"], refs.get("links"))
+        rows, _, events, rejects = companies(mine, refs["securities"], refs.get("links"), code_form)
         return rows, rejects, events
     if dataset == "fina_mainbz_vip":
-        rows, events, rejects = business_segments(mine, refs["securities"], refs["links"])
+        rows, events, rejects = business_segments(mine, refs["securities"], refs["links"], code_form=code_form)
         return rows, rejects, events
     if dataset not in NORMALIZERS:
         raise ValueError(f"dataset {dataset!r} has no normalizer")
-    rows, rejects = NORMALIZERS[dataset](mine, refs)
+    rows, rejects = NORMALIZERS[dataset](mine, refs, code_form)
     return rows, rejects, None
 
 
