@@ -188,10 +188,11 @@ def d13(f: Frames) -> DataFrame:
 
 
 @query("d14_profile_fragments", """
-    SELECT l.company_id, row_number() OVER (PARTITION BY r.rid ORDER BY o) AS page_number, t AS quote_text, length(t) AS char_end
-    FROM (SELECT rid, ts_code, introduction AS t, 1 AS o FROM raw_com WHERE introduction IS NOT NULL
-          UNION ALL SELECT rid, ts_code, main_business, 2 FROM raw_com) r
+    SELECT l.company_id, row_number() OVER (PARTITION BY r.rid ORDER BY o) AS page_number, t AS quote_text, length(t) AS char_end,
+           sha256(concat('frag:', r.ts_code, ':', o - 1 - CASE WHEN o = 2 AND first_missing THEN 1 ELSE 0 END, ':', t)) AS checksum
+    FROM (SELECT rid, ts_code, introduction AS t, 1 AS o, false AS first_missing FROM raw_com WHERE introduction IS NOT NULL
+          UNION ALL SELECT rid, ts_code, main_business, 2, introduction IS NULL FROM raw_com) r
     JOIN security s ON s.ts_code = r.ts_code JOIN links l ON l.security_id = s.security_id""")
 def d14(f: Frames) -> DataFrame:
     companies = f.securities().select("ts_code", "security_id").join(f.links(), "security_id").select("ts_code", "company_id")
-    return d.profile_fragments(f.raw_companies(), companies).select("company_id", "page_number", "quote_text", "char_end")
+    return d.profile_fragments(f.raw_companies(), companies).select("company_id", "page_number", "quote_text", "char_end", "checksum")

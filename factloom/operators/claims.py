@@ -3,23 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.clean import TS_CODE, normalize_ws
 from factloom.functions.hashing import struct_hash
+from factloom.operators.scaling import spread_join
 from factloom.vocab import BUSINESS_STAGES, CLAIM_STATUS, CONCEPT_PLATFORMS, EVIDENCE_STATES, PREDICATES
 
-try:
-    import ahocorasick
-except ImportError:  # the gram join needs nothing beyond Spark
-    ahocorasick = None
-
 EXTRACTOR_VERSION = "rules-extractor-0.1.0"
 
 
@@ -451,16 +445,32 @@ def table_shape_violations(df: DataFrame, shape: str) -> DataFrame:
     raise ValueError(f"unknown shape {shape!r}")
 
 
-def _map_by_grams(
-    quotes: DataFrame, products: DataFrame, gram: int = 12, block: int = 256
-) -> DataFrame:
-    """X18 for dictionaries of any size.
+#: Bits of the filter on anchors; its size is fixed, whatever the dictionary.
+ANCHOR_BITS = 1 << 20
+
+
+def _anchor_filter(names: DataFrame) -> Column:
+    """Bit array of the hashes of all anchors, as one value of fixed size."""
+    place = F.pmod(F.xxhash64("_anchor"), F.lit(ANCHOR_BITS))
+    words = names.select(F.shiftright(place, 6).alias("w"), (place % 64).cast("int").alias("b")).groupBy("w").agg(
+        F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")
+    )
+    every = names.sparkSession.range(ANCHOR_BITS // 64).select(F.col("id").alias("w")).join(words, "w", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return every.agg(F.transform(ordered, lambda x: x["bits"]).alias("f")).scalar()
+
 
-    An exact text search as an equi-join: the first ``gram`` characters of a
-    name are looked up among the character grams of the quotes, and each hit is
-    confirmed on the whole text. Names shorter than ``gram`` use grams of their
-    own length. Texts are cut into overlapping blocks so that no task holds all
-    grams of a long text.
+def map_claim_objects(quotes: DataFrame, products: DataFrame, gram: int = 12, block: int = 256) -> DataFrame:
+    """Product whose name occurs in the quote; longest name, then lowest id.
+
+    ``quotes(claim_id, quote_text)``, ``products(product_id, canonical_name)``.
+    An exact text search as an equi-join, for dictionaries of any size: the first
+    ``gram`` characters of a name are looked up among the character grams of the
+    quotes, and each hit is confirmed on the whole text. Grams that are no
+    anchor's, by a bit array of fixed size, are dropped where they are made, so
+    that only likely hits are shuffled. Names shorter than ``gram`` use grams of
+    their own length. Texts are cut into overlapping blocks so that no task holds
+    all grams of a long text, and hits of a frequent anchor are spread.
     """
     names = products.filter(F.length("canonical_name") > 0).withColumn(
         "_n", F.least(F.length("canonical_name"), F.lit(gram))
@@ -474,15 +484,15 @@ def _map_by_grams(
                 lambda i: F.substring(F.col("quote_text"), i, F.lit(block + gram - 1)),
             )
         ).alias("_block"),
-    ).withColumn("_n", F.explode(sizes))
+    ).withColumns({"_n": F.explode(sizes), "_filter": _anchor_filter(names)})
     starts = F.sequence(F.lit(1), F.least(F.lit(block), F.length("_block") - F.col("_n") + 1))
+    place = F.pmod(F.xxhash64("_anchor"), F.lit(ANCHOR_BITS))
+    known = F.expr("shiftright(get(_filter, cast(shiftright(_p, 6) as int)), cast(_p % 64 as int)) & 1") == 1
     grams = blocks.filter(F.length("_block") >= F.col("_n")).select(
-        "claim_id",
-        F.explode(
-            F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_block"), i, F.col("_n"))))
-        ).alias("_anchor"),
-    )
-    hits = grams.join(names, "_anchor").select("claim_id", "product_id", "canonical_name").distinct()
+        "claim_id", "_filter",
+        F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_block"), i, F.col("_n"))))).alias("_anchor"),
+    ).withColumn("_p", place).filter(known).select("claim_id", "_anchor").distinct()
+    hits = spread_join(grams, names, ["_anchor"], ["claim_id"]).select("claim_id", "product_id", "canonical_name")
     matched = (
         hits.join(quotes, "claim_id")
         .filter(F.contains("quote_text", "canonical_name"))
@@ -501,55 +511,6 @@ def _map_by_grams(
     )
 
 
-# Largest dictionary that is shipped to the tasks: names, and characters in total
-MAX_SHIPPED_NAMES = 200_000
-MAX_SHIPPED_CHARS = 16_000_000
-
-
-def map_claim_objects(
-    quotes: DataFrame, products: DataFrame, max_names: int = MAX_SHIPPED_NAMES
-) -> DataFrame:
-    """Product whose name occurs in the quote; longest name, then lowest id.
-
-    ``quotes(claim_id, quote_text)``, ``products(product_id, canonical_name)``.
-    A dictionary within the size bounds is searched in one pass over each quote
-    without a shuffle; a larger one goes through the gram join.
-    """
-    names = products.filter(F.length("canonical_name") > 0)
-    size = names.agg(
-        F.count(F.lit(1)).alias("names"),
-        F.coalesce(F.sum(F.length("canonical_name")), F.lit(0)).alias("chars"),
-    ).first()
-    if ahocorasick is None or size.names > max_names or size.chars > MAX_SHIPPED_CHARS:
-        return _map_by_grams(quotes, products)
-    words: dict[str, object] = {}
-    for row in names.groupBy("canonical_name").agg(F.min("product_id").alias("product_id")).collect():
-        words[row.canonical_name] = row.product_id
-    id_type = quotes.schema["claim_id"].dataType.simpleString()
-    object_type = products.schema["product_id"].dataType.simpleString()
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for name, product in words.items():
-            automaton.add_word(name, (-len(name), product, name))
-        if words:
-            automaton.make_automaton()
-        for batch in batches:
-            best = [
-                min((hit for _, hit in automaton.iter(text)), default=(0, None, None))
-                if text and words else (0, None, None)
-                for text in batch["quote_text"]
-            ]
-            ids = pd.Series([b[1] for b in best], dtype="object")
-            yield pd.DataFrame(
-                {"claim_id": batch["claim_id"], "object_id": ids, "product_name": [b[2] for b in best]}
-            )
-
-    return quotes.select("claim_id", "quote_text").mapInPandas(
-        search, f"claim_id {id_type}, object_id {object_type}, product_name string"
-    )
-
-
 def claim_quality(claims: DataFrame, links: DataFrame) -> DataFrame:
     """Acceptance and grounding rates."""
     linked = links.select("claim_id").distinct().withColumn("_linked", F.lit(1))

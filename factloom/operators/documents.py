@@ -237,7 +237,5 @@ def profile_fragments(raw: DataFrame, companies: DataFrame) -> DataFrame:
         F.lit(0).alias("char_start"),
         F.length("quote_text").alias("char_end"),
         "quote_text",
-        F.sha2(
-            F.concat_ws(":", F.lit("frag"), "ts_code", "index", F.substring("quote_text", 1, 32)), 256
-        ).alias("checksum"),
+        F.sha2(F.concat_ws(":", F.lit("frag"), "ts_code", "index", "quote_text"), 256).alias("checksum"),
     )

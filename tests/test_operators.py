@@ -112,12 +112,13 @@ def test_extraction_rules(spark):
     assert set(got) == {0, 1, 2, 3, 4}
 
 
-def test_gram_join_equals_shipped_dictionary(spark):
+def test_names_are_found_by_grams(spark):
     quotes = spark.createDataFrame([(1, "大型谐波减速器与减速器"), (2, "x" * 700 + " a long product name here"), (3, "none"), (4, "")], "claim_id int, quote_text string")
     products = spark.createDataFrame([(7, "减速器"), (8, "谐波减速器"), (9, "long product name"), (10, "here")], "product_id int, canonical_name string")
-    shipped = {r.claim_id: r.object_id for r in x.map_claim_objects(quotes, products).collect()}
-    joined = {r.claim_id: r.object_id for r in x.map_claim_objects(quotes, products, max_names=0).collect()}
-    assert shipped == joined == {1: 8, 2: 9, 3: None, 4: None}
+    for gram, block in ((12, 256), (3, 5), (1, 1)):
+        joined = {r.claim_id: r.object_id for r in x.map_claim_objects(quotes, products, gram, block).collect()}
+        assert joined == {1: 8, 2: 9, 3: None, 4: None}
+    assert x.map_claim_objects(quotes, products.limit(0)).filter("object_id is not null").count() == 0
 
 
 def _claims(spark, rows):
@@ -210,6 +211,14 @@ def test_commit_shows_all_or_nothing(spark, tmp_path):
     sinks.write_commit(frames, str(tmp_path), "one")
     sinks.write_commit(frames, str(tmp_path), "one")
     assert sinks.read_commits(spark, str(tmp_path), "a").count() == 3
+    # Data without a manifest is not seen.
+    spark.range(9).write.parquet(f"{tmp_path}/data/a/commit=id-two")
+    assert sinks.read_commits(spark, str(tmp_path), "a").count() == 3
+    days = spark.createDataFrame([("d1", 1), ("d1", 2), ("d2", 3)], "snapshot_date string, v int")
+    sinks.write_snapshot(days, f"{tmp_path}/days")
+    sinks.write_snapshot(days.filter("v = 2"), f"{tmp_path}/days")
+    spark.range(3).selectExpr("'d2' AS snapshot_date", "9 AS v").write.parquet(f"{tmp_path}/days/data/commit=id-99999999999999999999-x")
+    assert sorted(tuple(r) for r in sinks.read_snapshot(spark, f"{tmp_path}/days").select("snapshot_date", "v").collect()) == [("d1", 2), ("d2", 3)]
     path = f"{tmp_path}/layer"
     spark.range(4).write.parquet(path)
     sinks.replace_layer(spark.read.parquet(path).filter("id > 1"), path)
