@@ -27,6 +27,9 @@ def _tables(f: Frames) -> dict[str, DataFrame]:
         "Security": f.securities().select("id", F.col("ts_code").alias("name")),
         "Product": f.products().select(F.col("product_id").alias("id"), F.col("canonical_name").alias("name")),
         "Industry": f.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")),
+        "Exchange": f.table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")),
+        "Concept": f.table("orders").select(F.col("o_orderpriority").alias("id"), F.col("o_orderpriority").alias("name")).distinct(),
+        "Theme": f.table("part").select(F.col("p_type").alias("id"), F.concat(F.lit("theme "), "p_type").alias("name")).distinct(),
     }
 
 
@@ -34,7 +37,10 @@ def _tables(f: Frames) -> dict[str, DataFrame]:
     SELECT CAST(id AS VARCHAR) AS id, 'Company' AS label, canonical_name FROM company
     UNION ALL SELECT CAST(id AS VARCHAR), 'Security', ts_code FROM security
     UNION ALL SELECT CAST(product_id AS VARCHAR), 'Product', canonical_name FROM product
-    UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'Industry', n_name FROM nation""")
+    UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'Industry', n_name FROM nation
+    UNION ALL SELECT CAST(r_regionkey AS VARCHAR), 'Exchange', r_name FROM region
+    UNION ALL SELECT DISTINCT o_orderpriority, 'Concept', o_orderpriority FROM orders
+    UNION ALL SELECT DISTINCT p_type, 'Theme', concat('theme ', p_type) FROM part""")
 def g01(f: Frames) -> DataFrame:
     return g.entity_nodes(_tables(f))
 
@@ -94,6 +100,8 @@ def g06(f: Frames) -> DataFrame:
 @query("g07_rebuild_stats", f"""WITH {EDGES}
     SELECT 'node' AS kind, 'Company' AS name, count(*) AS n FROM company UNION ALL SELECT 'node', 'Security', count(*) FROM security
     UNION ALL SELECT 'node', 'Product', count(*) FROM product UNION ALL SELECT 'node', 'Industry', count(*) FROM nation
+    UNION ALL SELECT 'node', 'Exchange', count(*) FROM region UNION ALL SELECT 'node', 'Concept', count(DISTINCT o_orderpriority) FROM orders
+    UNION ALL SELECT 'node', 'Theme', count(DISTINCT p_type) FROM part
     UNION ALL SELECT 'node', 'Claim', count(*) FROM claim WHERE claim_status IN ('ACCEPTED', 'CONTRADICTED', 'SUPERSEDED')
     UNION ALL SELECT 'edge', predicate_code, count(*) FROM bedge GROUP BY 2
     UNION ALL SELECT 'edge', 'TAGGED_AS', count(DISTINCT (o_custkey, o_orderpriority)) FROM orders""")
@@ -111,6 +119,27 @@ def g08(f: Frames) -> DataFrame:
     return g.consume_outbox(f.outbox(), f.claims(), now)[0].select("seq", "next_status", "retry_count")
 
 
+DUE = """due AS (SELECT * FROM outbox WHERE status = 'PENDING' OR (status = 'PROCESSING' AND lease_expires_at < TIMESTAMP '2000-01-01')
+        ORDER BY created_at, seq LIMIT 500)"""
+
+
+@query("g08_oldest_batch", f"""WITH {DUE}
+    SELECT o.seq, CASE WHEN c.claim_id IS NOT NULL THEN 'PROCESSED' WHEN o.retry_count + 1 >= 5 THEN 'DEAD_LETTERED' ELSE 'PENDING' END AS next_status
+    FROM due o LEFT JOIN claim c ON c.claim_id = o.aggregate_id""")
+def g08b(f: Frames) -> DataFrame:
+    """A batch takes the events that have waited longest."""
+    now = F.lit(dt.datetime(2000, 1, 1)).cast("timestamp_ntz")
+    return g.consume_outbox(f.outbox(), f.claims(), now, batch=500)[0].select("seq", "next_status")
+
+
+@query("g08_projected_edges", f"""WITH {EDGES}
+    SELECT claim_id, subject_id AS src, object_id AS dst, predicate_code AS rel_type FROM bedge
+    WHERE claim_id IN (SELECT aggregate_id FROM outbox WHERE status = 'PENDING' OR (status = 'PROCESSING' AND lease_expires_at < TIMESTAMP '2000-01-01'))""")
+def g08c(f: Frames) -> DataFrame:
+    now = F.lit(dt.datetime(2000, 1, 1)).cast("timestamp_ntz")
+    return g.consume_outbox(f.outbox(), f.claims(), now)[1].select("claim_id", "src", "dst", "rel_type")
+
+
 @query("g09_reconciliation", f"""WITH {EDGES}
     SELECT a.n AS accepted_claims, a.n AS accepted_nodes, CAST(100.0 AS DOUBLE) AS coverage_pct, b.n AS business_edges, b.n AS with_claim_id,
            CAST(100.0 AS DOUBLE) AS claim_id_pct, o.n AS outbox_pending, date_diff('second', o.t, TIMESTAMP '2002-01-01') AS oldest_wait_seconds,

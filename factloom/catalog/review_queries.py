@@ -125,19 +125,26 @@ def v06b(f: Frames) -> DataFrame:
     return out
 
 
-DECIDED = """dec AS (SELECT event_id AS decision_id, event_id + 1000000000 - CAST(round(value) AS INT) % 3 AS task_id,
+def decided(proven: str) -> str:
+    """Decisions with their outcome; ``proven`` is the condition on a claim that may be accepted."""
+    return f"""dec AS (SELECT event_id AS decision_id, event_id + 1000000000 - CAST(round(value) AS INT) % 3 AS task_id,
         CASE WHEN user_id % 3 = 0 THEN 'REJECTED' ELSE 'ACCEPTED' END AS decision, ts AS decided_at FROM events),
-    jud AS (SELECT d.*, t.claim_id, t.status AS task_status, c.claim_status,
+    mov AS (SELECT d.*, t.claim_id, t.status AS task_status, c.claim_status,
             (decision = 'ACCEPTED' AND claim_status IN ('VALIDATED', 'NEEDS_REVIEW', 'CONTRADICTED'))
-             OR (decision = 'REJECTED' AND claim_status IN ('NEEDS_REVIEW', 'EXTRACTED')) AS legal
+             OR (decision = 'REJECTED' AND claim_status IN ('NEEDS_REVIEW', 'EXTRACTED')) AS may
         FROM dec d LEFT JOIN task t USING (task_id) LEFT JOIN claim c ON c.claim_id = t.claim_id),
+    jud AS (SELECT *, may AND (decision <> 'ACCEPTED' OR {proven}) AS legal FROM mov),
     won AS (SELECT claim_id, task_id AS won_task, decision_id AS won_by, decided_at AS won_at FROM jud
         WHERE legal AND task_status IN ('OPEN', 'IN_PROGRESS')
         QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY decided_at, decision_id) = 1),
     fin AS (SELECT *, CASE WHEN task_status IS NULL THEN 'task not found' WHEN task_status NOT IN ('OPEN', 'IN_PROGRESS') THEN 'task closed'
         WHEN claim_status IS NULL THEN 'claim not found' WHEN decision_id = won_by THEN NULL
         WHEN task_id = won_task AND (decided_at > won_at OR decided_at = won_at AND decision_id > won_by) THEN 'decided before'
-        ELSE 'illegal transition' END AS conflict FROM jud LEFT JOIN won USING (claim_id))"""
+        WHEN may AND NOT legal THEN 'evidence missing' ELSE 'illegal transition' END AS conflict FROM jud LEFT JOIN won USING (claim_id))"""
+
+
+DECIDED = decided("true")
+DECIDE = decided("claim_id IN (SELECT claim_id FROM live_link)")
 
 
 def _decisions(f: Frames) -> DataFrame:
@@ -160,6 +167,45 @@ def v07b(f: Frames) -> DataFrame:
     return v.apply_decisions(f.tasks(), f.claims(), _decisions(f))[1].select("task_id", "decision_id", "conflict")
 
 
+def _decide(f: Frames) -> dict[str, DataFrame]:
+    return v.decide(f.tasks(), f.claims(), _decisions(f), f.claim_evidence(), f.fragments(), f.outbox().filter("status = 'PROCESSED'"))
+
+
+@query("v07_decide_outcomes", f"""WITH {DECIDE}
+    SELECT decision_id, task_id, coalesce(conflict, decision) AS outcome FROM fin""")
+def v07c(f: Frames) -> DataFrame:
+    """Every decision with its outcome, acceptances checked for evidence."""
+    out = _decide(f)
+    done = out["tasks"].join(_decisions(f), ["decision_id", "task_id"]).select("decision_id", "task_id", F.col("decision").alias("outcome"))
+    return done.unionByName(out["conflicts"].select("decision_id", "task_id", F.col("conflict").alias("outcome")))
+
+
+@query("v07_decide_outputs", f"""WITH {DECIDE}, app AS (SELECT * FROM fin WHERE conflict IS NULL), yes AS (SELECT * FROM app WHERE decision = 'ACCEPTED')
+    SELECT 'claims' AS output, CAST(claim_id AS VARCHAR) AS key, concat(claim_status, '>', decision) AS content FROM app
+    UNION ALL SELECT 'links', CAST(claim_id AS VARCHAR), CAST(evidence_id AS VARCHAR) FROM ev_link WHERE claim_id IN (SELECT claim_id FROM yes)
+    UNION ALL SELECT 'provenance', CAST(claim_id AS VARCHAR), concat('review-', task_id) FROM yes
+    UNION ALL SELECT 'audit', CAST(claim_id AS VARCHAR), 'CLAIM_ACCEPTED' FROM yes
+    UNION ALL SELECT 'audit', CAST(claim_id AS VARCHAR), concat('REVIEW_', decision) FROM app
+    UNION ALL SELECT 'outbox', CAST(claim_id AS VARCHAR), concat('claim-accepted:', claim_id) FROM yes
+        WHERE claim_id NOT IN (SELECT aggregate_id FROM outbox WHERE status = 'PROCESSED')
+    UNION ALL SELECT 'tasks', CAST(task_id AS VARCHAR), 'COMPLETED' FROM app""")
+def v07d(f: Frames) -> DataFrame:
+    out = _decide(f)
+    content = {
+        "claims": ("claim_id", F.concat_ws(">", "before_status", "after_status")), "links": ("claim_id", F.col("evidence_id")),
+        "provenance": ("entity_id", F.col("activity_id")), "audit": ("claim_id", F.col("event_type")),
+        "outbox": ("aggregate_id", F.col("idempotency_key")), "tasks": ("task_id", F.col("task_status")),
+    }
+    parts = [
+        out[name].select(F.lit(name).alias("output"), F.col(key).cast("string").alias("key"), value.cast("string").alias("content"))
+        for name, (key, value) in content.items()
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
 @query("v08_dedup_decisions", """
     SELECT user_id AS task_id, event_type AS idempotency_key, arg_min(event_id, (ts, event_id)) AS decision_id FROM events GROUP BY 1, 2""")
 def v08(f: Frames) -> DataFrame:

@@ -132,9 +132,9 @@ def rebuild_graph(
 
 
 def consume_outbox(
-    outbox: DataFrame, claims: DataFrame, now: Column, max_retries: int = 5
+    outbox: DataFrame, claims: DataFrame, now: Column, max_retries: int = 5, batch: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(results, edges)`` of one pass over due events, oldest ``seq`` first.
+    """``(results, edges)`` of one pass over due events: all, or the ``batch`` oldest.
 
     Due are pending events and those whose lease ran out. An event whose claim
     is not there fails its verification: it is retried, and dead-lettered at the
@@ -144,6 +144,8 @@ def consume_outbox(
         (F.col("status") == "PENDING")
         | ((F.col("status") == "PROCESSING") & (F.col("lease_expires_at") < now))
     )
+    if batch is not None:
+        due = due.orderBy("created_at", "seq").limit(batch)
     known = claims.withColumn("_known", F.lit(True))
     joined = due.join(known, due["aggregate_id"] == known["claim_id"], "left")
     tried = F.col("retry_count") + 1

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.hashing import stable_id
+from factloom.session import ensure_checkpoint_dir
 from factloom.vocab import STATE_MACHINES, transitions
 
 OPEN_TASK = ["OPEN", "IN_PROGRESS"]
@@ -82,11 +83,11 @@ def fold_states(events: DataFrame, machine: str, initial: str, bucket: Column |
     )
 
 
-def review_tasks(claims: DataFrame, auto_accept: bool = True) -> DataFrame:
-    """V3: task per claim whose verdict asks for one; at most 20 reasons, as stored."""
+def review_tasks(claims: DataFrame, auto_accept: bool = True, max_reasons: int | None = None) -> DataFrame:
+    """V3: task per claim whose verdict asks for one, with all reasons or the first ``max_reasons``."""
     status = F.col("verdict")
     wanted = status.isin("NEEDS_REVIEW", "REJECTED")
-    reasons = F.slice("reasons", 1, 20)
+    reasons = F.col("reasons") if max_reasons is None else F.slice("reasons", 1, max_reasons)
     if not auto_accept:
         wanted = wanted | (status == "VALIDATED")
         reasons = F.when(status == "VALIDATED", F.array(F.lit("auto_accept_disabled"))).otherwise(reasons)
@@ -155,17 +156,43 @@ def outbox_events(accepted: DataFrame, outbox: DataFrame | None = None) -> DataF
     return events.join(outbox.select("idempotency_key"), "idempotency_key", "left_anti")
 
 
-def audit_events(changes: DataFrame) -> DataFrame:
-    """``changes(claim_id, before_status, after_status, actor, reason)``."""
+def audit_events(changes: DataFrame, reason_chars: int | None = None) -> DataFrame:
+    """``changes(claim_id, before_status, after_status, actor, reason)``; the reason whole, or its first characters."""
     return changes.select(
         F.lit("ClaimReview").alias("entity_type"),
         F.col("claim_id").alias("entity_id"),
         F.concat(F.lit("REVIEW_"), "after_status").alias("event_type"),
         "before_status", "after_status", "actor",
-        F.substring("reason", 1, 300).alias("reason"),
+        F.col("reason") if reason_chars is None else F.substring("reason", 1, reason_chars).alias("reason"),
     )
 
 
+def evidenced(links: DataFrame, fragments: DataFrame) -> DataFrame:
+    """``claim_id`` of the claims that have evidence, all of which exists."""
+    present = fragments.select("evidence_id").distinct().withColumn("_there", F.lit(1))
+    return (
+        links.join(present, "evidence_id", "left")
+        .groupBy("claim_id")
+        .agg(F.count(F.lit(1)).alias("_links"), F.count("_there").alias("_found"))
+        .filter("_links = _found")
+        .select("claim_id")
+    )
+
+
+def _acceptance(moved: DataFrame, links: DataFrame, outbox: DataFrame | None) -> dict[str, DataFrame]:
+    """The five outputs of an acceptance of ``moved(claim_id, before_status, after_status, actor, activity_id)``."""
+    return {
+        "claims": moved.select("claim_id", "before_status", "after_status", "actor"),
+        "links": evidence_links(links.join(moved.select("claim_id"), "claim_id", "left_semi")),
+        "provenance": moved.select(
+            F.col("claim_id").cast("string").alias("entity_id"), F.lit("Claim").alias("entity_type"), "activity_id",
+            F.col("actor").alias("agent_id"),
+        ),
+        "audit": moved.select("claim_id", "before_status", "after_status", "actor", F.lit("CLAIM_ACCEPTED").alias("event_type")),
+        "outbox": outbox_events(moved, outbox),
+    }
+
+
 def accept_batch(
     claims: DataFrame,
     links: DataFrame,
@@ -176,35 +203,17 @@ def accept_batch(
     """V6: the five outputs of one acceptance, all derived from one accepted set.
 
     A claim is accepted when the move is legal, it has evidence, and all of it
-    exists. Write the outputs with ``sinks.write_commit``, which shows them
-    together or not at all.
+    exists. The accepted set is formed once and stored; write the outputs with
+    ``sinks.write_commit``, which shows them together or not at all.
     """
     sources = [s for s, targets in STATE_MACHINES["claim"].items() if "ACCEPTED" in targets]
-    present = fragments.select("evidence_id").withColumn("_there", F.lit(1))
-    proof = (
-        links.join(present, "evidence_id", "left")
-        .groupBy("claim_id")
-        .agg(F.count(F.lit(1)).alias("_links"), F.count("_there").alias("_found"))
-        .filter("_links = _found")
-        .select("claim_id")
-    )
-    accepted = claims.filter(F.col("claim_status").isin(sources)).join(proof, "claim_id", "left_semi")
+    accepted = claims.filter(F.col("claim_status").isin(sources)).join(evidenced(links, fragments), "claim_id", "left_semi")
+    ensure_checkpoint_dir(claims.sparkSession)
     moved = accepted.select(
-        "claim_id", F.col("claim_status").alias("before_status"),
-        F.lit("ACCEPTED").alias("after_status"), F.lit(actor).alias("actor"),
-    )
-    return {
-        "claims": moved,
-        "links": evidence_links(links.join(accepted.select("claim_id"), "claim_id", "left_semi")),
-        "provenance": accepted.select(
-            F.col("claim_id").cast("string").alias("entity_id"),
-            F.lit("Claim").alias("entity_type"),
-            F.concat(F.lit("accept-"), F.col("claim_id").cast("string")).alias("activity_id"),
-            F.lit(actor).alias("agent_id"),
-        ),
-        "audit": moved.withColumn("event_type", F.lit("CLAIM_ACCEPTED")),
-        "outbox": outbox_events(accepted, outbox),
-    }
+        "claim_id", F.col("claim_status").alias("before_status"), F.lit("ACCEPTED").alias("after_status"),
+        F.lit(actor).alias("actor"), F.concat(F.lit("accept-"), F.col("claim_id").cast("string")).alias("activity_id"),
+    ).checkpoint()
+    return _acceptance(moved, links, outbox)
 
 
 def dedup_decisions(decisions: DataFrame) -> DataFrame:
@@ -217,10 +226,12 @@ def dedup_decisions(decisions: DataFrame) -> DataFrame:
 
 
 def apply_decisions(
-    tasks: DataFrame, claims: DataFrame, decisions: DataFrame
+    tasks: DataFrame, claims: DataFrame, decisions: DataFrame, proven: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """V7: ``(applied, conflicts)``; the first legal decision of a claim wins.
 
+    With ``proven(claim_id)``, an acceptance of any other claim is refused too.
+
     A decision that the claim's status forbids is refused and leaves its task open, so a later
     legal one is applied. The winner moves the claim to a status from which no decision leads on:
     later ones of its task were decided before, those of the claim's other tasks are illegal.
@@ -235,8 +246,13 @@ def apply_decisions(
         .join(claims.select("claim_id", "claim_status"), "claim_id", "left")
         .join(table, ["claim_status", "decision"], "left")
     )
+    if proven is None:
+        seen = seen.withColumn("_bare", F.lit(False))
+    else:
+        marked = proven.select("claim_id").distinct().withColumn("_proven", F.lit(True))
+        seen = seen.join(marked, "claim_id", "left").withColumn("_bare", (F.col("decision") == "ACCEPTED") & F.col("_proven").isNull()).drop("_proven")
     place = F.struct("decided_at", "decision_id", "task_id")
-    legal = F.col("_legal").isNotNull() & F.col("task_status").isin(OPEN_TASK)
+    legal = F.col("_legal").isNotNull() & F.col("task_status").isin(OPEN_TASK) & ~F.col("_bare")
     winners = seen.filter(legal).groupBy("claim_id").agg(F.min(place).alias("_won"))
     judged = (
         seen.join(winners, "claim_id", "left")
@@ -246,9 +262,10 @@ def apply_decisions(
             .when(~F.col("task_status").isin(OPEN_TASK), "task closed")
             .when(F.col("claim_status").isNull(), "claim not found")
             .when((F.col("task_id") == F.col("_won.task_id")) & (place > F.col("_won")), "decided before")
+            .when(F.col("_legal").isNotNull() & F.col("_bare"), "evidence missing")
             .when(~F.coalesce(place == F.col("_won"), F.lit(False)), "illegal transition"),
         )
-        .drop("_won", "_legal")
+        .drop("_won", "_legal", "_bare")
     )
     applied = judged.filter(F.col("conflict").isNull()).select(
         "task_id", "decision_id", "claim_id",
@@ -263,6 +280,35 @@ def apply_decisions(
     return applied, conflicts
 
 
+def decide(
+    tasks: DataFrame, claims: DataFrame, decisions: DataFrame, links: DataFrame, fragments: DataFrame,
+    outbox: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """V7 to V6: decisions with all that an acceptance brings about.
+
+    An accepted claim needs evidence that exists, and gives its links, a provenance
+    entry, an audit event and an outbox event; a rejected one moves only. Every
+    applied decision gives a review event and completes its task. Refused
+    decisions are in ``conflicts``. Write the outputs with ``sinks.write_commit``.
+    """
+    applied, conflicts = apply_decisions(tasks, claims, decisions, evidenced(links, fragments))
+    ensure_checkpoint_dir(claims.sparkSession)
+    applied = applied.checkpoint()
+    moved = applied.select(
+        "claim_id", "before_status", "after_status", F.col("reviewer").alias("actor"),
+        F.concat(F.lit("review-"), F.col("task_id").cast("string")).alias("activity_id"),
+    )
+    out = _acceptance(moved.filter("after_status = 'ACCEPTED'"), links, outbox)
+    reviews = moved.select(
+        "claim_id", "before_status", "after_status", "actor", F.concat(F.lit("REVIEW_"), "after_status").alias("event_type")
+    )
+    return {
+        **out, "claims": moved.select("claim_id", "before_status", "after_status", "actor"),
+        "audit": out["audit"].unionByName(reviews), "tasks": applied.select("task_id", "decision_id", "task_status", "decided_at"),
+        "conflicts": conflicts,
+    }
+
+
 def review_queue(
     tasks: DataFrame, claims: DataFrame, links: DataFrame, status: str = "OPEN", limit: int = 50
 ) -> tuple[DataFrame, DataFrame]:
