@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.catalog.registry import query
-from factloom.operators.graph import business_edges
+from factloom.operators.graph import business_edges, membership_edges
 from factloom.plans import screen as q
 from factloom.plans.model import NumericFilter, QueryPlan
 from factloom.sources.bindings import Frames
@@ -24,7 +24,7 @@ LIVE = """
         AND valid_from <= TIMESTAMP '2024-01-20' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-20')
         AND recorded_at <= TIMESTAMP '2024-01-25'),
     ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY recorded_at DESC, claim_id) AS n
-        FROM live) WHERE n <= 100),
+        FROM live)),
     per_company AS (SELECT subject_id AS company_id, count(*) AS claims_loaded,
         string_agg(CAST(claim_id AS VARCHAR), ',' ORDER BY n) FILTER (n <= 5) AS claim_ids,
         min_by(coalesce(business_stage, '-'), n) AS business_stage, min_by(evidence_state, n) AS evidence_state,
@@ -53,7 +53,7 @@ LIVE = """
         FROM ranked r JOIN ev_link k USING (claim_id) JOIN fragment f USING (evidence_id)),
     proof AS (SELECT company_id, count(*) AS evidence_count,
         string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY n, e) FILTER (p <= 5) AS evidence_ids
-        FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY n, e) AS p FROM evidence WHERE e <= 5) GROUP BY 1)
+        FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY n, e) AS p FROM evidence ) GROUP BY 1)
 """.replace("ntext(fin.value)", "regexp_replace(regexp_replace(CAST(CAST(fin.value AS DECIMAL(38,6)) AS VARCHAR), '0+$', ''), '\\.$', '.0')")
 
 
@@ -99,6 +99,33 @@ def q03b(f: Frames) -> DataFrame:
     return ids.select("company_id", F.lit(source).alias("source"))
 
 
+CONCEPT_PLAN = QueryPlan(concept_name="2-HIGH", numeric=NUMERIC, as_of=AS_OF, known_at=KNOWN, max_results=100)
+
+
+def _concept_graph(f: Frames) -> tuple[DataFrame, DataFrame]:
+    """Companies tagged with the priorities of their orders."""
+    nodes = f.table("orders").selectExpr("o_orderpriority AS id", "'Concept' AS label", "o_orderpriority AS canonical_name").distinct()
+    return nodes, membership_edges(f.table("orders").selectExpr(
+        "o_custkey AS src", "o_orderpriority AS dst", "CAST(o_orderdate AS DATE) AS snapshot_date"), "TAGGED_AS")
+
+
+@query("q03_candidates_concept", """
+    SELECT DISTINCT o_custkey AS company_id, 'graph' AS source FROM orders WHERE o_orderpriority = '2-HIGH'""")
+def q03c(f: Frames) -> DataFrame:
+    ids, source, _ = q.candidates(CONCEPT_PLAN, f.claims(), _concept_graph(f))
+    return ids.select("company_id", F.lit(source).alias("source"))
+
+
+@query("q03_candidates_without_graph", """
+    SELECT DISTINCT subject_id AS company_id, 'pg-unavailable' AS source FROM claim
+    WHERE claim_status = 'ACCEPTED' AND business_stage = 'MASS_PRODUCTION'""")
+def q03d(f: Frames) -> DataFrame:
+    """Stage candidates come from the tables; a concept without a graph brings none, not all."""
+    ids, source, _ = q.candidates(STAGE_PLAN, f.claims())
+    none, other, _ = q.candidates(CONCEPT_PLAN, f.claims())
+    return ids.select("company_id", F.lit(source).alias("source")).unionByName(none.select("company_id", F.lit(other).alias("source")))
+
+
 @query("q04_exclusion_reasons", f"WITH {LIVE} SELECT company_id, company_name, exclusion AS reason FROM judged WHERE exclusion IS NOT NULL")
 def q04(f: Frames) -> DataFrame:
     return q.screen(f.screen_tables(), PLAN).excluded.select("company_id", "company_name", "reason")
@@ -150,9 +177,7 @@ RESULTS = f"""WITH {LIVE},
         JOIN product ON product_id = object_id GROUP BY 1) p USING (company_id)"""
 
 
-@query("q10_screen_results", RESULTS)
-def q10(f: Frames) -> DataFrame:
-    out = q.screen(f.screen_tables(), PLAN).results
+def _shown(out: DataFrame) -> DataFrame:
     attached = F.regexp_extract(F.element_at("reasoning_path", -1), r"(\d+)$", 1).cast("bigint")
     return out.select(
         "company_id", "company_name", "security_code", "standard_product", _text("claim_ids"),
@@ -163,11 +188,27 @@ def q10(f: Frames) -> DataFrame:
     )
 
 
+@query("q10_screen_results", RESULTS)
+def q10(f: Frames) -> DataFrame:
+    return _shown(q.screen(f.screen_tables(), PLAN).results)
+
+
+@query("q10_screen_by_concept", RESULTS.replace(
+    "(SELECT DISTINCT subject_id AS company_id FROM claim WHERE claim_status = 'ACCEPTED') d",
+    "(SELECT DISTINCT o_custkey AS company_id FROM orders WHERE o_orderpriority = '2-HIGH') d",
+).replace("'pg' AS data_freshness", "'graph+pg' AS data_freshness").replace(
+    "PG candidates (no graph query required)", "graph concept filter applied: 2-HIGH"))
+def q10b(f: Frames) -> DataFrame:
+    tables = f.screen_tables()
+    tables["nodes"], tables["edges"] = _concept_graph(f)
+    return _shown(q.screen(tables, CONCEPT_PLAN).results)
+
+
 @query("q08_grounded_results", f"""WITH {LIVE},
     shown AS (SELECT * FROM judged JOIN proof USING (company_id) WHERE exclusion IS NULL ORDER BY company_id LIMIT 100)
     SELECT company_id, CAST(count(*) AS BIGINT) AS quotes, sum(length(quote_text)) AS quote_chars FROM (
         SELECT e.company_id, f.quote_text, row_number() OVER (PARTITION BY e.company_id ORDER BY n, e) AS p
-        FROM evidence e JOIN shown USING (company_id) JOIN fragment f USING (evidence_id) WHERE e <= 5)
+        FROM evidence e JOIN shown USING (company_id) JOIN fragment f USING (evidence_id))
     WHERE p <= 5 GROUP BY 1""")
 def q08(f: Frames) -> DataFrame:
     out = q.screen(f.screen_tables(), PLAN).results
@@ -179,7 +220,7 @@ def q08(f: Frames) -> DataFrame:
 
 @query("q09_reasoning_path", """
     SELECT company_id, 'graph stage filter applied: MASS_PRODUCTION' AS step_1,
-           concat('claims loaded: ', least(n, 100), ' (ACCEPTED, as_of/known_at applied)') AS step_2
+           concat('claims loaded: ', n, ' (ACCEPTED, as_of/known_at applied)') AS step_2
     FROM (SELECT subject_id AS company_id, count(*) AS n FROM claim
           WHERE claim_status = 'ACCEPTED' AND subject_id IN (SELECT subject_id FROM claim WHERE claim_status = 'ACCEPTED'
             AND predicate_code = 'PRODUCES' AND object_id IS NOT NULL AND business_stage = 'MASS_PRODUCTION') GROUP BY 1)

@@ -15,6 +15,7 @@ from factloom.operators.conflicts import conflict_warnings
 from factloom.operators.graph import companies_by_concept, companies_by_stage
 from factloom.operators.paths import relation_paths
 from factloom.plans.model import NumericFilter, QueryPlan
+from factloom.session import ensure_checkpoint_dir
 
 FRESHNESS = {
     "graph": "graph+pg",
@@ -165,18 +166,20 @@ def top_evidence(
     return pairs.withColumn("_e", F.row_number().over(order)).filter(F.col("_e") <= n)
 
 
-def evidence_per_company(evidence: DataFrame, n: int = 5) -> DataFrame:
-    """Q6: first ``n`` pieces per company in claim order, and the number attached."""
-    order = Window.partitionBy("subject_id").orderBy("_n", "_e")
-    total = evidence.groupBy("subject_id").agg(F.count(F.lit(1)).alias("evidence_count"))
+def evidence_quotes(proof: DataFrame, companies: DataFrame, fragments: DataFrame, n: int = 5) -> DataFrame:
+    """Q6: the first ``n`` quotes of each company, newest claim first; quotes are fetched for these alone.
+
+    ``proof(subject_id, claim_id, recorded_at, evidence_id)``, ``companies(company_id)``.
+    """
+    mine = proof.join(companies.select(F.col("company_id").alias("subject_id")), "subject_id", "left_semi")
+    order = Window.partitionBy("subject_id").orderBy(F.col("recorded_at").desc(), "claim_id", "evidence_id")
+    first = mine.withColumn("_p", F.row_number().over(order)).filter(F.col("_p") <= n)
     item = F.struct("_p", "evidence_id", "page_number", "quote_text")
-    first = (
-        evidence.withColumn("_p", F.row_number().over(order))
-        .filter(F.col("_p") <= n)
-        .groupBy("subject_id")
+    return (
+        first.join(fragments.select("evidence_id", "page_number", "quote_text"), "evidence_id")
+        .groupBy(F.col("subject_id").alias("company_id"))
         .agg(F.array_sort(F.collect_list(item)).alias("evidence_quotes"))
     )
-    return total.join(first, "subject_id").withColumnRenamed("subject_id", "company_id")
 
 
 def display_fields(
@@ -247,50 +250,63 @@ class Screen:
     notes: list[str]
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def screen(tables: Mapping[str, DataFrame], plan: QueryPlan) -> Screen:
-    """Q8/Q10: one lazy plan from candidates to grounded results.
+    """Q8/Q10: from candidates to grounded results.
 
     ``tables``: ``company, links, securities, observations, claims,
     claim_evidence, fragments, products`` and optionally ``nodes, edges``.
     Filters run before the limit, companies in id order; so a result set is
-    never cut short by candidates that would have been excluded.
+    never cut short by candidates that would have been excluded. Claims and
+    evidence are counted whole; ids, verdicts and counts are stored first, then
+    the page is fixed, and only for its companies quotes, codes and names are
+    fetched.
     """
     graph = (tables["nodes"], tables["edges"]) if "edges" in tables else None
     ids, source, notes = candidates(plan, tables["claims"], graph)
     names = tables["company"].select(F.col("id").alias("company_id"), F.col("canonical_name").alias("company_name"))
-    live = bitemporal_claims(tables["claims"], plan.as_of, plan.known_at)
+    live = bitemporal_claims(tables["claims"], plan.as_of, plan.known_at).select(
+        "claim_id", "subject_id", "object_id", "business_stage", "evidence_state", "valid_from", "valid_to", "recorded_at"
+    )
     if plan.needs_graph or plan.subject_id is not None:
         # Without a filter every accepted claim belongs to a candidate
         live = live.join(ids.select(F.col("company_id").alias("subject_id")), "subject_id", "left_semi")
-    ranked = ranked_claims(live, plan.max_results)
+    live = _stored(live)
+    counts = live.groupBy(F.col("subject_id").alias("company_id")).agg(F.count(F.lit(1)).alias("claims_loaded"))
     newest = F.min_by(F.struct("business_stage", "evidence_state", "valid_from", "valid_to"), "_n")
-    per_company = ranked.groupBy(F.col("subject_id").alias("company_id")).agg(
-        F.count(F.lit(1)).alias("claims_loaded"),
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("_n") <= 5, F.struct("_n", "claim_id")))),
-            lambda e: e["claim_id"],
-        ).alias("claim_ids"),
-        newest.alias("_newest"),
+    per_company = counts.join(
+        ranked_claims(live, 5).groupBy(F.col("subject_id").alias("company_id")).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("_n", "claim_id"))), lambda e: e["claim_id"]).alias("claim_ids"),
+            newest.alias("_newest"),
+        ), "company_id",
     ).select("company_id", "claims_loaded", "claim_ids", "_newest.*")
     judged = ids.join(names, "company_id", "left").withColumn(
         "company_name", F.coalesce("company_name", F.lit("Unknown"))
     ).join(per_company, "company_id", "left")
-    pairs = tables["links"].join(ids, "company_id", "left_semi")
     if plan.numeric is not None:
+        pairs = tables["links"].join(ids, "company_id", "left_semi")
         fin = financial_evaluation(
             tables["observations"], pairs, plan.numeric, plan.as_of, plan.known_at
         )
         judged = judged.join(fin, "company_id", "left")
-    judged = judged.withColumn("exclusion", exclusion_reason(judged, plan.numeric))
+    judged = _stored(judged.withColumn("exclusion", exclusion_reason(judged, plan.numeric)))
     excluded = judged.filter(F.col("exclusion").isNotNull()).select(
         "company_id", "company_name", F.col("exclusion").alias("reason"),
         F.concat_ws(": ", "company_name", "exclusion").alias("message"),
     )
     staying = judged.filter(F.col("exclusion").isNull())
-    evidence = evidence_per_company(
-        top_evidence(ranked, tables["claim_evidence"], tables["fragments"])
+    proof = _stored(
+        live.join(staying.select(F.col("company_id").alias("subject_id")), "subject_id", "left_semi")
+        .select("subject_id", "claim_id", "recorded_at")
+        .join(tables["claim_evidence"].select("claim_id", "evidence_id"), "claim_id")
+        .join(tables["fragments"].select("evidence_id"), "evidence_id", "left_semi")
     )
-    grounded = staying.join(evidence, "company_id", "left").withColumn(
+    attached = proof.groupBy(F.col("subject_id").alias("company_id")).agg(F.count(F.lit(1)).alias("evidence_count"))
+    grounded = staying.join(attached, "company_id", "left").withColumn(
         "evidence_count", F.coalesce("evidence_count", F.lit(0))
     )
     missing = unknown_reason(F.col("evidence_count"))
@@ -312,7 +328,8 @@ def screen(tables: Mapping[str, DataFrame], plan: QueryPlan) -> Screen:
             F.lit(" contradicted/superseded claim(s) present - results carry this warning"),
         ),
     )
-    page = grounded.orderBy("company_id").limit(plan.max_results)
+    page = _stored(grounded.orderBy("company_id").limit(plan.max_results))
+    shown_ids = page.select("company_id")
     if plan.numeric is None:
         page = page.withColumns(
             {
@@ -321,10 +338,12 @@ def screen(tables: Mapping[str, DataFrame], plan: QueryPlan) -> Screen:
                 "financial_detail": F.lit(None).cast("array<struct<period_end:date,value:double,currency:string>>"),
             }
         )
-    shown = display_fields(
-        page.select("company_id"), tables["links"], tables["securities"], ranked, tables["products"]
+    named = live.join(shown_ids.select(F.col("company_id").alias("subject_id")), "subject_id", "left_semi").join(
+        tables["products"].select(F.col("product_id").alias("object_id")), "object_id", "left_semi"
     )
-    results = page.join(shown, "company_id").select(
+    shown = display_fields(shown_ids, tables["links"], tables["securities"], ranked_claims(named, 1), tables["products"])
+    quotes = evidence_quotes(proof, shown_ids, tables["fragments"])
+    results = page.join(shown, "company_id").join(quotes, "company_id", "left").select(
         "company_id", "company_name", "security_code", "standard_product", "claim_ids",
         "business_stage", "evidence_state", "valid_from", "valid_to",
         F.col("value").alias("financial_value"), "report_period", "currency", "financial_detail",
