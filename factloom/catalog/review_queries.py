@@ -56,6 +56,11 @@ def v02(f: Frames) -> DataFrame:
     return v.fold_states(state_moves(f), "claim", "EXTRACTED")
 
 
+@query("v02_state_before", f"""WITH RECURSIVE {FOLD} SELECT entity_id, event_id, from_status, ok AS legal FROM fold""")
+def v02b(f: Frames) -> DataFrame:
+    return v.state_before(state_moves(f), "claim", "EXTRACTED").select("entity_id", "event_id", "from_status", "legal")
+
+
 @query("v03_review_tasks", f"""WITH {VERDICT}
     SELECT claim_id, CASE WHEN verdict = 'NEEDS_REVIEW' THEN 'HIGH' ELSE 'NORMAL' END AS priority, reasons FROM verdict WHERE verdict <> 'VALIDATED'""")
 def v03(f: Frames) -> DataFrame:

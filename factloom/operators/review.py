@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.hashing import stable_id
+from factloom.operators.folds import fold_states, state_before  # noqa: F401
 from factloom.session import ensure_checkpoint_dir
 from factloom.vocab import STATE_MACHINES, transitions
 
@@ -18,71 +19,6 @@ def illegal_transitions(moves: DataFrame, table: DataFrame | None = None) -> Dat
     return moves.join(table, ["machine", "from_status", "to_status"], "left_anti")
 
 
-def _legal(machine: str) -> list[str]:
-    return [f"{s}>{t}" for s, targets in STATE_MACHINES[machine].items() for t in targets]
-
-
-def _step(legal: Column, acc: Column, target: Column) -> Column:
-    """One move: taken when legal, else counted and skipped."""
-    ok = F.array_contains(legal, F.concat(acc["state"], F.lit(">"), target))
-    return F.struct(
-        F.when(ok, target).otherwise(acc["state"]).alias("state"),
-        (acc["illegal"] + F.when(ok, 0).otherwise(1)).cast("bigint").alias("illegal"),
-    )
-
-
-def fold_states(events: DataFrame, machine: str, initial: str, bucket: Column | None = None) -> DataFrame:
-    """V2: final status per entity from ``events(entity_id, at, event_id, to_status)``.
-
-    An illegal move writes nothing. A run of moves is a map from states to
-    states, and such maps compose; so each (entity, time bucket) is folded for
-    every start state on its own, and an entity then folds one row per bucket.
-    """
-    states = list(STATE_MACHINES[machine])
-    legal = F.array(*[F.lit(x) for x in _legal(machine)])
-    bucket = F.date_trunc("day", "at") if bucket is None else bucket
-    moves = F.transform(
-        F.array_sort(F.collect_list(F.struct("at", "event_id", "to_status"))), lambda e: e["to_status"]
-    )
-    chunks = events.groupBy("entity_id", bucket.alias("_bucket")).agg(
-        moves.alias("_moves"), F.count(F.lit(1)).alias("_n")
-    )
-
-    def run(start: str) -> Column:
-        begin = F.struct(F.lit(start).alias("state"), F.lit(0).cast("bigint").alias("illegal"))
-        return F.aggregate("_moves", begin, lambda acc, t: _step(legal, acc, t))
-
-    maps = chunks.select(
-        "entity_id", "_bucket", "_n",
-        F.map_from_arrays(
-            F.array(*[F.lit(s) for s in states]), F.array(*[run(s) for s in states])
-        ).alias("_map"),
-    )
-    begin = F.struct(F.lit(initial).alias("state"), F.lit(0).cast("bigint").alias("illegal"))
-
-    def compose(acc: Column, chunk: Column) -> Column:
-        reached = F.element_at(chunk["_map"], acc["state"])
-        return F.struct(
-            reached["state"].alias("state"), (acc["illegal"] + reached["illegal"]).alias("illegal")
-        )
-
-    # Maps do not sort, so the order of the chunks is taken from their bucket
-    ordered = F.array_sort(
-        F.collect_list(F.struct("_bucket", "_map")),
-        lambda a, b: F.when(a["_bucket"] < b["_bucket"], -1).when(a["_bucket"] > b["_bucket"], 1).otherwise(0),
-    )
-    return (
-        maps.groupBy("entity_id")
-        .agg(F.sum("_n").alias("events"), ordered.alias("_chunks"))
-        .withColumn("_end", F.aggregate("_chunks", begin, compose))
-        .select(
-            "entity_id", "events",
-            F.col("_end.state").alias("final_status"),
-            F.col("_end.illegal").alias("illegal_moves"),
-        )
-    )
-
-
 def review_tasks(claims: DataFrame, auto_accept: bool = True, max_reasons: int | None = None) -> DataFrame:
     """V3: task per claim whose verdict asks for one, with all reasons or the first ``max_reasons``."""
     status = F.col("verdict")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.clean import clean_str, decimal_or_null, parse_date, valid_ts_code
 from factloom.operators import claims as x
-from factloom.operators import conflicts, graph, paths, provenance, review, standardize, taxonomy
+from factloom.operators import conflicts, folds, graph, paths, provenance, review, standardize, taxonomy
 from factloom.operators.scaling import dense_index
 from factloom.sources import sinks, vendor
 from factloom.sources.registry import DATASETS
@@ -289,3 +289,23 @@ def test_walks_are_counted_without_being_listed(spark):
             listed = sorted((len(e), n, e) for n, e, _ in _every_walk(rows, "a", 4) if n[-1] == "c")[:limit]
             got = paths.relation_paths(edges, "a", "c", 4, limit=limit).collect()
             assert [(r.hops, r.path_nodes, r.path_edges) for r in got] == listed
+
+
+def test_states_fold_in_a_tree_of_small_groups(spark, at, monkeypatch):
+    monkeypatch.setattr(folds, "WIDTH", 4)
+    rng = random.Random(2)
+    names = list(STATE_MACHINES["claim"])
+    rows = [("hot", at(2024, 1, 1) + dt.timedelta(minutes=k // 3), k, rng.choice(names)) for k in range(300)]
+    rows += [(f"e{k % 7}", at(2024, 1, 2), k, rng.choice(names)) for k in range(300, 340)]
+    want, status, illegal = [], {}, Counter()
+    for entity, _, event, target in sorted(rows):
+        before = status.get(entity, "EXTRACTED")
+        legal = target in STATE_MACHINES["claim"].get(before, ())
+        want.append((entity, event, target, before, legal))
+        status[entity] = target if legal else before
+        illegal[entity] += not legal
+    events = spark.createDataFrame(rows, "entity_id string, at timestamp_ntz, event_id int, to_status string").repartition(5)
+    assert sorted(tuple(r) for r in folds.state_before(events, "claim", "EXTRACTED").collect()) == sorted(want)
+    got = {r.entity_id: (r.final_status, r.illegal_moves) for r in folds.fold_states(events, "claim", "EXTRACTED").collect()}
+    assert got == {e: (s, illegal[e]) for e, s in status.items()}
+    assert folds.state_before(events.limit(0), "claim", "EXTRACTED").count() == 0
