@@ -157,19 +157,23 @@ def pieces(
             part = np.cumsum(size) // GROUP
             for g in np.unique(part):
                 lo, hi = np.searchsorted(part, [g, g + 1])
-                rows: list[tuple] = []
                 encoded = tool.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
-                for doc, data in zip(keys[lo:hi], encoded, strict=True):
-                    ids = np.append(np.frombuffer(data, tool.dtype).astype("<u4"), np.uint32(end_id))
-                    first = (len(ids) - 1) % capacity + 1
-                    at = [0, *range(first, len(ids) + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                        crc = zlib.crc32(ids[a:b].astype("<u4").tobytes())
-                        rows.append((doc, k, a, b - a, crc, *([ids[a:b]] if keep_ids else [])))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
-                )
+                # All ids of the group in one array, each document's closed by the end id.
+                end = np.asarray([end_id], dtype=tool.dtype).tobytes()
+                ids = np.frombuffer(end.join(encoded) + end, dtype=tool.dtype).astype("<u4")
+                n = np.asarray([len(data) // tool.dtype.itemsize + 1 for data in encoded])
+                many = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                stop = ((n - 1) % capacity + 1)[doc] + piece * capacity
+                start = np.where(piece == 0, 0, stop - capacity)
+                at = (np.cumsum(n) - n)[doc]
+                data = memoryview(ids.tobytes())
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((at + start).tolist(), (at + stop).tolist(), strict=True)]
+                kept = [pa.ListArray.from_arrays(np.append(at + start, len(ids)).astype(np.int32), ids.astype(np.int32))] if keep_ids else []
+                names = pa.array(keys[lo:hi], pa.int64()).take(pa.array(doc))
+                columns = [names, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(stop - start, pa.int64()), pa.array(crc, pa.int64()), *kept]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, ddl)
