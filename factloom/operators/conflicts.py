@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.scaling import split_running_sum
+from factloom.operators.scaling import running_max, split_running_sum
 
 LIVE = ["ACCEPTED", "NEEDS_REVIEW"]
 OPEN_START = "0001-01-01 00:00:00"
@@ -286,20 +286,16 @@ def issuer_conflicts(links: DataFrame) -> DataFrame:
     company are merged first; after that any overlap within a security is one
     between two companies.
     """
-    earlier = (Window.unboundedPreceding, -1)
-    own = Window.partitionBy("security_id", "company_id").orderBy("_from", "_to")
     spans = links.select("security_id", "company_id", _start().alias("_from"), _end().alias("_to"))
-    fresh = F.col("_from") > F.max("_to").over(own.rowsBetween(*earlier))
-    merged = (
-        spans.withColumn("_new", F.coalesce(fresh, F.lit(True)).cast("int"))
-        .withColumn("_island", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("security_id", "company_id", "_island")
-        .agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    seen = running_max(spans, ["security_id", "company_id"], ["_from", "_to"], "_to", "_seen")
+    fresh = F.coalesce(F.col("_from") > F.col("_seen"), F.lit(True)).cast("int")
+    islands = split_running_sum(
+        seen.withColumnRenamed("_block", "_part"), ["security_id", "company_id"], F.col("_part"), ["_idx"], {"_island": fresh}
     )
-    order = Window.partitionBy("security_id").orderBy("_from", "_to", "company_id")
-    reach = F.max("_to").over(order.rowsBetween(*earlier))
+    merged = islands.groupBy("security_id", "company_id", "_island").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    reach = running_max(merged, ["security_id"], ["_from", "_to", "company_id"], "_to", "_reach")
     return (
-        merged.withColumn("_hit", F.coalesce(F.col("_from") < reach, F.lit(False)))
+        reach.withColumn("_hit", F.coalesce(F.col("_from") < F.col("_reach"), F.lit(False)))
         .groupBy("security_id")
         .agg(F.bool_or("_hit").alias("_hit"), F.count_distinct("company_id").alias("issuers"))
         .filter("_hit")

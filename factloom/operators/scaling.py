@@ -86,3 +86,45 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
     shares = salted.select(*keys, "_salt").distinct().join(right, keys)
     return salted.join(shares, [*keys, "_salt"], how).drop("_salt")
+
+
+#: Rows of a block in which neighbours and running values are formed.
+BLOCK = 10_000
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows with their position in the order of keys and order, and the number of their block."""
+    return dense_index(df, [*keys, *order], "_idx").withColumn("_block", F.expr(f"(_idx - 1) div {BLOCK}"))
+
+
+def neighbour(df: DataFrame, keys: list[str], order: list[str], column: str, name: str, ahead: bool = False) -> DataFrame:
+    """Adds a column of the row before (or ahead) within the keys; null at the end of a key.
+
+    Rows are put in one order and cut into blocks of equal size; the row beyond the
+    edge of a block is carried from the block beside it. So no key is a task, and
+    a block without a row of the key, or an empty table, needs no case of its own.
+    """
+    placed = in_order(df, keys, order)
+    row = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.col(column).alias("v"))
+    inside = Window.partitionBy("_block").orderBy("_idx")
+    edge, shift = (F.min_by, -1) if ahead else (F.max_by, 1)
+    carried = placed.groupBy("_block").agg(edge(row, "_idx").alias("_carried")).withColumn("_block", F.col("_block") + shift)
+    beside_it = (F.lead if ahead else F.lag)(row).over(inside)
+    joined = placed.withColumn("_near", beside_it).join(carried, "_block", "left").withColumn("_near", F.coalesce("_near", "_carried"))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(f"_near.k{i}").eqNullSafe(F.col(c))
+    return joined.withColumn(name, F.when(F.col("_near").isNotNull() & same, F.col("_near.v"))).drop("_idx", "_block", "_near", "_carried")
+
+
+def running_max(df: DataFrame, keys: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """Adds the greatest value of a column in the rows of the key before this one; keeps ``_idx`` and ``_block``.
+
+    Within a block by a window, and over the blocks before by one row per key and block.
+    """
+    placed = in_order(df, keys, order)
+    earlier = (Window.unboundedPreceding, -1)
+    tops = placed.groupBy(*keys, "_block").agg(F.max(column).alias("_top"))
+    base = tops.withColumn("_base", F.max("_top").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(*earlier))).drop("_top")
+    inside = F.max(column).over(Window.partitionBy(*keys, "_block").orderBy("_idx").rowsBetween(*earlier))
+    return placed.withColumn("_in", inside).join(base, [*keys, "_block"]).withColumn(name, F.greatest("_in", "_base")).drop("_in", "_base")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom import schemas
 from factloom.functions.hashing import payload_hash, schema_signature
+from factloom.operators.scaling import neighbour
 from factloom.sources.registry import Dataset
 
 # Words that mark a rate-limit answer, and codes that mark a permission answer (fixed values)
@@ -204,12 +205,11 @@ def mark_duplicate_pages(rows: DataFrame, run: str = "run_id") -> DataFrame:
 
 def page_plan(pages: DataFrame, page_size: int, run: str = "run_id") -> DataFrame:
     """Next offset per page, the last page, and pages whose successor is missing."""
-    order = Window.partitionBy("dataset", run).orderBy("offset")
     short = F.col("rows") < page_size
     return (
-        pages.withColumn("last_page", short)
+        neighbour(pages, ["dataset", run], ["offset"], "offset", "_following", ahead=True)
+        .withColumn("last_page", short)
         .withColumn("next_offset", F.when(~short, F.col("offset") + F.col("rows")))
-        .withColumn("_following", F.lead("offset").over(order))
         .withColumn(
             "gap",
             ~short & F.coalesce(F.col("_following") != F.col("next_offset"), F.lit(True)),
@@ -346,9 +346,7 @@ def mask_secrets(df: DataFrame, cols: list[str], limit: int = 500) -> DataFrame:
 
 def volume_gate(runs: DataFrame, max_drop: float) -> DataFrame:
     """Runs whose row count fell by more than ``max_drop`` against the run before."""
-    order = Window.partitionBy("dataset").orderBy("started_at", "run_id")
-    before = F.lag("rows").over(order)
-    return runs.withColumn("previous_rows", before).withColumn(
+    return neighbour(runs, ["dataset"], ["started_at", "run_id"], "rows", "previous_rows").withColumn(
         "blocked",
         F.coalesce(F.col("rows") < F.col("previous_rows") * (1 - max_drop), F.lit(False)),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.clean import clean_str, decimal_or_null, parse_date, valid_ts_code
 from factloom.operators import claims as x
-from factloom.operators import conflicts, folds, graph, paths, provenance, review, standardize, taxonomy
+from factloom.operators import conflicts, folds, graph, paths, provenance, review, scaling, standardize, taxonomy
 from factloom.operators.scaling import dense_index
 from factloom.sources import sinks, vendor
 from factloom.sources.registry import DATASETS
@@ -309,3 +309,22 @@ def test_states_fold_in_a_tree_of_small_groups(spark, at, monkeypatch):
     got = {r.entity_id: (r.final_status, r.illegal_moves) for r in folds.fold_states(events, "claim", "EXTRACTED").collect()}
     assert got == {e: (s, illegal[e]) for e, s in status.items()}
     assert folds.state_before(events.limit(0), "claim", "EXTRACTED").count() == 0
+
+
+def test_neighbours_and_running_maximum_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(scaling, "BLOCK", 5)
+    rng = random.Random(3)
+    rows = [("hot", k, rng.randrange(100)) for k in range(33)] + [(f"k{k}", 1, k) for k in range(4)] + [("two", 1, 5), ("two", 2, 3)]
+    df = spark.createDataFrame(rows, "k string, o int, v int").repartition(4)
+    by_key = {}
+    for k, o, v in sorted(rows):
+        by_key.setdefault(k, []).append((o, v))
+    lists = {(k, o): (x[i - 1][1] if i else None, x[i + 1][1] if i + 1 < len(x) else None, max((v for _, v in x[:i]), default=None))
+             for k, x in by_key.items() for i, (o, _) in enumerate(x)}
+    both = scaling.neighbour(scaling.neighbour(df, ["k"], ["o"], "v", "before"), ["k"], ["o"], "v", "after", ahead=True)
+    assert {(r.k, r.o): (r.before, r.after) for r in both.collect()} == {x: y[:2] for x, y in lists.items()}
+    top = scaling.running_max(df, ["k"], ["o"], "v", "top")
+    assert {(r.k, r.o): r.top for r in top.collect()} == {x: y[2] for x, y in lists.items()}
+    assert scaling.neighbour(df.limit(0), ["k"], ["o"], "v", "before").count() == 0
+    hot = scaling.spread_join(df, spark.createDataFrame([("hot", 1), ("two", 2), ("none", 3)], "k string, w int"), ["k"], ["o"])
+    assert Counter(r.k for r in hot.collect()) == {"hot": 33, "two": 2}
