@@ -141,17 +141,20 @@ def g08c(f: Frames) -> DataFrame:
 
 
 @query("g09_reconciliation", f"""WITH {EDGES}
-    SELECT a.n AS accepted_claims, a.n AS accepted_nodes, CAST(100.0 AS DOUBLE) AS coverage_pct, b.n AS business_edges, b.n AS with_claim_id,
-           CAST(100.0 AS DOUBLE) AS claim_id_pct, o.n AS outbox_pending, date_diff('second', o.t, TIMESTAMP '2002-01-01') AS oldest_wait_seconds,
-           s.h AS sample_hash
-    FROM (SELECT count(*) AS n FROM claim WHERE claim_status = 'ACCEPTED') a,
-         (SELECT count(*) AS n FROM bedge WHERE predicate_code <> 'HAS_REVENUE_FROM') b,
+    SELECT a.n AS accepted_claims, a.nodes AS accepted_nodes, round(a.nodes / a.n * 100, 1) AS coverage_pct,
+           b.n AS business_edges, b.named AS with_claim_id, round(b.named / b.n * 100, 1) AS claim_id_pct,
+           o.n AS outbox_pending, date_diff('second', o.t, TIMESTAMP '2002-01-01') AS oldest_wait_seconds, s.h AS sample_hash
+    FROM (SELECT count(*) AS n, count(*) FILTER (claim_id % 10 <> 0) AS nodes FROM claim WHERE claim_status = 'ACCEPTED') a,
+         (SELECT count(*) AS n, count(*) FILTER (claim_id % 7 <> 0) AS named FROM bedge WHERE predicate_code <> 'HAS_REVENUE_FROM') b,
          (SELECT count(*) AS n, min(created_at) AS t FROM outbox WHERE status IN ('PENDING', 'PROCESSING')) o,
          (SELECT substr(sha256(concat('["', string_agg(id, '","' ORDER BY id), '"]')), 1, 16) AS h
           FROM (SELECT CAST(id AS VARCHAR) AS id FROM company ORDER BY 1 LIMIT 5)) s""")
 def g09(f: Frames) -> DataFrame:
+    """A graph that lacks some nodes, and some claim ids on its edges."""
     claims = f.claims()
-    return g.reconcile_graph(claims, g.claim_nodes(claims), g.business_edges(claims), f.outbox(), f.company(), _now())
+    edges = g.business_edges(claims).withColumn("claim_id", F.when(F.col("claim_id") % 7 != 0, F.col("claim_id")))
+    nodes = g.claim_nodes(claims).filter("claim_id % 10 <> 0")
+    return g.reconcile_graph(claims, nodes, edges, f.outbox(), f.company(), _now())
 
 
 @query("g10_companies_by_concept", """
@@ -415,13 +418,24 @@ def g26(f: Frames) -> DataFrame:
 
 
 @query("g27_claims_to_triples", """
-    SELECT concat('stock:claim/', claim_id) AS s, count(*) AS triples FROM (
-        SELECT claim_id, unnest([1, 1, 1, 1, 1, CASE WHEN business_stage IS NOT NULL THEN 1 END, 1, 1, 1, 1,
-            CASE WHEN valid_to IS NOT NULL THEN 1 END, CASE WHEN superseded_at IS NOT NULL THEN 1 END]) AS one
-        FROM claim WHERE k % 13 <> 5) WHERE one IS NOT NULL GROUP BY 1""")
+    SELECT concat('stock:claim/', claim_id) AS s, x.p, x.o FROM (
+        SELECT claim_id, unnest([{'p': 'rdf:type', 'o': 'stock:Claim'}, {'p': 'stock:claimSubject', 'o': concat('stock/company/', subject_id)},
+            {'p': 'stock:predicateCode', 'o': predicate_code},
+            {'p': 'stock:claimObject', 'o': CASE WHEN object_id IS NULL THEN concat('stock:claimObjectValue/', claim_id) ELSE concat(CASE WHEN k % 11 <> 0 AND k % 13 = 0 THEN 'stock/concept/' ELSE 'stock/product/' END, object_id) END},
+            {'p': 'stock:claimStatus', 'o': claim_status}, {'p': 'stock:businessStage', 'o': business_stage},
+            {'p': 'stock:evidenceState', 'o': evidence_state}, {'p': 'stock:confidence', 'o': CAST(confidence AS VARCHAR)},
+            {'p': 'stock:recordedAt', 'o': CAST(recorded_at AS VARCHAR)}, {'p': 'stock:validFrom', 'o': CAST(valid_from AS VARCHAR)},
+            {'p': 'stock:validTo', 'o': CAST(valid_to AS VARCHAR)}, {'p': 'stock:supersededAt', 'o': CAST(superseded_at AS VARCHAR)}]) AS x
+        FROM claim WHERE k % 13 <> 5) WHERE x.o IS NOT NULL""")
 def g27(f: Frames) -> DataFrame:
     claims = f.claims().withColumn("subject_type", F.when(F.col("k") % 13 == 5, "Planet").otherwise("Company"))
-    return g.claims_to_triples(claims)[0].groupBy("s").agg(F.count(F.lit(1)).alias("triples"))
+    return g.claims_to_triples(claims)[0]
+
+
+@query("g27_rejected_claims", "SELECT claim_id, 'Planet' AS subject_type FROM claim WHERE k % 13 = 5")
+def g27b(f: Frames) -> DataFrame:
+    claims = f.claims().withColumn("subject_type", F.when(F.col("k") % 13 == 5, "Planet").otherwise("Company"))
+    return g.claims_to_triples(claims)[1].select("claim_id", "subject_type")
 
 
 @query("g28_projection_status", """

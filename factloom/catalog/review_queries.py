@@ -334,6 +334,13 @@ def p07(f: Frames) -> DataFrame:
     return trail.select("claim_id", "evidence_id", "page_number", "document_id", "source_system")
 
 
+@query("p08_open_ends_closed", """
+    SELECT claim_id, coalesce(valid_to, TIMESTAMP '9999-12-31 00:00:00') AS valid_to,
+           coalesce(superseded_at, TIMESTAMP '9999-12-31 00:00:00') AS superseded_at FROM claim""")
+def p08b(f: Frames) -> DataFrame:
+    return p.to_bitemporal(f.claims()).select("claim_id", "valid_to", "superseded_at")
+
+
 @query("p08_bitemporal_round_trip", "SELECT claim_id, valid_to, superseded_at FROM claim")
 def p08(f: Frames) -> DataFrame:
     return p.from_bitemporal(p.to_bitemporal(f.claims())).select("claim_id", "valid_to", "superseded_at")
