@@ -2,10 +2,8 @@
 
 A text is cut where the tokenizer's own pre-tokenizer always cuts, so that the
 ids of the chunks, put together, are the ids of the whole text. Chunks recur
-(Zipf), hence each worker keeps the ids of those it has met, in two
-generations: when the younger holds ``MEMO`` bytes it becomes the older, and what
-is met again moves up. Memory does not grow with the data, and frequent chunks
-are not learned anew.
+(Zipf), hence each worker keeps the ids of those it has met; the memo is
+emptied when it holds ``MEMO`` chunks, so its memory does not grow with the data.
 """
 
 from __future__ import annotations
@@ -16,8 +14,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Bytes of chunks of a generation, what one takes beside its signs and ids, and the longest that is kept, in characters.
-MEMO, ENTRY, LONGEST = 110 << 20, 170, 64
+#: Chunks that a worker keeps, and the longest chunk that it keeps, in characters.
+MEMO, LONGEST = 1_000_000, 64
 
 _SPACES = re.compile(r"\s\s|\x00")
 #: Byte-level pieces take at most one leading space, and a line feed between two
@@ -45,8 +43,6 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
 
     def ids(self, text: str) -> np.ndarray:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -68,18 +64,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if self.held > MEMO:
-            self.older, self.memo, self.held = self.memo, {"": b""}, 0
-        memo, older = self.memo, self.older
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+            memo[""] = b""
         parts = [self.chunks(t) for t in texts]
         # Each chunk is looked up once a call here, however often it occurs.
         missing = [c for c in set().union(*parts) if c not in memo]
-        found = {c: older[c] for c in missing if c in older}
-        unknown = [c for c in missing if c not in found]
-        long = {c: self.ids(c).tobytes() for c in unknown if len(c) > LONGEST or _MARK in c}
-        found |= self.learn([c for c in unknown if c not in long])
-        memo.update(found)
-        self.held += ENTRY * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+        long = {c: self.ids(c).tobytes() for c in missing if len(c) > LONGEST or _MARK in c}
+        memo.update(self.learn([c for c in missing if c not in long]))
         if not long:
             return [b"".join(map(memo.__getitem__, p)) for p in parts]
         return [b"".join([memo[c] if c in memo else long[c] for c in p]) for p in parts]
