@@ -100,19 +100,22 @@ def segment_pages(pages: DataFrame) -> DataFrame:
             lambda i: i.isNotNull(),
         ),
     )
-    rows = staged.select("*", F.posexplode("_paras").alias("paragraph_index", "_para"))
-    head = F.array_max(F.filter("_heads", lambda i: i <= F.col("paragraph_index")))
-    stripped = strip(F.col("_para"))
-    start = F.col("char_start") + F.expr("locate(_para, text)") - 1
-    fragments = rows.filter(F.length(stripped) >= MIN_FRAGMENT_CHARS).select(
-        "document_id",
-        "page_number",
-        F.substring(strip(F.get("_paras", head)), 1, 80).alias("section_title"),
-        "paragraph_index",
-        start.cast("int").alias("char_start"),
-        (start + F.length("_para")).cast("int").alias("char_end"),
-        stripped.alias("quote_text"),
-        normalize_ws(stripped).alias("normalized_text"),
+
+    def fragment(para: Column, index: Column) -> Column:
+        head = F.array_max(F.filter("_heads", lambda i: i <= index))
+        return F.struct(
+            index.alias("paragraph_index"), strip(para).alias("quote_text"), F.length(para).alias("chars"),
+            F.position(para, F.col("text")).alias("at"), F.substring(strip(F.get("_paras", head)), 1, 80).alias("section_title"),
+        )
+
+    # Offsets and headings are found in the row of the page; only fragments leave it, not its text.
+    wanted = F.filter(F.transform("_paras", fragment), lambda x: F.length(x["quote_text"]) >= MIN_FRAGMENT_CHARS)
+    rows = staged.select("document_id", "page_number", "char_start", F.explode(wanted).alias("_f"))
+    start = F.col("char_start") + F.col("_f.at") - 1
+    fragments = rows.select(
+        "document_id", "page_number", "_f.section_title", "_f.paragraph_index",
+        start.cast("int").alias("char_start"), (start + F.col("_f.chars")).cast("int").alias("char_end"),
+        "_f.quote_text", normalize_ws(F.col("_f.quote_text")).alias("normalized_text"),
     )
     return fragments.withColumn("checksum", fragment_checksum())
 
