@@ -22,6 +22,8 @@ HEADLINES = [
     "k05_temporal_conflicts", "k07_denial_overlap", "g12_relation_paths", "g14_subgraph_nodes",
     "g22_taxonomy_closure", "p03_verify_chain", "s07_land_raw", "n16_merge_observations", "v02_fold_states",
     "r01_verified_relevance", "t01_company_list",
+    "g16_supply_neighbors", "g23_taxonomy_violations", "q11_explain_relation", "m01_stream_land_in_batches",
+    "m05_enforce_states", "k06_incoming_conflicts", "n19_business_segments", "n20_holdings", "f14_revenue_evidence",
 ]
 
 
