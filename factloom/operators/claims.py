@@ -447,6 +447,8 @@ def table_shape_violations(df: DataFrame, shape: str) -> DataFrame:
 
 #: Bits of the filter on anchors; its size is fixed, whatever the dictionary.
 ANCHOR_BITS = 1 << 20
+#: Characters from one gram of a text to the next, for names that are long enough.
+STEPS = (64, 8, 1)
 
 
 def _anchor_filter(names: DataFrame) -> Column:
@@ -460,39 +462,46 @@ def _anchor_filter(names: DataFrame) -> Column:
     return every.agg(F.transform(ordered, lambda x: x["bits"]).alias("f")).scalar()
 
 
-def map_claim_objects(quotes: DataFrame, products: DataFrame, gram: int = 12, block: int = 256) -> DataFrame:
+def _cut(df: DataFrame, column: str, size: int, overlap: int) -> DataFrame:
+    """One row per piece of ``size`` characters, each with ``overlap`` more of the next."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(column), F.lit(1)), F.lit(size))
+    return df.withColumn(column, F.explode(F.transform(starts, lambda i: F.substring(F.col(column), i, F.lit(size + overlap)))))
+
+
+def map_claim_objects(quotes: DataFrame, products: DataFrame, gram: int = 16, block: int = 1024) -> DataFrame:
     """Product whose name occurs in the quote; longest name, then lowest id.
 
     ``quotes(claim_id, quote_text)``, ``products(product_id, canonical_name)``.
-    An exact text search as an equi-join, for dictionaries of any size: the first
-    ``gram`` characters of a name are looked up among the character grams of the
-    quotes, and each hit is confirmed on the whole text. Grams that are no
-    anchor's, by a bit array of fixed size, are dropped where they are made, so
-    that only likely hits are shuffled. Names shorter than ``gram`` use grams of
-    their own length. Texts are cut into overlapping blocks so that no task holds
-    all grams of a long text, and hits of a frequent anchor are spread.
+    An exact text search as an equi-join, for dictionaries of any size. A quote
+    gives its grams at every ``step``-th character only, and a name those at its
+    first ``step`` characters, so one of them meets wherever the name stands; each
+    hit is confirmed on the whole text. The step of a name is the largest of
+    ``STEPS`` that leaves it a whole gram; names shorter than ``gram`` use grams
+    of their own length. Grams that are no name's, by a bit array of fixed size,
+    are dropped where they are made, so that only likely hits are shuffled; the
+    array is a value of the plan, not a column. Texts are cut into overlapping
+    blocks so that no task holds all grams of a long text, and hits of a frequent
+    gram are spread.
     """
-    names = products.filter(F.length("canonical_name") > 0).withColumn(
+    spare = F.length("canonical_name") - F.col("_n") + 1
+    step = reduce(lambda acc, s: acc.when(spare >= s, s), STEPS[1:], F.when(spare >= STEPS[0], STEPS[0]))
+    named = products.filter(F.length("canonical_name") > 0).withColumn(
         "_n", F.least(F.length("canonical_name"), F.lit(gram))
-    ).withColumn("_anchor", F.substring("canonical_name", 1, gram))
-    sizes = names.agg(F.collect_set("_n").alias("s")).scalar()
-    blocks = quotes.select(
-        "claim_id",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length("quote_text"), F.lit(1)), F.lit(block)),
-                lambda i: F.substring(F.col("quote_text"), i, F.lit(block + gram - 1)),
-            )
-        ).alias("_block"),
-    ).withColumns({"_n": F.explode(sizes), "_filter": _anchor_filter(names)})
-    starts = F.sequence(F.lit(1), F.least(F.lit(block), F.length("_block") - F.col("_n") + 1))
+    ).withColumn("_step", step)
+    classes = named.agg(F.collect_set(F.struct("_n", "_step")).alias("s")).scalar()
+    names = named.withColumn("_at", F.explode(F.sequence(F.lit(1), F.col("_step")))).select(
+        "product_id", "canonical_name", F.substring("canonical_name", F.col("_at"), F.col("_n")).alias("_anchor")
+    ).distinct()
+    pieces = _cut(quotes.select("claim_id", F.col("quote_text").alias("_block")), "_block", 64 * block, gram - 1)
+    blocks = _cut(pieces, "_block", block, gram - 1).select("claim_id", "_block", F.inline(classes))
+    last = F.least(F.lit(block), F.length("_block") - F.col("_n") + 1)
     place = F.pmod(F.xxhash64("_anchor"), F.lit(ANCHOR_BITS))
-    known = F.expr("shiftright(get(_filter, cast(shiftright(_p, 6) as int)), cast(_p % 64 as int)) & 1") == 1
-    grams = blocks.filter(F.length("_block") >= F.col("_n")).select(
-        "claim_id", "_filter",
-        F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_block"), i, F.col("_n"))))).alias("_anchor"),
-    ).withColumn("_p", place).filter(known).select("claim_id", "_anchor").distinct()
-    hits = spread_join(grams, names, ["_anchor"], ["claim_id"]).select("claim_id", "product_id", "canonical_name")
+    word = F.get(_anchor_filter(names), F.shiftright(place, 6).cast("int"))
+    known = F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    grams = blocks.filter(F.length("_block") >= F.col("_n")).withColumn(
+        "_at", F.explode(F.sequence(F.lit(1), last, F.col("_step")))
+    ).select("claim_id", F.substring("_block", F.col("_at"), F.col("_n")).alias("_anchor")).filter(known).distinct()
+    hits = spread_join(grams, names, ["_anchor"], ["claim_id"]).select("claim_id", "product_id", "canonical_name").distinct()
     matched = (
         hits.join(quotes, "claim_id")
         .filter(F.contains("quote_text", "canonical_name"))

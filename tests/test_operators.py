@@ -121,6 +121,20 @@ def test_names_are_found_by_grams(spark):
     assert x.map_claim_objects(quotes, products.limit(0)).filter("object_id is not null").count() == 0
 
 
+def test_names_are_found_at_every_place(spark):
+    name = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(81)) + "é"
+    quotes = spark.createDataFrame(
+        [(i, "ü" * i + name + " end") for i in range(140)] + [(i, "ü" * i + name[:-1] + " end") for i in range(140, 180)],
+        "claim_id int, quote_text string")
+    products = spark.createDataFrame([(1, name), (2, name[5:30]), (3, name[40:50])], "product_id int, canonical_name string")
+    found = x.map_claim_objects(quotes, products, block=96)
+    assert {r.claim_id: r.object_id for r in found.collect()} == {i: 1 if i < 140 else 2 for i in range(180)}
+    # The bits of the filter are a value of the plan: no row carries them, and long names need few grams of a text.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_filter" not in plan and "sequence(1, least(96" in plan
+    assert x.STEPS[0] >= 64
+
+
 def _claims(spark, rows):
     return spark.createDataFrame(
         [(i, "s", p, None, None, v, "ACCEPTED", stage, state, f, t) for i, (p, v, stage, state, f, t) in enumerate(rows)],
