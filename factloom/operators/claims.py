@@ -79,19 +79,52 @@ def _split_alternatives(pattern: str) -> tuple[list[str], list[str]]:
     return plain, [p for p in parts if p not in plain]
 
 
-def _matches(text: Column, pattern: str) -> Column:
+def _needed(expression: str) -> str:
+    """Longest text that every match of an expression without alternatives holds, in lower case.
+
+    Letters with a partner outside ASCII when case is folded (i, s, k) are left
+    out, so that a search in the lowered text misses no match.
+    """
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(expression):
+        ch = expression[i]
+        after = expression[i + 1 : i + 2]
+        plain = depth == 0 and not REGEX_SYNTAX.match(ch) and ch.lower() not in "isk"
+        if plain and (ch.isascii() or ch.lower() == ch.upper()) and after not in ("?", "*", "{"):
+            run += ch.lower()
+        else:
+            runs, run = [*runs, run], ""
+        if ch == "\\":
+            i += 1
+        elif ch == "[":
+            i = expression.index("]", i + 2)
+        elif ch == "{":
+            i = expression.index("}", i)
+        else:
+            depth += (ch == "(") - (ch == ")")
+        i += 1
+    return max([*runs, run], key=len)
+
+
+def _matches(text: Column, pattern: str, low: Column | None = None) -> Column:
     """Case-insensitive search for any alternative of the pattern.
 
-    Plain texts are looked up with ``contains`` on the lowered text, which is
-    far cheaper than an expression; expressions fold case and bound words as
-    Unicode does.
+    Plain texts are looked up with ``contains`` on the lowered text (``low``),
+    which is far cheaper than an expression; expressions fold case and bound
+    words as Unicode does, and are tried where the text holds what they need.
     """
+    low = F.lower(text) if low is None else low
     plain, regex = _split_alternatives(pattern)
-    found = [F.contains(F.lower(text), F.lit(p.lower())) for p in plain]
-    if regex:
-        joined = "|".join(regex)
-        flags = "iuU" if "\\" in joined else "iu"
-        found.append(text.rlike(f"(?{flags})({joined})"))
+    found = [F.contains(low, F.lit(p.lower())) for p in plain]
+    groups: dict[str, list[str]] = {}
+    for part in regex:
+        needed = _needed(part)
+        groups.setdefault(needed if len(needed) >= 2 else "", []).append(part)
+    for needed, parts in groups.items():
+        joined = "|".join(parts)
+        flags = "iuU" if "\\" in "|".join(regex) else "iu"
+        hit = text.rlike(f"(?{flags})({joined})")
+        found.append(F.contains(low, F.lit(needed)) & hit if needed else hit)
     return reduce(lambda a, b: a | b, found)
 
 
@@ -99,7 +132,7 @@ def screen_injection(
     fragments: DataFrame, pattern: str = INJECTION_PATTERN
 ) -> tuple[DataFrame, DataFrame]:
     """Fragments without, and with, instruction-like text."""
-    hit = _matches(F.col("quote_text"), pattern)
+    hit = _matches(F.col("quote_text"), pattern, F.col("_low") if "_low" in fragments.columns else None)
     notes = fragments.filter(hit).withColumn(
         "note", F.concat(F.lit("injection content treated as data: "), F.substring("checksum", 1, 12))
     )
@@ -133,13 +166,17 @@ def extract_claims(
     A projection and a filter: the text is read once, nothing is shuffled.
     """
     rules = rules or DEFAULT_RULES
-    clean, _ = screen_injection(fragments, injection_pattern)
-    text = F.col("quote_text")
-    first = reduce(
-        lambda acc, item: acc.when(_matches(text, item[1].pattern), item[0]),
-        list(enumerate(rules))[1:],
-        F.when(_matches(text, rules[0].pattern), 0),
+    # Generated columns are computed once a row: the text, the lowered text, and the rule
+    lowered = fragments.withColumn("quote_text", F.explode(F.array("quote_text"))).withColumn(
+        "_low", F.explode(F.array(F.lower("quote_text")))
     )
+    clean, _ = screen_injection(lowered, injection_pattern)
+    text, low = F.col("quote_text"), F.col("_low")
+    first = F.explode(F.array(reduce(
+        lambda acc, item: acc.when(_matches(text, item[1].pattern, low), item[0]),
+        list(enumerate(rules))[1:],
+        F.when(_matches(text, rules[0].pattern, low), 0),
+    )))
     stages = F.array(*[F.lit(r.stage) for r in rules])
     states = F.array(*[F.lit(r.evidence) for r in rules])
     hits = clean.withColumn("_rule", first).filter(F.col("_rule").isNotNull())
@@ -149,7 +186,7 @@ def extract_claims(
             "evidence_state": F.get(states, F.col("_rule")),
             "extraction_version": F.lit(EXTRACTOR_VERSION),
         }
-    ).drop("_rule")
+    ).drop("_rule", "_low")
     return choose_predicate(hedge(claims, hedge_pattern))
 
 

@@ -90,13 +90,15 @@ def segment_pages(pages: DataFrame) -> DataFrame:
     The split, the carried heading and the offsets are computed inside the row
     of a page, so no shuffle is needed and a long document spreads by its pages.
     The offset is that of the first occurrence on the page, hence a repeated
-    paragraph yields one fragment.
+    paragraph yields one fragment. Offsets are searched in the generated rows, not
+    in the array, so that a reader of texts alone does not search for them.
     """
-    paragraphs = F.filter(F.split("text", PARAGRAPH_BREAK), lambda p: strip(p) != "")
-    staged = pages.withColumn("_paras", paragraphs).withColumn(
+    # A break of blank lines and a break of one line leave the same paragraphs with content
+    lines = F.transform(F.split("text", "\n"), lambda p: F.struct(p.alias("para"), strip(p).alias("quote_text")))
+    staged = pages.withColumn("_paras", F.filter(lines, lambda p: p["quote_text"] != "")).withColumn(
         "_heads",
         F.filter(
-            F.transform("_paras", lambda p, i: F.when(strip(p).rlike(SECTION_HEADING), i)),
+            F.transform("_paras", lambda p, i: F.when(p["quote_text"].rlike(SECTION_HEADING), i)),
             lambda i: i.isNotNull(),
         ),
     )
@@ -104,18 +106,18 @@ def segment_pages(pages: DataFrame) -> DataFrame:
     def fragment(para: Column, index: Column) -> Column:
         head = F.array_max(F.filter("_heads", lambda i: i <= index))
         return F.struct(
-            index.alias("paragraph_index"), strip(para).alias("quote_text"), F.length(para).alias("chars"),
-            F.position(para, F.col("text")).alias("at"), F.substring(strip(F.get("_paras", head)), 1, 80).alias("section_title"),
+            index.alias("paragraph_index"), para["para"].alias("para"), para["quote_text"].alias("quote_text"),
+            F.substring(F.get("_paras", head)["quote_text"], 1, 80).alias("section_title"),
         )
 
-    # Offsets and headings are found in the row of the page; only fragments leave it, not its text.
     wanted = F.filter(F.transform("_paras", fragment), lambda x: F.length(x["quote_text"]) >= MIN_FRAGMENT_CHARS)
-    rows = staged.select("document_id", "page_number", "char_start", F.explode(wanted).alias("_f"))
-    start = F.col("char_start") + F.col("_f.at") - 1
+    rows = staged.select("document_id", "page_number", "char_start", "text", F.inline(wanted))
+    # Within one step with the generator: only fragments leave the row of a page, not its text
+    start = F.col("char_start") + F.position(F.col("para"), F.col("text")) - 1
     fragments = rows.select(
-        "document_id", "page_number", "_f.section_title", "_f.paragraph_index",
-        start.cast("int").alias("char_start"), (start + F.col("_f.chars")).cast("int").alias("char_end"),
-        "_f.quote_text", normalize_ws(F.col("_f.quote_text")).alias("normalized_text"),
+        "document_id", "page_number", "section_title", "paragraph_index",
+        start.cast("int").alias("char_start"), (start + F.length("para")).cast("int").alias("char_end"),
+        "quote_text", normalize_ws(F.col("quote_text")).alias("normalized_text"),
     )
     return fragments.withColumn("checksum", fragment_checksum())
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.clean import clean_str, decimal_or_null, parse_date, valid_ts_code
 from factloom.operators import claims as x
-from factloom.operators import conflicts, folds, graph, paths, provenance, review, scaling, standardize, taxonomy
+from factloom.operators import conflicts, documents, folds, graph, paths, provenance, review, scaling, standardize, taxonomy
 from factloom.operators.scaling import dense_index
 from factloom.sources import sinks, vendor
 from factloom.sources.registry import DATASETS
@@ -112,6 +112,25 @@ def test_extraction_rules(spark):
     assert set(got) == {0, 1, 2, 3, 4}
 
 
+def test_expressions_are_tried_where_their_text_is(spark):
+    assert [x._needed(p) for p in (r"small[- ]batch", r"已?实现量产", r"execute .* command", r"\bwould\b", "x{2}yz", r"a(bcd)?ef")] == [
+        "batch", "实现量产", "execute ", "would", "yz", "ef"]
+    frags = spark.createDataFrame([("ſMALL-Batch",), ("small batch",), ("SMALL  batch",), ("İgnore previous instructionſ",), (None,)], "quote_text string")
+    got = frags.select(x._matches(F.col("quote_text"), "small[- ]batch|ignore (all )?(previous |system )?instructions").alias("m")).collect()
+    assert [r.m for r in got] == [True, True, False, True, None]
+
+
+def test_readers_of_texts_search_no_offsets(spark):
+    text = "Section 1 about it\n \t\n\u3000\n\r\nfirst paragraph\n\nsecond paragraph \nfirst paragraph\nshort"
+    pages = spark.createDataFrame([("a", 1, text, 5), ("b", 1, None, 0)], "document_id string, page_number int, text string, char_start long")
+    rows = documents.segment_pages(pages)
+    got = [(r.paragraph_index, r.quote_text, r.char_start, r.char_end, r.section_title) for r in rows.collect()]
+    assert got == [(i, p.strip(), 5 + text.index(p), 5 + text.index(p) + len(p), "Section 1 about it")
+                   for i, p in enumerate(["Section 1 about it", "first paragraph", "second paragraph ", "first paragraph"])]
+    plan = rows.select("quote_text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "locate" not in plan and "position" not in plan and "sha2" not in plan
+
+
 def test_names_are_found_by_grams(spark):
     quotes = spark.createDataFrame([(1, "大型谐波减速器与减速器"), (2, "x" * 700 + " a long product name here"), (3, "none"), (4, "")], "claim_id int, quote_text string")
     products = spark.createDataFrame([(7, "减速器"), (8, "谐波减速器"), (9, "long product name"), (10, "here")], "product_id int, canonical_name string")
