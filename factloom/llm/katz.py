@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import mix, release, shuffle_width, stored, text_groups, word_hashes
 from factloom.llm.minhash import runs
 
-#: Highest count that is discounted; least count of a pair in the model.
+#: Highest count that is discounted; least count of a pair in the model: all pairs are in it, none is filtered.
 DISCOUNTED, LEAST_PAIR = 5, 1
 #: Words that tasks know without a join; tokens that a task gathers before it sends;
 #: rows of the tables in a bucket; parts over which one history's pairs are spread.
@@ -137,8 +137,8 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("c"))
 
 
-def pair_counts(train: DataFrame, buckets: int, least: int = LEAST_PAIR) -> DataFrame:
-    """(h, w, c) of the pairs seen at least ``least`` times."""
+def pair_counts(train: DataFrame, buckets: int) -> DataFrame:
+    """(h, w, c) of all pairs."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -184,9 +184,7 @@ def pair_counts(train: DataFrame, buckets: int, least: int = LEAST_PAIR) -> Data
             h, w, n = h[order], w[order], n[order]
             new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
             n = np.add.reduceat(n, new)
-            keep = n >= least
-            h, w = h[new][keep].view(np.int64), w[new][keep].view(np.int64)
-            yield pa.RecordBatch.from_pydict({"h": h, "w": w, "c": n[keep]})
+            yield pa.RecordBatch.from_pydict({"h": h[new].view(np.int64), "w": w[new].view(np.int64), "c": n})
 
     sent = train.mapInArrow(send, "b int, h binary, r binary, w binary, c binary")
     return sent.repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(count, "h long, w long, c long")

@@ -257,3 +257,9 @@ def test_pipeline_without_rows(spark, tmp_path):
 def test_dedup_keeps_rows_whole(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (None, "a b c d e f", "z")], "doc_id long, text string, kept string")
     assert sorted(map(str, minhash.unique(docs).select(F.col("kept")).collect())) == ["Row(kept='x')", "Row(kept='z')"]
+
+
+def test_pair_counts_have_no_cut(spark):
+    assert "least" not in katz.pair_counts.__code__.co_varnames
+    train = spark.createDataFrame([("a b a b c",), ("a b",)], "t string")
+    assert sorted(r.c for r in katz.pair_counts(train, 3).collect()) == [1, 1, 1, 1, 2, 3]
