@@ -7,11 +7,12 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.functions.clean import clean_str, decimal_or_null, parse_date, valid_ts_code
+from factloom.functions.clean import clean_str, decimal_or_null, parse_date, read_fields, valid_ts_code
 from factloom.operators import claims as x
 from factloom.operators import conflicts, documents, folds, graph, paths, provenance, review, scaling, standardize, taxonomy
 from factloom.operators.scaling import dense_index
 from factloom.sources import sinks, vendor
+from factloom.sources.bindings import Frames
 from factloom.sources.registry import DATASETS
 from factloom.streaming import streams
 from factloom.vocab import STATE_MACHINES
@@ -38,6 +39,53 @@ def test_cleaning(spark):
     assert float(got[5].n) == 1234.5 and got[6].k == "000001.SZ" and got[0].kb
 
 
+def test_fields_read_together_are_the_fields_read_alone(spark):
+    odd = [None, "", " None ", "\u3000a\u00a0", "20240131", "2024-1-5", "2024-02-30", "20240230", "00000101", "2024-1-5 x",
+           "1,234.5", "1e3", "abc", "-0", "9" * 40, "000001.sz", " 0000012.BJ\n", "000001.SZ x"]
+    df = spark.createDataFrame([(v,) for v in odd], "v string")
+    read = {"code": valid_ts_code(F.col("v")), "date": parse_date(F.col("v")), "number": decimal_or_null(F.col("v"))}
+    alone = df.select(clean_str(F.col("v")).alias("t"), *[c.cast("string") for pair in read.values() for c in pair]).collect()
+    both = read_fields(df, lambda name: F.col("v"), {"t": "text", **{kind: kind for kind in read}})
+    got = both.select("_t", *[F.col(f"_{kind}{end}").cast("string") for kind in read for end in ("", "_bad")]).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in alone]
+
+
+def test_last_segment_and_first_holding(spark):
+    codes = spark.createDataFrame([("000001.SZ", 1), ("000002.SZ", 2)], "ts_code string, security_id long")
+    links = spark.createDataFrame([(7, 1, DAY), (7, 2, DAY)], "company_id long, security_id long, recorded_at timestamp_ntz")
+    base = {"ts_code": "000001.SZ", "end_date": "2024-12-31", "bz_item": "Pump"}
+    rows = raw(spark, "fina_mainbz_vip", {**base, "bz_sales": "9"}, {**base, "ts_code": " 000002.sz", "bz_sales": "1,000", "bz_code": "P"},
+               {**base, "bz_code": "Z"}, {**base, "bz_cost": "x"}, {**base, "end_date": "2024-13-01"}, {**base, "ts_code": "000003.SZ"})
+    segments, corrections, rejects = standardize.business_segments(rows, codes, links)
+    row = segments.collect()
+    assert [(r.company_id, r.segment_type, r.ts_code, float(r.revenue), r.source_record_id, r.recorded_at) for r in row] == [
+        (7, "PRODUCT", "000002.SZ", 1000.0, "r1", DAY + dt.timedelta(days=1))]
+    assert [(r.overwrites, r.source_record_id) for r in corrections.collect()] == [(1, "r1")]
+    assert sorted((r.reason, r.ref) for r in rejects.collect()) == [
+        ("no company anchored for 000003.SZ", "000003.SZ"), ("unknown bz_code Z", "000001.SZ"),
+        ("unparseable date: '2024-13-01'", "000001.SZ"), ("unparseable decimal: 'x'", "000001.SZ")]
+    held = {"ts_code": "000001.SZ", "end_date": "20241231", "holder_name": "H"}
+    got, bad = standardize.holdings(raw(spark, "top10_holders", held, {**held, "holder_type": "late"}, {**held, "holder_name": "null"}), codes)
+    assert [(r.source_record_id, r.holder_type, r.hold_ratio) for r in got.collect()] == [("r0", None, None)]
+    assert [r.reason for r in bad.collect()] == ["holding requires holder_name"]
+
+
+@pytest.mark.parametrize("name", ["segments", "holdings"])
+def test_fields_of_lines_are_compiled_and_lines_meet_coded_orders(spark, name):
+    frames = Frames(spark, "/root/testdata/sf0.001")
+    codes = frames.securities().select("ts_code", "security_id")
+    if name == "segments":
+        out = standardize.business_segments(frames.raw_segments(), codes, frames.links())[0]
+    else:
+        out = standardize.holdings(frames.raw_holders(), codes)[0]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+    # The join for the code of an order lies under the one of orders and lines
+    depth = {key: len(line) - len(line.lstrip(" :+-")) for line in plan.splitlines() if "Join" in line
+             for key in ("o_custkey", "l_orderkey") if f"({key}" in line}
+    assert depth["o_custkey"] > depth["l_orderkey"]
+
+
 def test_first_status_stays_and_replay_adds_nothing(spark):
     rows = raw(spark, "stock_basic", {"ts_code": "000001.SZ", "name": "A", "list_status": "L"},
                {"ts_code": "000001.SZ", "name": "B", "list_status": "D"}, {"ts_code": "1", "name": "C"}, {"ts_code": "000002.SZ", "name": ""})
