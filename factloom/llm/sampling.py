@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +68,16 @@ class Lattices:
         self.longest = max(map(len, self.pieces))
         self.table = [self._of_length(n) for n in range(self.longest + 1)]
 
-    def _of_length(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, ids and weights of the pieces of n characters, by hash."""
+    def _of_length(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, ids and weights of the pieces of n characters, by hash, and which upper 16 bits the hashes have."""
         own = [p for p in self.pieces if len(p) == n]
         at = np.arange(len(own)) * n
         hashes = range_hashes(prefix_sums(self._codes("".join(own))), at, at + n)
         order = np.argsort(hashes)
         ids, weights = (np.array([self.pieces[p][k] for p in own]) for k in (0, 1))
-        return hashes[order], ids[order], weights[order]
+        begun = np.zeros(1 << 16, dtype=bool)
+        begun[hashes >> np.uint64(48)] = True
+        return hashes[order], ids[order], weights[order], begun
 
     def _codes(self, text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -93,11 +96,14 @@ class Lattices:
         ends, lengths, pieces, scores = [], [], [], []
         single = np.zeros(len(codes), dtype=bool)
         for length in range(min(self.longest, int(sizes.max(initial=0))), 0, -1):
-            hashes, ids, weights = self.table[length]
+            hashes, ids, weights, begun = self.table[length]
             if not len(hashes):
                 continue
             end = np.flatnonzero(within >= length - 1)
             own = range_hashes(sums, end + 1 - length, end + 1)
+            # Most ranges are no piece, and the upper bits of their hashes tell
+            maybe = np.flatnonzero(begun[own >> np.uint64(48)])
+            end, own = end[maybe], own[maybe]
             at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
             hit = hashes[at] == own
             ends.append(end[hit]), pieces.append(ids[at[hit]]), scores.append(weights[at[hit]])
@@ -114,7 +120,9 @@ class Lattices:
         # Forward filtering, over all words at once, one position after another.
         forward, chance = np.zeros(len(codes)), np.zeros(len(end))
         levels = within[end]
-        by_level = np.argsort(levels, kind="stable")
+        # Numpy sorts 16-bit numbers by radix; longer words are rare
+        short = len(levels) and int(levels.max()) < 1 << 15
+        by_level = np.argsort(levels.astype(np.int16) if short else levels, kind="stable")
         limits = np.searchsorted(levels[by_level], np.arange(int(levels.max(initial=-1)) + 2))
         for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True):
             e = by_level[a:b]
@@ -139,13 +147,14 @@ class Lattices:
         """Piece ids of each text; ``seeds`` are unsigned 64-bit numbers."""
         marked = [(" " + t if t else "").replace(SPACE, _OWN_MARK).replace(" ", SPACE) for t in texts]
         words = [_WORD.findall(m) for m in marked]
-        index: dict[str, int] = {}
-        order = np.fromiter((index.setdefault(w, len(index)) for ws in words for w in ws), np.int64)
+        index = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+        order = np.fromiter(map(index.__getitem__, chain.from_iterable(words)), np.int64)
         if not len(order):
             return [np.zeros(0, np.int32) for _ in texts]
         start, piece, bound = self.edges(list(index))
         sizes = np.fromiter(map(len, index), np.int64, len(index))
         base = np.append(0, np.cumsum(sizes)[:-1])  # positions before each distinct word
+        opened = np.searchsorted(bound, np.arange(int(sizes.sum())), side="right")  # first edge of each position
         # Where each word stands: in its text, and among all characters.
         lengths = sizes[order]
         ends = np.cumsum(lengths)
@@ -160,7 +169,13 @@ class Lattices:
             here = (place - text_start[owner[live]]).astype(np.uint64)
             noise = mix(seeds[owner[live]] + here * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
             node = base[order[live]] + at[live] - 1
-            edge = np.searchsorted(bound, node + noise.astype(np.float64) / (1 << 53), side="right")
+            # The few edges of a position one by one; the sum may round up to the next position, which is no edge of it
+            mark = np.minimum(node + noise.astype(np.float64) / (1 << 53), np.nextafter(node + 1.0, 0.0))
+            edge = opened[node]
+            beyond = np.flatnonzero(bound[edge] <= mark)
+            while len(beyond):
+                edge[beyond] += 1
+                beyond = beyond[bound[edge[beyond]] <= mark[beyond]]
             drawn[place] = piece[edge] + (1 << 32)
             at[live] = start[edge]
             live = live[at[live] > 0]

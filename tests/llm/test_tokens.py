@@ -110,6 +110,14 @@ def test_sampled_pieces(spark):
     assert sampling.digests(sampling.encode(docs.limit(0), PIECES)).count() == 0
 
 
+def test_a_draw_stays_at_its_position(monkeypatch):
+    """The greatest random number, added to a position, rounds up to the next one."""
+    monkeypatch.setattr(sampling, "mix", lambda x: np.full(len(x), (1 << 64) - 1, np.uint64))
+    tool, text = sampling.lattices(PIECES, sampling.THETA), "then one more word, and then another"
+    (ids,) = tool.sample([text], np.zeros(1, np.uint64))
+    assert tool.decode(ids) == text
+
+
 def test_samples_have_the_probabilities_of_their_ways():
     """Of a short word all ways are listed; the shares of many samples come near their weights."""
     import sentencepiece
