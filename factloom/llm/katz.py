@@ -11,13 +11,17 @@ where d1 and d2 are Good-Turing discounts for counts up to ``DISCOUNTED``, and
 alpha(h) makes the probabilities after h sum to exactly one. The first word's
 history is a start mark. All pairs are in the model, those seen once too.
 
-Words and pairs are 64-bit hashes. Counts are gathered as tables: words by word;
-pairs in buckets by history and a part of the word, so that a frequent history
-is spread. Histories get alpha by two joins and a sum. To score, the recursion is
-written as sums over keys: each token adds log p(w) + log alpha(h), and each pair
-in the model adds the difference to its own log probability. Word and pair keys
-of all texts meet the tables bucket by bucket, and sums per text go back. The
-most frequent ``HEAD`` words, a bounded number, are looked up in the tasks.
+Words are 64-bit hashes. Texts are stored once as groups of tokens, each with
+the words it holds. Two shuffles count: a group sends its distinct words by word,
+then its distinct pairs by history, with its own counts; the bucket that has all
+groups' parts of a key adds them up and answers each group in the order in which
+it asked. The answer on a history has what alpha(h) needs. The group then scores
+its own texts. So no table of pairs is written, joined or shuffled again, and what
+goes over the disk grows with the distinct pairs of groups.
+
+A history with at least a ``WIDE``-th part of all tokens is spread over
+``SPREAD`` parts by word. There are at most ``WIDE`` of them; their sums go to the
+groups by way of the driver.
 
 Defined cases: null or empty texts are one end token; a row without key is
 scored but not learned from; repeated rows count as often as they stand there and
@@ -27,6 +31,7 @@ unknown and have probability one in the model; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,18 +40,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import mix, release, shuffle_width, stored, text_groups, word_hashes
+from factloom.llm.common import mix, shuffle_width, stored, text_groups, word_hashes
 from factloom.llm.minhash import runs
 
 #: Highest count that is discounted; least count of a pair in the model: all pairs are in it, none is filtered.
 DISCOUNTED, LEAST_PAIR = 5, 1
-#: Words that tasks know without a join; tokens that a task gathers before it sends;
-#: rows of the tables in a bucket; parts over which one history's pairs are spread.
-HEAD, GATHER, BUCKET, SPREAD = 65_536, 3_000_000, 2_000_000, 16
+#: Tokens of a group; tokens a bucket; part of all tokens from which a history is spread, and over how many parts.
+GATHER, BUCKET, WIDE, SPREAD = 2_000_000, 4_000_000, 2048, 32
 END, START = (mix(np.array([x], dtype=np.uint64))[0] for x in (5001, 5002))
 _PAIR = mix(np.array([5003], dtype=np.uint64))[0] | np.uint64(1)
-_LOW = np.uint64((1 << 48) - 1)
-_FACTS = np.dtype([("doc", "<i8"), ("keyed", "?"), ("held", "?"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("model", "<f8")])
+#: A text of a group: key and its presence, held out, learned from, tokens.
+_FACTS = np.dtype([("doc", "<i8"), ("keyed", "?"), ("held", "?"), ("train", "?"), ("n", "<u4")])
+#: Of a history: its pairs of each discounted count, its words of each, tokens of its other words.
+_SUMS = 2 * DISCOUNTED + 1
+#: Rows between steps: group, kind, bucket, and arrays of that kind.
+_GROUP, _WORDS, _PAIRS, _TOTALS = range(4)
+_ROW = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("b", pa.int32()), *((x, pa.binary()) for x in "xyzuvw")])
+_ROWS = "g long, kind int, b int, x binary, y binary, z binary, u binary, v binary, w binary"
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,343 +91,357 @@ def discounts(counts_of_counts: dict[int, int], k: int = DISCOUNTED) -> list[flo
     return factors
 
 
+def _discounted(c: np.ndarray, factors: list[float]) -> np.ndarray:
+    return c * np.append(factors, 1.0)[np.minimum(c, len(factors))]
+
+
 @dataclass(frozen=True)
 class Totals:
-    """Numbers of the training tokens: all and distinct; discounts; mass of unknown words."""
+    """Numbers of the training tokens: all and distinct; discounts of words; mass of unknown words."""
 
     tokens: int
     distinct: int
-    word_discounts: list[float]
-    pair_discounts: list[float]
+    discounts: list[float]
     unknown: float
 
+    @classmethod
+    def of(cls, tokens: int, distinct: int, counts_of_counts: dict[int, int]) -> Totals:
+        factors = discounts(counts_of_counts)
+        taken = sum((1 - factors[r]) * r * counts_of_counts.get(r, 0) for r in range(1, len(factors)))
+        if not tokens:
+            return cls(tokens, distinct, factors, 1.0)
+        # If no word was discounted: take half a count for the unknown.
+        return cls(tokens, distinct, factors, (taken or 0.5) / tokens)
+
+    @property
+    def wide(self) -> int:
+        """Least count of a history that is spread."""
+        return max(1, -(-self.tokens // WIDE))
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-    def log_word(self, c: np.ndarray) -> np.ndarray:
-        """log10 p of words with count c; of any unknown word for 0."""
-        factor = np.append(self.word_discounts, 1.0)[np.minimum(c, len(self.word_discounts))]
-        with np.errstate(divide="ignore"):
-            return np.where(c > 0, np.log10(factor * c / max(self.tokens, 1)), np.log10(self.unknown))
+    def word(self, c: np.ndarray) -> np.ndarray:
+        """p of words with count c; of all unknown words for 0."""
+        return np.where(c > 0, _discounted(c, self.discounts) / max(self.tokens, 1), self.unknown)
 
+    def backoff(self, c: np.ndarray, sums: np.ndarray, factors: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        """alpha(h) and the number that counts of pairs are shares of, for histories with count c and their sums."""
+        one, two, others = sums[:DISCOUNTED], sums[DISCOUNTED:-1], sums[-1]
+        weights = np.arange(1, DISCOUNTED + 1)
+        # Each of a history's tokens is in one pair.
+        taken = (weights * (1 - np.array(factors[1:]))) @ one
+        # Where no pair of a history is discounted, one count more leaves mass for the others.
+        total = c + (taken < 1e-9)
+        lower = (others + (weights * np.array(self.discounts[1:])) @ two) / max(self.tokens, 1)
+        # A history that all known words follow leaves its mass to the unknown ones.
+        alpha = (1 - (c - taken) / np.maximum(total, 1)) / np.maximum(1 - lower, self.unknown)
+        return np.where(c > 0, alpha, 1.0), np.maximum(total, 1)
 
-def _discounted(c: Column, factors: list[float]) -> Column:
-    """Discounted count."""
-    out = c.cast("double")
-    for r in range(1, len(factors)):
-        out = F.when(c == r, factors[r] * r).otherwise(out)
-    return out
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers by place of their bytes, so that those of small ones take little room."""
+    return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes(), 1)
 
-def _gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, list[np.ndarray], pa.RecordBatch, int]]:
-    for batch in batches:
-        for first, group in text_groups(batch.column(text).to_pylist()):
-            yield first, list(tokens(group)), batch, len(group)
 
+def _unpacked(data: pa.Scalar, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(zlib.decompress(data.as_buffer()), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(w, c) over the texts of a frame with one column."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+def _packed_hashes(hashes: np.ndarray) -> bytes:
+    """Hashes that ascend over long stretches, by their differences modulo 2**64."""
+    return _packed(np.diff(hashes, prepend=np.uint64(0)))
 
-        def merged() -> pa.RecordBatch:
-            keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(back.ravel(), weights=np.concatenate([c for _, c in held])).astype(np.int64)
-            held.clear()
-            return pa.RecordBatch.from_pydict({"w": keys.view(np.int64), "n": n})
 
-        for _, (_, token, _), _, _ in _gathered(batches, 0):
-            held.append(np.unique(token, return_counts=True))
-            if sum(len(k) for k, _ in held) > GATHER:
-                yield merged()
-        if held:
-            yield merged()
+def _hashes(data: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
 
-    return train.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("c"))
 
+def _row(g: int, kind: int, b: int, *arrays: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([v], t) for v, t in zip([g, kind, b, *arrays, *[None] * (6 - len(arrays))], _ROW.types, strict=True)], schema=_ROW
+    )
 
-def pair_counts(train: DataFrame, buckets: int) -> DataFrame:
-    """(h, w, c) of all pairs."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Ranges of equal values in a sorted array: value, first, end."""
+    at = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield int(bucket[a]), a, b
+
+
+def token_groups(docs: DataFrame, gather: int) -> DataFrame:
+    """Rows (any number that grows, key, held out, learned from, text) as groups of about ``gather`` tokens.
+
+    A group has its distinct words, frequent ones first, the start mark last, and
+    each token as a position among them; in the place of a bucket is the number of tokens.
+    """
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        first, size = 0, 0
 
-        def parts() -> pa.RecordBatch:
-            h, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        def group() -> pa.RecordBatch:
+            facts = np.concatenate([f for f, _ in held])
+            words, code = np.unique(np.concatenate([t for _, t in held]), return_inverse=True)
             held.clear()
-            bucket = (mix(h + (w & np.uint64(SPREAD - 1)) * _PAIR) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((w, h, bucket))
-            h, w, bucket = h[order], w[order], bucket[order]
-            new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (bucket[1:] != bucket[:-1])))
-            count = np.diff(np.append(new, len(h))).astype("<u4")
-            h, w, bucket = h[new], w[new], bucket[new]
-            cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-            rows = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                fresh = np.append(np.flatnonzero(np.append(True, h[a + 1 : b] != h[a : b - 1])), b - a)
-                rows.append((int(bucket[a]), h[a:b][fresh[:-1]].tobytes(), np.diff(fresh).astype("<u4").tobytes(),
-                             w[a:b].tobytes(), count[a:b].tobytes()))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list("bhrwc")
-            )
-
-        for _, (history, token, _), _, _ in _gathered(batches, 0):
-            held.append((history, token))
-            size += len(token)
-            if size > GATHER:
-                yield parts()
-                size = 0
-        if held:
-            yield parts()
+            order = np.argsort(-np.bincount(code), kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            words, code = np.append(words[order], START), place[code]
+            learned = code[np.repeat(facts["train"], facts["n"])]
+            counts = np.bincount(learned, minlength=len(words))
+            counts[-1] = facts["train"].sum()
+            return _row(first, _GROUP, len(code), zlib.compress(facts.tobytes(), 1), _packed_hashes(words), _packed(counts.astype("<u4")), _packed(code.astype("<u4")))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in runs(batches, 1):
-            columns = [
-                np.concatenate([np.frombuffer(x.as_buffer(), kind) for p in found for x in p.column(k)])
-                for k, kind in ((1, "<u8"), (2, "<u4"), (3, "<u8"), (4, "<u4"))
-            ]
-            h, w, n = np.repeat(columns[0], columns[1]), columns[2], columns[3].astype(np.int64)
-            order = np.lexsort((w, h))
-            h, w, n = h[order], w[order], n[order]
-            new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
-            n = np.add.reduceat(n, new)
-            yield pa.RecordBatch.from_pydict({"h": h[new].view(np.int64), "w": w[new].view(np.int64), "c": n})
+        for batch in batches:
+            for start, texts in text_groups(batch.column(4).to_pylist()):
+                _, token, sizes = tokens(texts)
+                facts = np.zeros(len(texts), dtype=_FACTS)
+                keys, out, learn = (batch.column(k).slice(start, len(texts)) for k in (1, 2, 3))
+                facts["doc"], facts["keyed"] = keys.fill_null(0).to_numpy(), keys.is_valid().to_numpy(zero_copy_only=False)
+                facts["held"], facts["train"] = (x.to_numpy(zero_copy_only=False) for x in (out, learn))
+                facts["n"] = sizes
+                if not held:
+                    first, size = batch.column(0)[start].as_py(), 0
+                held.append((facts, token))
+                size += len(token)
+                if size >= gather:
+                    yield group()
+        if held:
+            yield group()
 
-    sent = train.mapInArrow(send, "b int, h binary, r binary, w binary, c binary")
-    return sent.repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(count, "h long, w long, c long")
+    return docs.mapInArrow(gathered, _ROWS)
 
 
-def _six(keys: np.ndarray) -> bytes:
-    """The low 48 bits of each key; its bucket holds the rest."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def word_answers(groups: DataFrame, buckets: int) -> DataFrame:
+    """The training counts of each group's words, by bucket; the totals of each bucket."""
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words, counts = _hashes(batch.column("y")[k]), _unpacked(batch.column("z")[k], "<u4")
+                order, bucket = _word_order(words, buckets)
+                for b, i, j in _cuts(bucket):
+                    yield _row(batch.column("g")[k].as_py(), _WORDS, b, _packed_hashes(words[order[i:j]]), _packed(counts[order[i:j]]))
 
-def _keys(data: pa.Buffer) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), dtype=np.uint8)
-    out[:, :6] = raw
-    return out.view("<u8").ravel()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (b,), found in runs((x.select(["b", "g", "x", "y"]) for x in batches), 1):
+            asked = [(x.column(1)[k].as_py(), _hashes(x.column(2)[k]), _unpacked(x.column(3)[k], "<u4")) for x in found for k in range(x.num_rows)]
+            words, place = np.unique(np.concatenate([w for _, w, _ in asked]), return_inverse=True)
+            c = np.bincount(place, weights=np.concatenate([n for _, _, n in asked])).astype("<i8")
+            at = 0
+            for g, own, _ in asked:
+                yield _row(g, _WORDS, int(b), _packed(c[place[at : at + len(own)]]))
+                at += len(own)
+            c = c[(words != START) & (c > 0)]
+            few = np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
+            yield _row(-1, _TOTALS, int(b), np.append([c.sum(), len(c)], few[1:]).astype("<i8").tobytes())
 
+    return groups.select("g", "y", "z").mapInArrow(ask, _ROWS).repartitionById(buckets, "b").sortWithinPartitions("b", "g").mapInArrow(count, _ROWS)
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (keys >> np.uint64(48)).astype(np.int64) % buckets
 
+def _word_order(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of words by bucket, and their buckets in it."""
+    bucket = (words % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
 
-def table_parts(table: DataFrame, buckets: int) -> DataFrame:
-    """Rows (key, c, model) of a lookup table as arrays by bucket, tag 0."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+class _Group:
+    """A group with the counts of its words: its distinct pairs and what it asks about them.
 
-        def parts() -> pa.RecordBatch:
-            key, c, model = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
-            held.clear()
-            key = key.view(np.uint64)
-            bucket = _bucket(key, buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            each = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            return pa.RecordBatch.from_pydict({
-                "b": pa.array(range(buckets), pa.int32()), "tag": pa.array([0] * buckets, pa.int32()),
-                "first": pa.array([0] * buckets, pa.int64()), "keys": pa.array([_six(key[e]) for e in each], pa.binary()),
-                "x": pa.array([c[e].astype("<i8").tobytes() for e in each], pa.binary()),
-                "y": pa.array([model[e].astype("<f8").tobytes() for e in each], pa.binary()),
-            })
+    Asked is for pairs of two known words, ``pairs`` and in ``order`` by bucket, and
+    for known histories: ``runs`` are bucket, history and number of asked pairs.
+    """
 
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) > GATHER:
-                yield parts()
-        if held:
-            yield parts()
+    def __init__(self, row: tuple[pa.RecordBatch, int], answers: list[tuple[pa.RecordBatch, int]], totals: Totals, buckets: int):
+        batch, k = row
+        self.facts = np.frombuffer(zlib.decompress(batch.column("x")[k].as_buffer()), _FACTS)
+        self.words, self.code = _hashes(batch.column("y")[k]), _unpacked(batch.column("u")[k], "<u4")
+        self.c = np.zeros(len(self.words), dtype=np.int64)
+        self.c[_word_order(self.words, buckets)[0]] = np.concatenate([_unpacked(a.column("x")[i], "<i8") for a, i in answers])
+        size = len(self.words)
+        both = np.empty(len(self.code), dtype=np.int64)
+        both[1:] = self.code[:-1]
+        both[np.cumsum(self.facts["n"]) - self.facts["n"]] = size - 1
+        both *= size
+        both += self.code
+        pairs, pair = np.unique(both, return_inverse=True)
+        self.pair = pair.astype("<u4")
+        del both, pair
+        self.h, self.w = np.divmod(pairs, size)
+        self.wide = self.c >= totals.wide
+        known = self.c[self.w] > 0
+        asked = np.flatnonzero((self.c[self.h] > 0) & (known | ~self.wide[self.h]))
+        h, w = self.h[asked], self.words[self.w[asked]]
+        part = np.where(self.wide[h], (w & np.uint64(SPREAD - 1)) + np.uint64(1), np.uint64(0))
+        bucket = (mix(self.words[h] + part * _PAIR) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        asked, h, bucket, known = asked[order], h[order], bucket[order], known[asked[order]]
+        new = np.flatnonzero((np.diff(h, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0))
+        self.runs = bucket[new], h[new], np.add.reduceat(known, new, dtype=np.int64) if len(new) else new
+        self.pairs = asked[known]
+
+    def learned(self) -> np.ndarray:
+        return np.bincount(self.pair[np.repeat(self.facts["train"], self.facts["n"])], minlength=len(self.h))
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], totals: Totals, buckets: int) -> Iterator[tuple[int, _Group, list[tuple[pa.RecordBatch, int]]]]:
+    """Each group with the answers on its pairs, from rows sorted by group, kind and bucket."""
+    for (g,), found in runs(batches, 1):
+        kinds: list[list[tuple[pa.RecordBatch, int]]] = [[], [], []]
+        for batch in found:
+            for k in range(batch.num_rows):
+                kinds[batch.column("kind")[k].as_py()].append((batch, k))
+        yield int(g), _Group(kinds[_GROUP][0], kinds[_WORDS], totals, buckets), kinds[_PAIRS]
+
+
+def _together(rows: DataFrame, buckets: int) -> DataFrame:
+    # More parts than groups, so that few have two or more: Arrow sends a part's rows at once.
+    return rows.repartition(4 * buckets, "g").sortWithinPartitions("g", "kind", "b")
+
+
+def pair_answers(groups: DataFrame, answers: DataFrame, totals: Totals, buckets: int) -> DataFrame:
+    """The training counts of each group's pairs and the sums of its histories, by bucket; the totals of each bucket."""
+
+    def of_group(g: int, group: _Group) -> list[pa.RecordBatch]:
+        bucket, h, sizes = group.runs
+        ends = np.append(0, np.cumsum(sizes))
+        word, learned = group.w[group.pairs], group.learned()[group.pairs].astype("<u4")
+        out = []
+        for b, i, j in _cuts(bucket):
+            own = slice(ends[i], ends[j])
+            words, place = np.unique(word[own], return_inverse=True)
+            out.append(_row(
+                g, _PAIRS, b, _packed_hashes(group.words[h[i:j]]), _packed((2 * sizes[i:j] + group.wide[h[i:j]]).astype("<u4")),
+                _packed_hashes(group.words[words]), _packed(group.c[words]), _packed(place.astype("<u4")), _packed(learned[own]),
+            ))
+        return out
 
-    return table.mapInArrow(pack, "b int, tag int, first long, keys binary, x binary, y binary")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, group, _ in _by_group(batches, totals, buckets):
+            out = of_group(g, group)
+            del group  # before the next group is made
+            yield from out
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (b,), found in runs((x.select(["b", "g", *"xyzuvw"]) for x in batches), 1):
+            rows = [(x, k) for x in found for k in range(x.num_rows)]
+            of = lambda name, read, *kind: [read(x.column(name)[k], *kind) for x, k in rows]
+            h, sizes, own = of("x", _hashes), of("y", _unpacked, "<u4"), of("v", _unpacked, "<u4")
+            wide = [x % 2 > 0 for x in sizes]
+            w, cw = (np.concatenate([x[at] for x, at in zip(xs, own, strict=True)]) for xs in (of("z", _hashes), of("u", _unpacked, "<i8")))
+            histories, place = np.unique(np.concatenate(h), return_inverse=True)
+            owner = np.repeat(place, np.concatenate(sizes) // 2)
+            _, first, pair = np.unique(pair_keys(histories[owner], w), return_index=True, return_inverse=True)
+            c = np.bincount(pair, weights=np.concatenate(of("w", _unpacked, "<u4")), minlength=len(first)).astype("<u4")
+            learned = first[c > 0]
+            sums = np.zeros((_SUMS, len(histories)), dtype=np.int64)
+            for k, counts in ((0, c[c > 0]), (DISCOUNTED, cw[learned])):
+                for r in range(DISCOUNTED):
+                    sums[k + r] = np.bincount(owner[learned[counts == r + 1]], minlength=len(histories))
+            sums[-1] = np.bincount(owner[learned], weights=np.where(cw[learned] > DISCOUNTED, cw[learned], 0), minlength=len(histories))
+            at = over = 0
+            for (x, k), spread, words in zip(rows, wide, own, strict=True):
+                kept = sums[:, place[at : at + len(spread)][~spread]]
+                yield _row(
+                    x.column("g")[k].as_py(), _PAIRS, int(b), _packed(c[pair[over : over + len(words)]]),
+                    _packed(kept[:-1].ravel().astype("<u4")), _packed(kept[-1]),
+                )
+                at, over = at + len(spread), over + len(words)
+            spread = np.unique(place[np.concatenate(wide)])
+            few = np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
+            yield _row(-1, _TOTALS, int(b), few.astype("<i8").tobytes(), histories[spread].tobytes(), sums[:, spread].astype("<i8").tobytes())
+
+    asked = _together(groups.union(answers), buckets).mapInArrow(ask, _ROWS)
+    return asked.repartitionById(buckets, "b").sortWithinPartitions("b", "g").mapInArrow(count, _ROWS)
+
+
+def text_scores(rows: DataFrame, totals: Totals, factors: list[float], wide: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """The scores of every text from the groups and all answers."""
+    spread, spread_sums = wide
+
+    def of_group(group: _Group, found: list[tuple[pa.RecordBatch, int]]) -> pa.RecordBatch:
+        c = np.zeros(len(group.h), dtype=np.int64)
+        sums = np.zeros((_SUMS, len(group.words)), dtype=np.int64)
+        if found:
+            c[group.pairs] = np.concatenate([_unpacked(a.column("x")[k], "<u4") for a, k in found])
+            h = group.runs[1]
+            h = h[~group.wide[h]]
+            sums[:-1, h] = np.concatenate([_unpacked(a.column("y")[k], "<u4").reshape(_SUMS - 1, -1) for a, k in found], axis=1)
+            sums[-1, h] = np.concatenate([_unpacked(a.column("z")[k], "<i8") for a, k in found])
+        h = np.flatnonzero(group.wide)
+        at = np.searchsorted(spread, group.words[h])
+        hit = np.flatnonzero(at < len(spread))
+        hit = hit[spread[at[hit]] == group.words[h[hit]]]
+        sums[:, h[hit]] = spread_sums[:, at[hit]]
+        alpha, total = totals.backoff(group.c, sums, factors)
+        own = _discounted(c, factors) / total[group.h]
+        p = np.log10(np.where(c > 0, own, alpha[group.h] * totals.word(group.c)[group.w]))
+        n = len(group.facts)
+        doc = np.repeat(np.arange(n), group.facts["n"])
+        texts = lambda x, at: np.bincount(doc, weights=x[at], minlength=n)
+        return pa.RecordBatch.from_arrays([
+            pa.array(group.facts["doc"], mask=~group.facts["keyed"]), pa.array(group.facts["held"]),
+            pa.array(group.facts["n"].astype(np.int64)),
+            pa.array(texts(group.c > 0, group.code).astype(np.int64)), pa.array(texts(totals.base(group.c), group.code)),
+            pa.array(texts(p, group.pair)),
+        ], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group, found in _by_group(batches, totals, buckets):
+            out = of_group(group, found)
+            del group, found  # before the next group is made
+            yield out
+
+    return _together(rows, buckets).mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
-def requests(docs: DataFrame, totals: Totals, head: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """Keys of the texts by bucket, tag 1, and what is known of each text without a lookup, tag 2."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_keys, head_counts, head_alphas = shared.value
-        for first, (history, token, sizes), batch, n in _gathered(batches, 3):
-            doc = np.repeat(np.arange(n), sizes)
-            at = np.minimum(np.searchsorted(head_keys, token), max(len(head_keys) - 1, 0))
-            hit = head_keys[at] == token if len(head_keys) else np.zeros(len(token), dtype=bool)
-            c = head_counts[at[hit]]
-            facts = np.zeros(n, dtype=_FACTS)
-            ids = batch.column(1).slice(first, n)
-            facts["doc"], facts["keyed"] = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
-            facts["held"] = batch.column(2).slice(first, n).to_numpy(zero_copy_only=False)
-            facts["n"], facts["known"] = sizes, np.bincount(doc[hit], minlength=n)
-            facts["base"] = np.bincount(doc[hit], weights=totals.base(c), minlength=n)
-            facts["model"] = np.bincount(doc[hit], weights=totals.log_word(c) + head_alphas[at[hit]], minlength=n)
-            start = np.full(n, START)
-            keys = np.concatenate([token[~hit], pair_keys(history, token), start])
-            owner = np.concatenate([doc[~hit], doc, np.arange(n)])
-            bucket = _bucket(keys, buckets)
-            order = np.lexsort((owner, bucket))
-            keys, owner = keys[order], owner[order]
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            each = list(zip(cut[:-1], cut[1:], strict=True))
-            rid = batch.column(0)[first].as_py()
-            yield pa.RecordBatch.from_pydict({
-                "b": pa.array([*range(buckets), rid % buckets], pa.int32()),
-                "tag": pa.array([1] * buckets + [2], pa.int32()),
-                "first": pa.array([rid] * (buckets + 1), pa.int64()),
-                "keys": pa.array([_six(keys[a:b]) for a, b in each] + [b""], pa.binary()),
-                "x": pa.array([np.bincount(owner[a:b], minlength=n).astype("<u4").tobytes() for a, b in each] + [facts.tobytes()], pa.binary()),
-                "y": pa.array([b""] * (buckets + 1), pa.binary()),
-            })
-
-    return docs.mapInArrow(ask, "b int, tag int, first long, keys binary, x binary, y binary")
-
-
-def answers(parts: DataFrame, totals: Totals, buckets: int) -> DataFrame:
-    """Sums per text and bucket."""
-    schema = pa.schema([
-        ("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-        ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()),
-    ])
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in runs(batches, 1):
-            tables: list[tuple[np.ndarray, ...]] = []
-            keys = c = model = None
-            for batch in found:
-                for k in range(batch.num_rows):
-                    tag, first = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
-                    data = [batch.column(x)[k].as_buffer() for x in (3, 4, 5)]
-                    if tag == 0:
-                        tables.append((_keys(data[0]), np.frombuffer(data[1], "<i8"), np.frombuffer(data[2], "<f8")))
-                        continue
-                    if keys is None:
-                        keys, c, model = (np.concatenate(x) for x in zip(*tables, strict=True)) if tables else (
-                            np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
-                        order = np.argsort(keys)
-                        keys, c, model = keys[order], c[order], model[order]
-                        word = c > 0
-                        base = np.where(word, totals.base(np.maximum(c, 0)), 0.0)
-                        tables.clear()
-                    if tag == 1:
-                        sizes = np.frombuffer(data[1], "<u4")
-                        asked = _keys(data[0])
-                        if not len(asked) or not len(keys):
-                            continue
-                        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                        hit = keys[at] == asked
-                        owner, at = np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]
-                        sums = [np.bincount(owner, weights=v[at], minlength=len(sizes)) for v in (word, base, model)]
-                        some = np.flatnonzero(np.bincount(owner, minlength=len(sizes)))
-                        n = len(some)
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(first + some), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()),
-                            pa.array(np.zeros(n, np.int64)), pa.array(sums[0][some].astype(np.int64)),
-                            pa.array(sums[1][some]), pa.array(sums[2][some]),
-                        ], schema=schema)
-                    else:
-                        facts = np.frombuffer(data[1], _FACTS)
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(first + np.arange(len(facts))), pa.array(facts["doc"], mask=~facts["keyed"]),
-                            pa.array(facts["held"]), pa.array(facts["n"]), pa.array(facts["known"]),
-                            pa.array(facts["base"]), pa.array(facts["model"]),
-                        ], schema=schema)
-
-    return parts.repartition(buckets, "b").sortWithinPartitions("b", "tag", "first").mapInArrow(
-        look_up, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
-    )
+def pair_counts(train: DataFrame, buckets: int) -> DataFrame:
+    """(h, w, c) of all pairs of a frame of texts."""
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in text_groups(batch.column(0).to_pylist()):
+                h, w, _ = tokens(texts)
+                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "w": w.view(np.int64)})
 
-def counts_of_counts(counts: DataFrame) -> dict[int, int]:
-    few = counts.where(F.col("c").between(1, DISCOUNTED + 1)).groupBy("c").agg(F.count("*").alias("n")).collect()
-    return {r["c"]: r["n"] for r in few}
+    return train.mapInArrow(send, "h long, w long").repartition(buckets, "h", "w").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"))
 
 
-def score(docs: DataFrame, held_out: Column, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, train: Column, key: str = "doc_id", text: str = "text", gather: int = GATHER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     ``train`` is the condition on a row to learn from; ``held_out`` is only returned.
     """
     spark = docs.sparkSession
-    buckets = shuffle_width(spark)
-    learned = docs.where(train).select(F.col(text).alias("t"))
-    # Counts.
-    words = stored(word_counts(learned))
-    # Each pair's word is among the words. These are fewer than the pairs, which are not sorted then.
-    word_side = words.select("w", F.col("c").alias("cw")).hint("shuffle_hash")
-    pairs = stored(pair_counts(learned, buckets).join(word_side, "w").select("h", "w", "c", "cw"))
-    release(spark)
-    d1 = discounts(counts_of_counts(words))
-    d2 = discounts(counts_of_counts(pairs))
-    all_words = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(_discounted(F.col("c"), d1)).alias("m")).first()
-    n, v = all_words["n"] or 0, all_words["v"]
-    unknown = 1 - (all_words["m"] or 0) / n if n else 1.0
-    if n and unknown <= 0:  # no word was discounted: take half a count for the unknown
-        unknown = 0.5 / n
-    end = int(np.array([END]).view(np.int64)[0])
-    start = int(np.array([START]).view(np.int64)[0])
-    ends = (words.where(F.col("w") == end).agg(F.sum("c")).first()[0]) or 0
-    totals = Totals(n, v, d1, d2, unknown)
-    # Backoff weights.
-    p_word = _discounted(F.col("cw"), d1) / max(n, 1)
-    sums = pairs.groupBy("h").agg(
-        F.sum(_discounted(F.col("c"), d2)).alias("seen"), F.sum(p_word).alias("lower"),
-    )
-    histories = words.where(F.col("w") != end).select(F.col("w").alias("h"), F.col("c").alias("ch")).union(
-        spark.range(1).select(F.lit(start).alias("h"), F.lit(ends).cast("long").alias("ch"))
-    )
-    # Where no pair of a history is discounted, one count more leaves mass for the others.
-    total = F.when(F.col("seen") > F.col("ch") - 1e-9, F.col("ch") + 1).otherwise(F.col("ch")).alias("ch")
-    # A history that all known words follow leaves its mass to the unknown ones.
-    others = F.greatest(1 - F.col("lower"), F.lit(float(unknown)))
-    alphas = stored(
-        sums.join(histories, "h").select("h", "seen", "lower", total).select(
-            "h", "ch", F.log10((1 - F.col("seen") / F.col("ch")) / others).alias("alpha")
-        )
-    )
-    own = F.log10(_discounted(F.col("c"), d2) / F.col("ch"))
-    pair_table = pairs.join(alphas.hint("shuffle_hash"), "h").select("h", "w", (own - F.col("alpha") - F.log10(p_word)).alias("model"))
-    word_alpha = words.join(alphas.select(F.col("h").alias("w"), "alpha"), "w", "left").select(
-        "w", "c", F.coalesce("alpha", F.lit(0.0)).alias("alpha")
-    )
-    word_alpha = stored(word_alpha)
-    top = word_alpha.orderBy(F.desc("c"), "w").limit(HEAD).collect()
-    keys = np.array([r["w"] for r in top], dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    head = (keys[order], np.array([r["c"] for r in top], dtype=np.int64)[order], np.array([r["alpha"] for r in top])[order])
-    # Lookup tables: words with their log p and alpha, the start mark's alpha, pairs with their difference.
-    log_p = F.log10(_discounted(F.col("c"), d1) / max(n, 1))
-    word_rows = word_alpha.select(F.col("w").alias("key"), "c", (log_p + F.col("alpha")).alias("model"))
-    start_row = alphas.where(F.col("h") == start).select(F.col("h").alias("key"), F.lit(0).cast("long"), "alpha")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, w = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            zero = np.zeros(b.num_rows, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pair_keys(h, w).view(np.int64)), pa.array(zero), b.column(2)], names=["key", "c", "model"]
-            )
-
-    # Stored, so that the shuffle by history is gone before the lookup's begins.
-    pair_rows = stored(pair_table.mapInArrow(keyed, "key long, c long, model double"))
-    release(spark)
-    parts = max(1, -(-(v + pair_rows.count()) // BUCKET))
-    table = table_parts(word_rows.union(start_row).union(pair_rows), parts)
-    asked = docs.select(
+    no = F.lit(False)
+    groups = stored(token_groups(docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long"),
-        F.coalesce(held_out, F.lit(False)), F.col(text),
-    )
-    found = answers(table.union(requests(asked, totals, head, parts)), totals, parts)
-    by_row = found.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("model").alias("model"),
-    )
-    missing = F.col("n_tokens") - F.col("n_known")
-    return by_row.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + missing * float(totals.base(np.array(0)))).alias("base_score"),
-        (F.col("model") + missing * float(totals.log_word(np.array(0)))).alias("score"),
+        F.coalesce(held_out, no), F.coalesce(train, no), F.col(text),
+    ), gather), clean=True)
+    buckets = max(shuffle_width(spark), -(-(groups.agg(F.sum("b")).first()[0] or 0) // BUCKET))
+    # Counts of words.
+    words = stored(word_answers(groups, buckets), clean=True)
+    found = sum((np.frombuffer(r["x"], "<i8") for r in words.where(F.col("kind") == _TOTALS).select("x").collect()), np.zeros(DISCOUNTED + 3, np.int64))
+    n, v = int(found[0]), int(found[1])
+    totals = Totals.of(n, v, {r: int(found[r + 1]) for r in range(1, DISCOUNTED + 2)})
+    words = words.where(F.col("kind") == _WORDS)
+    # Counts of pairs and sums of histories.
+    pairs = stored(pair_answers(groups, words, totals, buckets), clean=True)
+    few, sums = np.zeros(DISCOUNTED + 2, np.int64), {}
+    for r in pairs.where(F.col("kind") == _TOTALS).select("x", "y", "z").collect():
+        few += np.frombuffer(r["x"], "<i8")
+        spread = np.frombuffer(r["y"], "<u8")
+        for h, s in zip(spread.tolist(), np.frombuffer(r["z"], "<i8").reshape(_SUMS, len(spread)).T, strict=True):
+            sums[h] = sums[h] + s if h in sums else s
+    factors = discounts({r: int(few[r]) for r in range(1, DISCOUNTED + 2)})
+    keys = sorted(sums)
+    wide = np.array(keys, dtype=np.uint64), np.array([sums[h] for h in keys], dtype=np.int64).reshape(len(keys), _SUMS).T
+    rows = groups.union(words).union(pairs.where(F.col("kind") == _PAIRS))
+    return text_scores(rows, totals, factors, wide, buckets).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -7,12 +7,15 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import katz, langid, minhash, quality
 from factloom.llm.common import remainder
+from factloom.session import ensure_checkpoint_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -263,3 +266,30 @@ def test_pair_counts_have_no_cut(spark):
     assert "least" not in katz.pair_counts.__code__.co_varnames
     train = spark.createDataFrame([("a b a b c",), ("a b",)], "t string")
     assert sorted(r.c for r in katz.pair_counts(train, 3).collect()) == [1, 1, 1, 1, 2, 3]
+
+
+def test_katz_over_many_groups(spark):
+    """Histories that are spread and others, asked by many groups, some of held-out texts only."""
+    rng = random.Random(9)
+    texts = [(k, " ".join(prose(rng, rng.randrange(1, 90), 3000))) for k in range(400)] + [(900, None), (901, "never seen w1x"), (None, "w1x w2x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    part = remainder("doc_id", 5)
+    got = {r["doc_id"]: r for r in katz.score(docs, held_out=part == 1, train=part != 1, gather=700).collect()}
+    want = katz_by_hand(texts)
+    assert got.keys() == want.keys() and katz.Totals.of(next(iter(got.values()))["train_tokens"], 1, {}).wide > 2
+    for k, (_, _, known, total, base, score) in want.items():
+        assert (got[k]["n_known"], got[k]["train_tokens"]) == (known, total), k
+        assert got[k]["base_score"] == pytest.approx(base, abs=1e-6) and got[k]["score"] == pytest.approx(score, abs=1e-6), k
+
+
+def test_katz_stores_few_bytes_a_token(spark):
+    """Hardly a pair comes twice; tables of pairs took 16 bytes a token here, beside their shuffles."""
+    rng = random.Random(10)
+    texts = [(k, " ".join(f"w{rng.randrange(20_000)}" for _ in range(1000))) for k in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    folder = Path(urlparse(ensure_checkpoint_dir(spark)).path)
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before, part = size(), remainder("doc_id", 5)
+    rows = katz.score(docs, held_out=part == 1, train=part != 1).agg(F.sum("n_tokens").alias("n")).first()
+    assert size() - before < 12 * rows["n"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
