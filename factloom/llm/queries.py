@@ -40,7 +40,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return sampling.digests(sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    return sampling.encode_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,8 @@ from factloom.llm.common import mix, prefix_sums, range_hashes
 THETA = 0.0005
 #: Score of a character spelled in bytes.
 SPELLED = -40_000.0
-#: Characters that are sampled together.
-GROUP = 2_000_000
+#: Characters that are sampled together; their lattice takes up to some 300 bytes each.
+GROUP = 1_000_000
 SPACE = "▁"
 #: Stands for a space mark of the text; no valid text holds it.
 _OWN_MARK = "\udfff"
@@ -213,53 +213,66 @@ def lattices(path: str, theta: float) -> Lattices:
     return Lattices(path, theta)
 
 
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("lossless", pa.bool_())])
+_DIGESTED = pa.schema([
+    ("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("text_crc32", pa.int64()),
+    ("lossless", pa.bool_()),
+])
+_ENCODED_DDL = "doc_id long, ids array<int>, decoded string, lossless boolean"
+_DIGESTED_DDL = "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, lossless boolean"
+
+
+def _encode(batches: Iterator[pa.RecordBatch], model: str, theta: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """Keys and texts to keys, ids, decoded texts and whether these equal the texts."""
+    tool = lattices(model, theta)
+    for batch in batches:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        keys = batch.column(0)
+        seeds = mix(np.nan_to_num(keys.fill_null(-1).to_numpy()).astype(np.int64).view(np.uint64) + np.uint64(seed))
+        size = np.cumsum([len(t) for t in texts]) // GROUP
+        for g in np.unique(size):
+            lo, hi = np.searchsorted(size, [g, g + 1])
+            ids = tool.sample(texts[lo:hi], seeds[lo:hi])
+            back = [tool.decode(i) for i in ids]
+            offsets = np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                keys.slice(lo, hi - lo),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())),
+                pa.array(back, pa.string()),
+                pa.array([a == b for a, b in zip(back, texts[lo:hi], strict=True)], pa.bool_()),
+            ], schema=_ENCODED)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Encoded rows to their digests."""
+    for b in batches:
+        ids, n = b.column(1), b.num_rows
+        crc = [zlib.crc32(ids[k].values.to_numpy().astype("<u4").tobytes()) for k in range(n)]
+        text = [zlib.crc32((t or "").encode()) for t in b.column(2).to_pylist()]
+        sizes = [len(ids[k]) for k in range(n)]
+        yield pa.RecordBatch.from_arrays([
+            b.column(0), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(text, pa.int64()), b.column(3)
+        ], schema=_DIGESTED)
+
+
 def encode(
     docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", theta: float = THETA, seed: int = 0
 ) -> DataFrame:
     """doc_id, ids, decoded text and whether it equals the text, of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("lossless", pa.bool_())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = lattices(model, theta)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            keys = batch.column(0)
-            seeds = mix(np.nan_to_num(keys.fill_null(-1).to_numpy()).astype(np.int64).view(np.uint64) + np.uint64(seed))
-            size = np.cumsum([len(t) for t in texts]) // GROUP
-            for g in np.unique(size):
-                lo, hi = np.searchsorted(size, [g, g + 1])
-                ids = tool.sample(texts[lo:hi], seeds[lo:hi])
-                back = [tool.decode(i) for i in ids]
-                offsets = np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    keys.slice(lo, hi - lo),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())),
-                    pa.array(back, pa.string()),
-                    pa.array([a == b for a, b in zip(back, texts[lo:hi], strict=True)], pa.bool_()),
-                ], schema=schema)
-
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(
-        run, "doc_id long, ids array<int>, decoded string, lossless boolean"
+        lambda batches: _encode(batches, model, theta, seed), _ENCODED_DDL
     )
 
 
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, number and crc32 of the ids, crc32 of the decoded text, and whether it equals the text."""
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("text_crc32", pa.int64()),
-        ("lossless", pa.bool_()),
-    ])
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, n = b.column(1), b.num_rows
-            crc = [zlib.crc32(ids[k].values.to_numpy().astype("<u4").tobytes()) for k in range(n)]
-            text = [zlib.crc32((t or "").encode()) for t in b.column(2).to_pylist()]
-            sizes = [len(ids[k]) for k in range(n)]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(text, pa.int64()), b.column(3)
-            ], schema=schema)
+    return encoded.mapInArrow(_digest, _DIGESTED_DDL)
+
 
-    return encoded.mapInArrow(
-        digest, "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, lossless boolean"
+def encode_digests(
+    docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", theta: float = THETA, seed: int = 0
+) -> DataFrame:
+    """The digests of what ``encode`` gives, taken in the task that encodes: ids and texts never leave it."""
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(
+        lambda batches: _digest(_encode(batches, model, theta, seed)), _DIGESTED_DDL
     )

@@ -110,6 +110,19 @@ def test_sampled_pieces(spark):
     assert sampling.digests(sampling.encode(docs.limit(0), PIECES)).count() == 0
 
 
+def test_digests_are_taken_where_the_texts_are_encoded(spark, tmp_path):
+    """One Python worker a task: ids and decoded texts of a batch are not held by a second one and the JVM."""
+    from factloom.llm.queries import op6_sentencepiece
+
+    docs = spark.createDataFrame(TEXTS * 3, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op6_sentencepiece(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    two_steps = sampling.digests(sampling.encode(docs, PIECES))
+    assert got.columns == two_steps.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, two_steps.collect()))
+
+
 def test_a_draw_stays_at_its_position(monkeypatch):
     """The greatest random number, added to a position, rounds up to the next one."""
     monkeypatch.setattr(sampling, "mix", lambda x: np.full(len(x), (1 << 64) - 1, np.uint64))
