@@ -20,6 +20,9 @@ from factloom.llm import langid, minhash, packing, quality
 from factloom.llm.common import table
 from factloom.session import ensure_checkpoint_dir
 
+#: Text chunks whose ids a worker keeps: its memory comes on top of a JVM that three stages have grown.
+MEMO = 200_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule cascade keeps."""
@@ -38,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 1024 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, memo=MEMO)
 
 
 STAGES = [

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import mix
+from factloom.llm.common import give_back, mix
 
 UNKNOWN = "und"
 BUCKETS, DIMENSION, SIZES = 1 << 15, 16, (2, 3, 4)
@@ -38,7 +38,7 @@ EPOCHS, RATE = 4, 0.5
 #: kept-out sample do not reach, but never above ``HIGHEST``.
 LOST, HIGHEST = 0.001, 0.5
 #: Characters that are hashed together.
-GROUP = 1_000_000
+GROUP = 250_000
 _PLACES = mix(np.arange(3001, 3001 + max(SIZES), dtype=np.uint64)) | np.uint64(1)
 _LETTERS: list[np.ndarray] = []
 
@@ -207,6 +207,7 @@ def predictor(spark: SparkSession, model: Model):
     @F.pandas_udf("lang string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         names, score, rejected = shared.value.predict([t if isinstance(t, str) else None for t in texts])
+        give_back()
         return pd.DataFrame({"lang": names, "score": score, "rejected": rejected})
 
     return predict

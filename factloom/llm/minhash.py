@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fixed, mix, text_groups, word_hashes
+from factloom.llm.common import fixed, mix, text_groups, tidy, word_hashes
 from factloom.llm.components import components
 
 #: Words in a shingle; bands, minima in a band, and bits kept of each minimum.
@@ -46,6 +46,8 @@ WORDS, BANDS, ROWS, BITS = 5, 32, 6, 4
 HASHES = BANDS * ROWS
 #: Documents of a bucket that one scan takes; shingles of one block of the exact step.
 SCAN, BLOCK = 4_096, 400_000
+#: UTF-8 bytes, about, that are hashed together; a byte takes some 50 bytes of arrays.
+GROUP = 1 << 20
 #: Margin of estimates, in similarity: four standard deviations at 192 minima of 4 bits.
 MARGIN = 0.12
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -112,7 +114,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
-            for first, group in text_groups(batch.column(1).to_pylist()):
+            for first, group in text_groups((t.as_py() for t in batch.column(1)), GROUP):
                 rows = []
                 for found in shingle_sets(group):
                     digest = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
@@ -130,7 +132,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 ], schema=schema)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
-        sign, "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>, minima binary"
+        tidy(sign), "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>, minima binary"
     )
 
 
@@ -236,7 +238,7 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
 
     return (
         members.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "doc_id")
-        .mapInArrow(scan, "a long, b long")
+        .mapInArrow(tidy(scan), "a long, b long")
     )
 
 
@@ -286,7 +288,7 @@ def confirmed(docs: DataFrame, reps: DataFrame, groups: DataFrame, percent: int,
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, group in text_groups(batch.column("text").to_pylist()):
+            for first, group in text_groups((t.as_py() for t in batch.column("text")), GROUP):
                 part = batch.slice(first, len(group))
                 data = [s.tobytes() for s in shingle_sets(group)]
                 digests = [hashlib.blake2b(d, digest_size=16).digest() for d in data]
@@ -299,7 +301,7 @@ def confirmed(docs: DataFrame, reps: DataFrame, groups: DataFrame, percent: int,
                 ).filter(same)
 
     sets = texts.join(wanted, "doc_id").select("root", "blocks", "doc_id", "minima", "text", "digest_a", "digest_b")
-    sets = sets.mapInArrow(hashed, "root long, blocks long, doc_id long, minima binary, shingles binary")
+    sets = sets.mapInArrow(tidy(hashed), "root long, blocks long, doc_id long, minima binary, shingles binary")
     block = F.pmod(F.xxhash64("doc_id"), "blocks")
     pairs = (
         sets.withColumn("block", block)
@@ -320,7 +322,7 @@ def confirmed(docs: DataFrame, reps: DataFrame, groups: DataFrame, percent: int,
 
     return (
         pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "doc_id")
-        .mapInArrow(link, "a long, b long")
+        .mapInArrow(tidy(link), "a long, b long")
     )
 
 

@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fixed
-from factloom.llm.tokens import encoder
+from factloom.llm.common import fixed, tidy
+from factloom.llm.tokens import MEMO, encoder
 
 #: Tokens of a sequence.
 CAPACITY = 1024
@@ -142,15 +142,19 @@ def place(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
 def pieces(
     docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id",
     text: str = "text", kind: str = "byte", keep_ids: bool = False,
+    memo: int = MEMO,
 ) -> DataFrame:
-    """Tokenized pieces: key, piece, start, length, ids_crc32 and, if asked for, ids."""
+    """Tokenized pieces: key, piece, start, length, ids_crc32 and, if asked for, ids.
+
+    ``memo`` is how many text chunks a worker keeps the ids of.
+    """
     schema = pa.schema([
         ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
         ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if keep_ids else []),
     ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(vocabulary, kind)
+        tool = encoder(vocabulary, kind, memo)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             size = np.maximum(np.diff(np.cumsum([0] + [len(t.as_buffer()) if t.is_valid else 0 for t in texts])), 1)
@@ -176,7 +180,7 @@ def pieces(
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, ddl)
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(tidy(cut), ddl)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -216,7 +220,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(
     docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id",
-    text: str = "text", keep_ids: bool = False,
+    text: str = "text", keep_ids: bool = False, memo: int = MEMO,
 ) -> DataFrame:
     """Pieces of the documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(pieces(docs, vocabulary, end_id, capacity, key, text, keep_ids=keep_ids), capacity)
+    return pack(pieces(docs, vocabulary, end_id, capacity, key, text, keep_ids=keep_ids, memo=memo), capacity)

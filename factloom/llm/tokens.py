@@ -3,7 +3,7 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts, so that the
 ids of the chunks, put together, are the ids of the whole text. Chunks recur
 (Zipf), hence each worker keeps the ids of those it has met; the memo is
-emptied when it holds ``MEMO`` chunks, so its memory does not grow with the data.
+emptied when it holds ``MEMO`` chunks (or as many as asked for), so its memory does not grow with the data.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ def load(path: str) -> Tokenizer:
 class Encoder:
     """Ids of texts as little-endian unsigned 16- or 32-bit arrays, in bytes."""
 
-    def __init__(self, path: str):
-        self.tokenizer = load(path)
+    def __init__(self, path: str, most: int = MEMO):
+        self.tokenizer, self.most = load(path), most
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {"": b""}
@@ -65,7 +65,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         memo = self.memo
-        if len(memo) > MEMO:
+        if len(memo) > self.most:
             memo.clear()
             memo[""] = b""
         parts = [self.chunks(t) for t in texts]
@@ -81,8 +81,8 @@ class Encoder:
 class ByteEncoder(Encoder):
     """For a byte-level tokenizer whose pieces start with at most one space."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, most: int = MEMO):
+        super().__init__(path, most)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
@@ -115,8 +115,8 @@ class ByteEncoder(Encoder):
 class WordEncoder(Encoder):
     """For a tokenizer that drops white space, so that any ASCII blank separates chunks."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, most: int = MEMO):
+        super().__init__(path, most)
         self.mark = self.ids(_MARK)
 
     def chunks(self, text: str) -> list[str]:
@@ -134,6 +134,6 @@ class WordEncoder(Encoder):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, kind: str) -> Encoder:
-    """One encoder per worker and tokenizer; ``kind`` is ``byte`` or ``word``."""
-    return {"byte": ByteEncoder, "word": WordEncoder}[kind](path)
+def encoder(path: str, kind: str, most: int = MEMO) -> Encoder:
+    """One encoder per worker, tokenizer and size of memo; ``kind`` is ``byte`` or ``word``."""
+    return {"byte": ByteEncoder, "word": WordEncoder}[kind](path, most)

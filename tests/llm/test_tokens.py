@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import sys
 import zlib
 from collections import defaultdict
 
@@ -110,6 +112,42 @@ def test_sampled_pieces(spark):
     assert sampling.digests(sampling.encode(docs.limit(0), PIECES)).count() == 0
 
 
+def test_a_memo_holds_no_more_than_asked_for():
+    """The pipeline's packing keeps few chunks, since its workers stand beside a large JVM."""
+    from corpus_pipeline import MEMO
+    from factloom.llm import tokens
+
+    assert MEMO < tokens.MEMO
+    tool = tokens.encoder(BYTES, "byte", 50)
+    for k in range(20):
+        text = " ".join(f"w{k}x{i}" for i in range(40))
+        assert np.array_equal(np.frombuffer(tool.encode([text])[0], tool.dtype), tool.ids(text))
+        assert len(tool.memo) <= 50 + 1 + 40
+    assert tokens.encoder(BYTES, "byte").memo is not tool.memo
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_a_worker_gives_memory_back_after_a_task():
+    """Freed blocks between blocks in use stay with the allocator unless it is told to return them."""
+    from factloom.llm.common import tidy
+
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") // 1_000_000
+
+    held, seen = [], []
+
+    def run(batches):
+        blocks = [bytes(1000) for _ in range(200_000)]
+        held.extend(blocks[::100])
+        del blocks
+        seen.append(resident())
+        yield from batches
+
+    assert list(tidy(run)(iter([1, 2]))) == [1, 2]
+    assert resident() < seen[0] - 80
+
+
 def test_digests_are_taken_where_the_texts_are_encoded(spark, tmp_path):
     """One Python worker a task: ids and decoded texts of a batch are not held by a second one and the JVM."""
     from factloom.llm.queries import op6_sentencepiece
