@@ -210,7 +210,8 @@ def claim_hash(claims: DataFrame, fragments: DataFrame) -> DataFrame:
         if c in claims.columns or c == "fragments_digest"
     ]
     return (
-        claims.join(digests, "document_version_id", "left")
+        # One short row a version is looked up, so the claims with their texts are not sorted
+        claims.join(digests.hint("shuffle_hash"), "document_version_id", "left")
         .withColumn("content_hash", struct_hash(*[F.col(c) for c in content]))
         .drop("fragments_digest")
     )

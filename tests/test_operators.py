@@ -409,3 +409,24 @@ def test_neighbours_and_running_maximum_over_blocks(spark, monkeypatch):
     assert scaling.neighbour(df.limit(0), ["k"], ["o"], "v", "before").count() == 0
     hot = scaling.spread_join(df, spark.createDataFrame([("hot", 1), ("two", 2), ("none", 3)], "k string, w int"), ["k"], ["o"])
     assert Counter(r.k for r in hot.collect()) == {"hot": 33, "two": 2}
+
+
+def test_claim_texts_are_not_sorted_for_their_digest(spark):
+    """A version's digest is looked up; claims of a version without fragments keep a hash."""
+    from factloom.operators.claims import claim_hash
+
+    claims = spark.createDataFrame([("a", "one"), ("a", "two"), ("a", "one"), ("b", "one")], "document_version_id string, quote_text string")
+    fragments = spark.createDataFrame([("a", "x"), ("a", "y")], "document_version_id string, checksum string")
+    hints = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in hints}
+    try:
+        for k, v in hints.items():
+            spark.conf.set(k, v)
+        hashed = claim_hash(claims, fragments)
+        plan = hashed._jdf.queryExecution().executedPlan().toString()
+        rows = hashed.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    assert len(rows) == 4 and len({r["content_hash"] for r in rows}) == 3
